@@ -5,22 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
+from .decontamination import decontaminate
 from .packing import pack_documents
+from .quality_rules import quality_rules
+from .suffix_tree import lm_scores
 from .token_output import token_output
 from .tokens import vocabulary
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(load(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=1)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(load(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
 def queries() -> dict:
     return {
+        "op2_quality_rules": op2_quality_rules,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_packing": op4_packing,
+        "op5_decontamination": op5_decontamination,
         "op10_token_output": op10_token_output,
     }
 
