@@ -8,6 +8,8 @@ from .common import load
 from .decontamination import decontaminate
 from .packing import pack_documents
 from .quality_rules import quality_rules
+from .secrets import secret_report
+from .sharding import hilbert_shards
 from .suffix_tree import lm_scores
 from .token_output import token_output
 from .tokens import vocabulary
@@ -29,6 +31,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(load(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards(load(spark, sf_dir, "documents"), shards=8)
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(load(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
@@ -39,6 +49,8 @@ def queries() -> dict:
         "op3_lm_scoring": op3_lm_scoring,
         "op4_packing": op4_packing,
         "op5_decontamination": op5_decontamination,
+        "op7_secret_scans": op7_secret_scans,
+        "op9_sharding": op9_sharding,
         "op10_token_output": op10_token_output,
     }
 
