@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
 from .decontamination import decontaminate
+from .ngram_join import ngram_join
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .secrets import secret_report
@@ -31,6 +32,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(load(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(load(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def queries() -> dict:
         "op3_lm_scoring": op3_lm_scoring,
         "op4_packing": op4_packing,
         "op5_decontamination": op5_decontamination,
+        "op6_ngram_join": op6_ngram_join,
         "op7_secret_scans": op7_secret_scans,
         "op9_sharding": op9_sharding,
         "op10_token_output": op10_token_output,
