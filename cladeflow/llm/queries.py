@@ -14,6 +14,11 @@ from .sharding import hilbert_shards
 from .suffix_tree import lm_scores
 from .token_output import token_output
 from .tokens import vocabulary
+from .toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +55,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_quality_rules": op2_quality_rules,
         "op3_lm_scoring": op3_lm_scoring,
         "op4_packing": op4_packing,
