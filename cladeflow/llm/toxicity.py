@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and their first few bytes, so that inflected forms of a stem
-meet. Those that the labels tell apart best form the vocabulary. Labelled
+meet. Those that toxic examples have most beyond their share, by chi-square,
+form the vocabulary. Labelled
 examples stand in an inverted index whose postings are cut into blocks of
 examples; a term's greatest weight in each block bounds a block's best cosine.
 A search visits blocks by falling bound and ends when the bound can't beat the
@@ -223,21 +224,23 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, exa
     sample = stage(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(drawn), "doc_id")  # at most sum(examples) rows
-        .dropDuplicates(["doc_id"])
+        .groupBy("text")  # a copied example would make chance words of it look telling
+        .agg(F.min(F.struct("doc_id", "toxic")).alias("first"))
+        .select("first.doc_id", "first.toxic", "text")
     )
     total = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n = {0: n.get(0, 0), 1: n.get(1, 0)}
     weights = {label: total.get(label, 0) / n[label] if n[label] else 0.0 for label in (0, 1)}
     a, every = F.col("toxic"), sum(n.values())
-    c, expected = F.col("n") - a, F.col("n") * n[1] / max(1, every)
+    expected = F.col("n") * n[1] / max(1, every)
     chi2 = (a - expected) ** 2 * every**2 / (expected * (every - F.col("n")) * max(1, n[0]) + 1e-9)
     counts = (
         sample.select("toxic", "text")
         .mapInArrow(_count_terms, "term long, n long, toxic long")
         .groupBy("term")
         .agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-        .filter((F.greatest(a, c) >= LEAST_EXAMPLES) & (chi2 >= LEAST_CHI2))
+        .filter((a >= LEAST_EXAMPLES) & (a > expected) & (chi2 >= LEAST_CHI2))
         .orderBy(chi2.desc(), "term")
         .limit(TERMS)
         .select("term", "n")
