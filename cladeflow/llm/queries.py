@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
 from .decontamination import decontaminate
+from .html_text import html_text
 from .ngram_join import ngram_join
 from .packing import pack_documents
 from .quality_rules import quality_rules
@@ -45,6 +46,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(load(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(load(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(load(spark, sf_dir, "documents"), shards=8)
 
@@ -62,6 +67,7 @@ def queries() -> dict:
         "op5_decontamination": op5_decontamination,
         "op6_ngram_join": op6_ngram_join,
         "op7_secret_scans": op7_secret_scans,
+        "op8_html_extraction": op8_html_extraction,
         "op9_sharding": op9_sharding,
         "op10_token_output": op10_token_output,
     }
