@@ -87,3 +87,18 @@ def batch(**columns: tuple[object, pa.DataType]) -> pa.RecordBatch:
 def fold_held_out(modulus: int, held: int):
     """True where crc32 of doc_id, written as text, leaves `held`; null ids as ''."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus == held
+
+
+#: Up to so many keys are sent to all workers (some 16 MB); more meet the rows in a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(rows: DataFrame, key, keys: DataFrame) -> DataFrame:
+    """`rows` but those whose `key`, an expression, is in the one column of `keys`.
+
+    Rows with a null key stay. `keys` is staged, so that it is computed once.
+    """
+    name = f"key_{uuid.uuid4().hex}"
+    keys = stage(keys.toDF(name).filter(f"{name} is not null").distinct())
+    other = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    return rows.join(other, key == F.col(name), "left_anti")

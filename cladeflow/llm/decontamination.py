@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, prepare, stage, texts
+from .common import batch, prepare, stage, texts, without
 from .words import NOT_ALNUM, Words, cut, grams, slices
 
 GUARANTEE = 13
@@ -147,10 +147,17 @@ def _verify(batches):
         yield batch(doc_key=(out[0], pa.int64()), item_id=(out[1], pa.int64()), spans=(out[2], span))
 
 
+def _key():
+    """Tells rows apart by id and text."""
+    return F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, broadcast_limit: int = BROADCAST_FINGERPRINTS
 ) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, by document.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and doc_key, by document.
+
+    doc_key tells rows by id and text.
 
     Null texts have no words. A row of `docs` gives one row, also where ids
     repeat. Items with a null id count for n_hit and not for n_items; items that
@@ -158,7 +165,7 @@ def decontaminate(
     or without documents, nothing is hit. Other columns don't matter.
     """
     prepare(docs.sparkSession)
-    keyed = texts(docs).withColumn("doc_key", F.xxhash64("doc_id", "text"))
+    keyed = texts(docs).withColumn("doc_key", _key())
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     items = items.withColumn("item_id", F.col("item_id").cast("long"))
     numbered = items.groupBy("item_id", "text").count().withColumn("item_key", F.xxhash64("item_id", "text"))
@@ -216,4 +223,11 @@ def decontaminate(
         F.size(items_found).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_found, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        "doc_key",
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """`docs` without the contaminated rows."""
+    found = decontaminate(docs, benchmark).filter("contaminated").select("doc_key")
+    return without(docs, _key(), found).select(docs.columns)

@@ -2,8 +2,8 @@
 
 A page is a sequence of words and tags. Words score above 0 and tags below, by
 weights learned from labelled pages: those whose own markup names the article.
-One linear scan finds the contiguous stretch with the greatest sum. It is
-widened to the article element that it lies in, and blocks of menus, notices,
+Words of menus, notices and the like score 0. One linear scan
+finds the contiguous stretch with the greatest sum. It is widened to the article element that it lies in, and blocks of menus, notices,
 forms, comments and the like inside it are left out.
 """
 
@@ -28,8 +28,6 @@ TAG_NAMES = 256
 WORD, OTHER_TAG = "word", "other"
 #: Weights where no labelled page tells: a word and any tag.
 PLAIN = {WORD: 1.0, OTHER_TAG: -1.0}
-#: A word that stands in a menu, notice or the like counts as so many tags.
-OUTSIDE = -1.0
 
 # Elements and attribute words that HTML authors use for what is
 # not the article, and elements that end a block of text.
@@ -173,7 +171,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     word, other = weights[WORD], weights[OTHER_TAG]
     counts = [len(t[1].split()) if t[0] == "text" else 0 for t in tokens]
     scores = [
-        weights.get(t[1], other) if t[0] == "tag" else n * (OUTSIDE if t[3] else word)
+        weights.get(t[1], other) if t[0] == "tag" else 0.0 if t[3] else n * word
         for t, n in zip(tokens, counts)
     ]
     begin, end = best_stretch(scores)

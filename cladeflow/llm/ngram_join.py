@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, prepare, stage, texts
+from .common import batch, prepare, stage, texts, without
 from .components import components
 from .words import WHITE, Words, cut, grams, mix, slices
 
@@ -329,3 +329,21 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             )
         )
     )
+
+
+def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with one document of each component, the one with the least id.
+
+    Texts without shingles are linked with nothing and stay, as do rows with a
+    null id, which can't be told apart. Rows of one id and one text are one
+    document.
+    """
+    joined = stage(ngram_join(docs, n, percent).filter("doc_id is not null"))
+    copies = joined.filter("component_id is not null and doc_id != component_id").select("doc_id")
+    again = joined.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    kept = without(docs, F.col("doc_id"), copies)
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    own = kept.join(again.withColumnRenamed("doc_id", "repeated"), F.col("doc_id") == F.col("repeated"), "left_semi")
+    single = own.dropDuplicates(["doc_id", "text"])
+    return without(kept, F.col("doc_id"), again).select(docs.columns).unionByName(single.select(docs.columns))

@@ -1,8 +1,58 @@
-"""A corpus pipeline of five stages."""
+"""Five stages that make packed sequences of training text from documents.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns the columns of `docs`, but
+for the last, which returns the packed pieces. Toxic documents go, then all but
+one document of each group of near copies, then documents that hold benchmark
+passages; secrets are replaced in the texts of the rest, and these are packed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cladeflow.llm.common import load, stage
+from cladeflow.llm.decontamination import drop_contaminated
+from cladeflow.llm.ngram_join import drop_near_copies
+from cladeflow.llm.packing import pack_documents
+from cladeflow.llm.secrets import redact
+from cladeflow.llm.tokens import vocabulary
+from cladeflow.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, load(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_copies(docs, n=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, vocabulary(), capacity=2048, end_id=1)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("ngram_jaccard_join", near_copies),
+    ("benchmark_decontamination", decontamination),
+    ("secret_scans", secrets),
+    ("packing", packing),
+]
+
+#: The first stage searches nearest examples and the last tokenizes: neither is SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for _, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
