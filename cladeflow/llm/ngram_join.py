@@ -9,10 +9,12 @@ Bounds from the rows' sizes and from a column's place within them discard pairs;
 the product over all columns decides the others.
 
 A column that thousands of near copies share isn't squared. Its rows first meet
-its least and greatest row only, and linked rows are joined to components. Only
-where a column then still holds several components do the rows outside its
-largest component meet the rows of other components. Two rows of one component
-need no link of their own; any other pair that could be linked is decided.
+one hub, and linked rows are joined to components. Where a column then still
+holds several components, the rows outside its largest meet the rows of other
+components. Two rows of one component need no link of their own. One minus the
+Jaccard similarity is a metric, so a row that is linked with the hub need not
+meet one that is farther from the hub than twice a link's distance. Any other
+pair that could be linked is decided.
 """
 
 from __future__ import annotations
@@ -30,6 +32,11 @@ from .words import WHITE, Words, cut, grams, mix, slices
 HOT_COLUMNS = 1 << 16
 #: A column is reported by a task when so many of its documents have it.
 HOT_IN_TASK = 4
+#: Blocks of columns whose counts bound an overlap.
+BLOCKS = 256
+#: Cells of the filter that tells which columns more than one document may have (8 MB of bits).
+FILTER_BITS = 26
+STATES = ["a", "b", "state"]
 #: Up to so many ids are sent to all workers (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -160,7 +167,7 @@ def _rows(n: int):
 
 
 def _product(percent: int):
-    """Pairs of rows whose overlap over all columns is large enough."""
+    """Pairs with state 1 if the overlap over all columns is large enough, else 0."""
 
     def run(batches):
         for b in batches:
@@ -179,7 +186,9 @@ def _product(percent: int):
             twice = (key[1:] == key[:-1]) & (pair[1:] == pair[:-1])
             overlap = np.bincount(pair[1:][twice], minlength=m)
             linked = 100 * overlap >= percent * (size[0] + size[1] - overlap)
-            yield b.select(["a", "b"]).filter(pa.array(linked))
+            yield pa.RecordBatch.from_arrays(
+                [*b.select(["a", "b"]).columns, pa.array(linked.astype(np.int32))], names=STATES
+            )
 
     return run
 
@@ -198,44 +207,71 @@ class _Join:
     def __init__(self, keyed: DataFrame, sets: DataFrame, n: int, percent: int):
         self.keyed, self.sets, self.n, self.percent = keyed, sets, n, percent
 
-    def decide(self, pairs: DataFrame) -> DataFrame:
-        """Those of the staged pairs (a, b) that are linked, by the product over all columns."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def _of(self, nodes: DataFrame, run, fields: str) -> DataFrame:
+        """What `run` makes of one document of each node."""
         ids = stage(
             self.sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
         )
         few = ids.select("doc_id").distinct()
-        few = F.broadcast(few) if ids.count() <= BROADCAST_IDS else few
-        rows = (
-            self.keyed.join(few, "doc_id", "left_semi")
-            .select("text")
-            .mapInArrow(_rows(self.n), "node long, grams array<long>")
-            .join(ids.select("node"), "node", "left_semi")
-            .dropDuplicates(["node"])
-        )
-        rows = stage(rows)
-        return (
-            pairs.select("a", "b")
-            .join(rows.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-            .join(rows.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-            .mapInArrow(_product(self.percent), "a long, b long")
+        wanted = ids.select("node")
+        if ids.count() <= BROADCAST_IDS:
+            few, wanted = F.broadcast(few), F.broadcast(wanted)
+        made = stage(
+            self.keyed.join(few, "doc_id", "left_semi").select("text").mapInArrow(run, fields).join(wanted, "node", "left_semi")
         )
+        once = made.agg(F.count("*") == F.count_distinct("node")).first()[0]
+        return made if once else stage(made.dropDuplicates(["node"]))
 
-    def stars(self, multi: DataFrame) -> DataFrame:
-        """Each row of a column with the column's least and greatest row."""
-        ends = multi.select(
-            "node", "size", "place", F.explode(F.array("low", "high")).alias("o")
-        ).select("node", "size", "place", "o.*").filter("node != node_o")
-        bound = F.least("place", "place_o") + 1 + F.least(
-            F.col("size") - F.col("place") - 1, F.col("size_o") - F.col("place_o") - 1
+    def decide(self, pairs: DataFrame) -> DataFrame:
+        """`a`, `b` and `state` of the staged pairs: 1 linked, -1 far apart, 0 neither.
+
+        Counts by block of columns bound the overlap first; the pairs that may be
+        linked are decided by the product over all columns.
+        """
+        both = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        side = lambda rows, end, name: rows.select(F.col("node").alias(end), F.struct(*rows.columns[1:]).alias(name))
+        profiles = self._of(both(pairs), _profiles(self.n), "node long, size int, blocks binary")
+        bounded = stage(
+            pairs.join(side(profiles, "a", "x"), "a")
+            .join(side(profiles, "b", "y"), "b")
+            .mapInArrow(_bounded(self.percent), "a long, b long, state int")
         )
-        kept = ends.filter(_fits(self.percent) & (bound >= _least_overlap(self.percent, "size", "size_o")))
-        return kept.select(F.least("node", "node_o").alias("a"), F.greatest("node", "node_o").alias("b")).distinct()
-
-    def rest(self, multi: DataFrame, parts: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs of rows that share a column and are not of one component."""
-        known = multi.select("gram", "node", "size", "place").join(parts, "node", "left")
-        known = stage(known.withColumn("component", F.coalesce("component", "node")))
+        near = bounded.filter("state = 1").select("a", "b")
+        rows = self._of(both(near), _rows(self.n), "node long, grams array<long>")
+        linked = (
+            near.join(rows.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
+            .join(rows.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+            .mapInArrow(_product(self.percent), "a long, b long, state int")
+        )
+        return stage(bounded.filter("state < 1").unionByName(linked))
+
+    def hubs(self, multi: DataFrame) -> DataFrame:
+        """`multi` with each column's hub, and how far a row's size lies from the hub's.
+
+        The hub is the row in which the column has the least place: it has the
+        fewest rarer columns, as near copies differ from what they were copied
+        from in rare ones.
+        """
+        least = F.struct("place", F.xxhash64("node"))
+        hub = multi.groupBy("gram").agg(F.min_by(F.struct("node", "size"), least).alias("hub"))
+        hub = hub.select("gram", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"))
+        return multi.join(hub, "gram")
+
+    def stars(self, rows: DataFrame) -> DataFrame:
+        """Each row with the hubs of its columns."""
+        pairs = rows.filter("node != hub").withColumnRenamed("hub_size", "size_o").filter(_fits(self.percent))
+        return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+    def apart(self, rows: DataFrame, states: DataFrame, parts: DataFrame) -> DataFrame:
+        """Rows of columns that hold several components, with `component`, the largest one, `main`, and `state` to the hub."""
+        states = states.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "state")
+        pair = (F.least("node", "hub") == F.col("_a")) & (F.greatest("node", "hub") == F.col("_b"))
+        small, large = F.least("size", "hub_size"), F.greatest("size", "hub_size")
+        state = F.when(F.col("node") == F.col("hub"), 1).when(
+            100 * small < (2 * self.percent - 100) * large, -1
+        ).otherwise(F.coalesce("state", F.lit(0)))
+        known = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        known = stage(known.select("gram", "node", "size", "place", "hub", "hub_size", "component"))
         several = (
             known.groupBy("gram", "component")
             .agg(F.count("*").alias("n"))
@@ -244,33 +280,105 @@ class _Join:
             .filter("k > 1")
             .select("gram", F.col("most.component").alias("main"))
         )
-        rows = stage(known.join(several, "gram"))
+        open_ = known.join(several, "gram").join(states, pair, "left").withColumn("state", state)
+        return stage(open_.select("gram", "node", "size", "place", "component", "main", "state"))
+
+    def rest(self, rows: DataFrame, done: DataFrame) -> DataFrame:
+        """Pairs of rows that share a column and may be linked though not of one component, but for those of `done`."""
         other = rows.select(
-            *(F.col(c).alias(f"{c}_o") for c in ("gram", "node", "size", "place", "component", "main"))
+            *(F.col(c).alias(f"{c}_o") for c in ("gram", "node", "size", "place", "component", "main", "state"))
         )
         once = (F.col("component_o") == F.col("main_o")) | (F.col("node") < F.col("node_o"))
+        bound = F.least("place", "place_o") + 1 + F.least(
+            F.col("size") - F.col("place") - 1, F.col("size_o") - F.col("place_o") - 1
+        )
         met = rows.filter("component != main").join(
             other,
             (F.col("gram") == F.col("gram_o"))
             & (F.col("component") != F.col("component_o"))
+            & (F.col("state") * F.col("state_o") != -1)
             & _fits(self.percent)
+            & (bound >= _least_overlap(self.percent, "size", "size_o"))
+            & self._indexed()
             & once,
         )
-        low = F.col("node") < F.col("node_o")
-        side = lambda c: (F.when(low, F.col(c)).otherwise(F.col(f"{c}_o")), F.when(low, F.col(f"{c}_o")).otherwise(F.col(c)))
-        (a, b), (na, nb), (pa_, pb) = side("node"), side("size"), side("place")
-        pairs = met.select(
-            a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb"), pa_.alias("pa"), pb.alias("pb")
-        )
-        overlap = pairs.groupBy("a", "b", "na", "nb").agg(
-            F.count("*").alias("met"), F.max("pa").alias("pa"), F.max("pb").alias("pb")
-        )
-        bound = F.col("met") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-        return (
-            overlap.filter(bound >= _least_overlap(self.percent, "na", "nb"))
-            .select("a", "b")
-            .join(done, ["a", "b"], "left_anti")
+        pairs = met.select(F.least("node", "node_o").alias("a"), F.greatest("node", "node_o").alias("b"))
+        return pairs.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+
+    def _indexed(self) -> Column:
+        """The smaller row has the column among those that a row of its size or more needs to share.
+
+        Of two rows with |x| <= |y|, x needs only its |x| - ceil(2t / (1 + t) * |x|) + 1
+        rarest columns: the overlap is 2t / (1 + t) * |x| at least.
+        """
+        t = 2 * self.percent / (100 + self.percent)
+        short = lambda size, place: F.col(place) < F.col(size) - F.ceil(F.col(size) * t - 1e-6) + 1
+        first = (F.col("size") < F.col("size_o")) | (
+            (F.col("size") == F.col("size_o")) & (F.col("node") < F.col("node_o"))
         )
+        return F.when(first, short("size", "place")).otherwise(short("size_o", "place_o"))
+
+
+def _profiles(n: int):
+    """Set sizes, and how many columns of each block a row has."""
+
+    def run(batches):
+        for b in batches:
+            for _, part in slices(b.column(0)):
+                who, what, size, node = _sets(part, n)
+                cell = who * BLOCKS + (what % np.uint64(BLOCKS)).astype(np.int64)
+                counts = np.bincount(cell, minlength=len(part) * BLOCKS).astype("<u4").reshape(-1, BLOCKS)
+                yield batch(
+                    node=(node, pa.int64()),
+                    size=(size, pa.int32()),
+                    blocks=([c.tobytes() for c in counts], pa.binary()),
+                )
+
+    return run
+
+
+def _bounded(percent: int):
+    """Pairs with state 1 if an overlap bounded block by block is large enough, -1 if far too small, else 0."""
+
+    def run(batches):
+        for b in batches:
+            size, blocks = [], []
+            for name in ("x", "y"):
+                sizes, binaries = b.column(name).flatten()
+                size.append(sizes.to_numpy().astype(np.int64))
+                blocks.append(np.frombuffer(b"".join(binaries.to_pylist()), "<u4").reshape(-1, BLOCKS))
+            most = np.minimum(*blocks).sum(1).astype(np.int64)
+            either = size[0] + size[1] - most
+            far = 100 * most < (2 * percent - 100) * either
+            state = np.where(far, -1, np.where(100 * most >= percent * either, 1, 0))
+            yield pa.RecordBatch.from_arrays([*b.select(["a", "b"]).columns, pa.array(state, pa.int32())], names=STATES)
+
+    return run
+
+
+def _known_bits(rows: DataFrame) -> np.ndarray:
+    """A bit for each of 2 ** FILTER_BITS cells that some gram of `rows` falls into; of fixed size."""
+    cell = F.pmod(F.col("gram"), F.lit(1 << FILTER_BITS))
+    words = (
+        rows.groupBy(F.shiftright(cell, 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, int(gram & 63))")).alias("bits"))
+        .toArrow()
+    )
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _perhaps(bits):
+    """Rows whose gram falls into a marked cell."""
+
+    def run(batches):
+        for b in batches:
+            cell = b.column("gram").to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+            hit = bits.value[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)
+            yield b.filter(pa.array(hit.astype(bool)))
+
+    return run
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -304,18 +412,18 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     prefixes = stage(
         keyed.select("text").mapInArrow(_prefixes(n, percent, hot), "gram long, node long, size int, place int")
     )
-    end = F.struct(F.col("node").alias("node_o"), F.col("size").alias("size_o"), F.col("place").alias("place_o"))
-    shared = (
-        prefixes.groupBy("gram").agg(F.min(end).alias("low"), F.max(end).alias("high")).filter("low != high")
+    repeated = stage(prefixes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
+    bits = spark.sparkContext.broadcast(_known_bits(repeated))
+    multi = stage(
+        prefixes.mapInArrow(_perhaps(bits), prefixes.schema).join(repeated, "gram").dropDuplicates(["gram", "node"])
     )
-    multi = stage(prefixes.join(shared, "gram"))
     join = _Join(keyed, sets, n, percent)
-    first = stage(join.stars(multi))
-    links = stage(join.decide(first))
+    rows = stage(join.hubs(multi))
+    states = join.decide(stage(join.stars(rows)))
+    links = states.filter("state = 1").select("a", "b")
     parts = components(links)
-    second = stage(join.rest(multi.dropDuplicates(["gram", "node"]), parts, first))
-    more = stage(join.decide(second))
-    parts = components(links.unionByName(more))
+    more = join.decide(stage(join.rest(join.apart(rows, states, parts), states)))
+    parts = components(links.unionByName(more.filter("state = 1").select("a", "b")))
     least = sets.groupBy("node").agg(F.min("doc_id").alias("least"))
     placed = least.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = placed.groupBy("component").agg(F.min("least").alias("component_id"))

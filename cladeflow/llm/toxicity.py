@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and their first few bytes, so that inflected forms of a stem
-meet. Those that toxic examples have most beyond their share, by chi-square,
-form the vocabulary. Labelled
+meet. Those that toxic examples have several times as often as others, and most
+surely so by chi-square, form the vocabulary. Labelled
 examples stand in an inverted index whose postings are cut into blocks of
 examples; a term's greatest weight in each block bounds a block's best cosine.
 A search visits blocks by falling bound and ends when the bound can't beat the
@@ -28,6 +28,8 @@ EXAMPLES = {1: 4096, 0: 12_288}
 TERMS = 4096
 #: Least chi-square of a term, and the least number of examples that have it.
 LEAST_CHI2, LEAST_EXAMPLES = 30.0, 4
+#: How many times as often as other examples, by share, toxic ones must have a term.
+LEAST_LIFT = 5.0
 STEMS = (4, 5, 6)
 K = 25
 BLOCK = 32
@@ -240,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, exa
         .mapInArrow(_count_terms, "term long, n long, toxic long")
         .groupBy("term")
         .agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-        .filter((a >= LEAST_EXAMPLES) & (a > expected) & (chi2 >= LEAST_CHI2))
+        .filter((a >= LEAST_EXAMPLES) & (a * n[0] >= LEAST_LIFT * (F.col("n") - a) * n[1]) & (chi2 >= LEAST_CHI2))
         .orderBy(chi2.desc(), "term")
         .limit(TERMS)
         .select("term", "n")
