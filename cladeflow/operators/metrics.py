@@ -84,10 +84,11 @@ def duplicates(
 
 def flag_repeats(rows: DataFrame, keys: list[str], out: str = "repeated") -> DataFrame:
     """Whether a row's keys occur more than once; counted apart, so that a frequent key isn't one task's."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
-    on = [rows[k].eqNullSafe(counts[k]) for k in keys]
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    counts = rows.groupBy(*named).agg(F.count("*").alias("_n")).filter("_n > 1")
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     joined = rows.join(counts, on, "left")
-    return joined.select(*(rows[c] for c in rows.columns), F.col("_n").isNotNull().alias(out))
+    return joined.select(*rows.columns, F.col("_n").isNotNull().alias(out))
 
 
 def best_by_priority(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

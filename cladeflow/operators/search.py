@@ -59,6 +59,15 @@ def name_tokens(x: Column) -> Column:
     return F.filter(F.split(F.lower(unaccent(x)), r"[^\p{L}\p{Nd}]+"), lambda t: t != "")
 
 
+def _is_word(word: str, prefix: bool):
+    return lambda t: t.startswith(word) if prefix else t == word
+
+
+def _near_word(word: str):
+    edits = 0 if len(word) < 3 else 1 if len(word) < 6 else 2
+    return lambda t: t.startswith(word[:2]) & (F.levenshtein(t, F.lit(word)) <= edits)
+
+
 def name_score(name: Column, query: str, accepted: Column) -> Column:
     """20 for the whole name, 10 for all words with the last as a prefix, 5 for words within an edit; more if accepted.
 
@@ -70,12 +79,10 @@ def name_score(name: Column, query: str, accepted: Column) -> Column:
     exact = F.lower(name) == query.lower()
     standard, fuzzy = F.lit(True), F.lit(True)
     for i, w in enumerate(words):
-        last = i == len(words) - 1
-        standard = standard & F.exists(tokens, lambda t, w=w, last=last: t.startswith(w) if last else t == w)
-        edits = 0 if len(w) < 3 else 1 if len(w) < 6 else 2
-        fuzzy = fuzzy & F.exists(
-            tokens, lambda t, w=w, e=edits: t.startswith(w[:2]) & (F.levenshtein(t, F.lit(w)) <= e)
-        )
+        standard = standard & F.exists(tokens, _is_word(w, prefix=i == len(words) - 1))
+        fuzzy = fuzzy & F.exists(tokens, _near_word(w))
+    if not words:
+        return F.lit(0.0)
     base = F.when(exact, 20.0).when(standard, 10.0).when(fuzzy, 5.0).otherwise(0.0)
     return base * F.when(accepted, 1.1).otherwise(1.0)
 

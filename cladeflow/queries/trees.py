@@ -49,7 +49,7 @@ def subtree_metrics(spark, folder):
     return sums.join(deepest, "id").select("id", "leaves", "size", "deepest")
 
 
-@query(PATHS_SQL + """, walked AS (SELECT id, depth, ids, list_transform(range(1, depth + 1), i -> names[i] || chr(1) || ids[i]) AS walk FROM paths),
+@query(PATHS_SQL + """, walked AS (SELECT id, depth, ids, list_transform(range(1, depth + 1), lambda i: names[i] || chr(1) || ids[i]) AS walk FROM paths),
   sizes AS (SELECT a AS id, count(*) AS size FROM (SELECT unnest(ids) AS a FROM paths) GROUP BY 1)
   SELECT w.id, row_number() OVER (ORDER BY walk) AS pre, 2 * row_number() OVER (ORDER BY walk) - depth AS lft,
   2 * row_number() OVER (ORDER BY walk) - depth + 2 * size - 1 AS rgt FROM walked w JOIN sizes USING (id)""")
@@ -132,7 +132,7 @@ def indented_text(spark, folder):
     return text.render_indented(paths, F.col("name"), ["name"]).groupBy("line").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT '(' || string_agg(n_name, ',' ORDER BY n_name, 'N' || n_nationkey) || ')' || r_name || ';' AS text FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name""")
+@query("""SELECT '(' || string_agg(n_name, ',' ORDER BY n_name, 'N' || n_nationkey) || ')' || CASE WHEN r_name LIKE '% %' THEN '''' || r_name || '''' ELSE r_name END || ';' AS text FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name""")
 def newick_text(spark, folder):
     paths = _paths(spark, folder).filter("depth <= 2")
     return text.newick(paths, F.col("name"), ["name"])
