@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, prepare, stage, texts, without
+from .common import batch, prepare, stage, texts, unstage, without
 from .components import components
 from .words import WHITE, Words, cut, grams, mix, slices
 
@@ -246,30 +246,37 @@ class _Join:
         return stage(bounded.filter("state < 1").unionByName(linked))
 
     def hubs(self, multi: DataFrame) -> DataFrame:
-        """`multi` with each column's hub, and how far a row's size lies from the hub's.
+        """`multi` with each column's hub and number of rows, `n`.
 
         The hub is the row in which the column has the least place: it has the
         fewest rarer columns, as near copies differ from what they were copied
-        from in rare ones.
+        from in rare ones. Of a column of two rows only the one that isn't the
+        hub is given, as the two are a single pair.
         """
         least = F.struct("place", F.xxhash64("node"))
-        hub = multi.groupBy("gram").agg(F.min_by(F.struct("node", "size"), least).alias("hub"))
-        hub = hub.select("gram", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"))
-        return multi.join(hub, "gram")
+        hub = multi.groupBy("gram").agg(F.min_by(F.struct("node", "size"), least).alias("hub"), F.count("*").alias("n"))
+        hub = hub.select("gram", "n", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"))
+        return multi.join(hub, "gram").filter((F.col("n") > 2) | (F.col("node") != F.col("hub")) & self._fits_hub())
+
+    def _fits_hub(self) -> Column:
+        size, other = F.col("size"), F.col("hub_size")
+        return (100 * size >= self.percent * other) & (100 * other >= self.percent * size)
 
     def stars(self, rows: DataFrame) -> DataFrame:
-        """Each row with the hubs of its columns."""
-        pairs = rows.filter("node != hub").withColumnRenamed("hub_size", "size_o").filter(_fits(self.percent))
+        """Pairs of rows and the hubs of their columns."""
+        pairs = rows.filter("node != hub").filter(self._fits_hub())
         return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
     def apart(self, rows: DataFrame, states: DataFrame, parts: DataFrame) -> DataFrame:
-        """Rows of columns that hold several components, with `component`, the largest one, `main`, and `state` to the hub."""
+        """Rows of columns that hold several components, with `component`, the largest one, `main`, and `state` to the hub.
+
+        Columns of two rows are decided already, and so are the pairs of a hub.
+        """
+        rows = rows.filter("n > 2")
         states = states.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "state")
         pair = (F.least("node", "hub") == F.col("_a")) & (F.greatest("node", "hub") == F.col("_b"))
         small, large = F.least("size", "hub_size"), F.greatest("size", "hub_size")
-        state = F.when(F.col("node") == F.col("hub"), 1).when(
-            100 * small < (2 * self.percent - 100) * large, -1
-        ).otherwise(F.coalesce("state", F.lit(0)))
+        state = F.when(100 * small < (2 * self.percent - 100) * large, -1).otherwise(F.coalesce("state", F.lit(0)))
         known = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         known = stage(known.select("gram", "node", "size", "place", "hub", "hub_size", "component"))
         several = (
@@ -280,8 +287,10 @@ class _Join:
             .filter("k > 1")
             .select("gram", F.col("most.component").alias("main"))
         )
-        open_ = known.join(several, "gram").join(states, pair, "left").withColumn("state", state)
-        return stage(open_.select("gram", "node", "size", "place", "component", "main", "state"))
+        open_ = known.join(several, "gram").filter("node != hub").join(states, pair, "left").withColumn("state", state)
+        out = stage(open_.select("gram", "node", "size", "place", "component", "main", "state"))
+        unstage(known)
+        return out
 
     def rest(self, rows: DataFrame, done: DataFrame) -> DataFrame:
         """Pairs of rows that share a column and may be linked though not of one component, but for those of `done`."""
@@ -417,8 +426,10 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     multi = stage(
         prefixes.mapInArrow(_perhaps(bits), prefixes.schema).join(repeated, "gram").dropDuplicates(["gram", "node"])
     )
+    unstage(prefixes, repeated)
     join = _Join(keyed, sets, n, percent)
     rows = stage(join.hubs(multi))
+    unstage(multi)
     states = join.decide(stage(join.stars(rows)))
     links = states.filter("state = 1").select("a", "b")
     parts = components(links)
