@@ -1,12 +1,18 @@
 """Language-model scores by a probabilistic suffix tree over bytes.
 
 Symbols are the 62 most frequent bytes of the lower-cased training texts, one
-symbol for all other bytes and one for a text's end. The contexts of up to DEPTH
-symbols that make up at least 1 / CONTEXTS of all training symbols are
-candidates, so there are CONTEXTS of each length at most, whatever the corpus.
-A candidate stays where its next-symbol distribution diverges enough from its
-suffix's. Distributions are smoothed by those of the suffix, and each symbol is
-scored in the longest context of the tree that precedes it.
+symbol for all other bytes and one for a text's end. All contexts of up to DEPTH
+symbols that the training texts hold are candidates, however rare. A candidate
+stays where its next-symbol distribution diverges enough from its suffix's.
+Distributions are smoothed by those of the suffix, and each symbol is scored in
+the longest context of the tree that precedes it.
+
+The tree isn't gathered. Contexts with the same last two symbols lie in one of
+PARTS partitions, at most SYMBOLS ** 2 of full length for each such pair, and are
+fitted there; the result is a table of the value of each context with each next
+symbol that occurs. It meets the documents in a join. Only rows with at least
+1 / (CONTEXTS * SYMBOLS) of all symbols, of which there are CONTEXTS * SYMBOLS at
+most, are sent to the workers; this bears on speed and not on values.
 
 A unigram score over words goes with it. Word counts are not bounded, so they
 meet the documents in a join; only words with at least 1 / FREQUENT of all
@@ -19,6 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +37,8 @@ BITS = 6
 SYMBOLS = 1 << BITS
 OTHER = SYMBOLS - 1
 CONTEXTS = 16_000
+#: Partitions in which the tree is fitted.
+PARTS = 128
 #: Nats that a context must save over its suffix, all its occurrences together.
 LEAST_SAVED = 24.0
 #: Occurrences that the suffix's distribution counts as.
@@ -126,15 +135,24 @@ def _contexts(symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
     return context
 
 
+TRAIN, HELD = 0, 1
+
+
 def _count_grams(codes: np.ndarray):
+    """Contexts joined with the next symbol, of training and held-out texts."""
+
     def run(batches):
-        grams = Tally()
+        tallies = {TRAIN: Tally(), HELD: Tally()}
         for b in batches:
-            for _, part in slices(b.column(0)):
-                symbols, places, _, _ = _laid_out(part, codes)
-                if out := grams.add(_contexts(symbols, places) << BITS | symbols[places]):
-                    yield _rows(0, out)
-        yield _rows(0, grams.take())
+            held = b.column("held_out")
+            for kind, grams in tallies.items():
+                own = b.column("text").filter(held if kind == HELD else pc.invert(held))
+                for _, part in slices(own):
+                    symbols, places, _, _ = _laid_out(part, codes)
+                    if out := grams.add(_contexts(symbols, places) << BITS | symbols[places]):
+                        yield _rows(kind, out)
+        for kind, grams in tallies.items():
+            yield _rows(kind, grams.take())
 
     return run
 
@@ -147,32 +165,43 @@ class SuffixTree:
         self.other = other  # log10 share of each byte among those of symbol OTHER
         self.contexts = contexts  # by length: sorted contexts and their numbers
         self.table = table.astype(np.float32)
-        self._longest = None
-
-    def longest(self) -> np.ndarray:
-        if self._longest is None:
-            states = np.zeros(1, np.uint16)
-            for length in range(1, DEPTH + 1):
-                states = np.tile(states, SYMBOLS)
-                where, number = self.contexts[length]
-                states[where] = number
-            self._longest = states
-        return self._longest
+
+    def states(self, contexts: np.ndarray) -> np.ndarray:
+        """The number of the longest context of the tree that ends each of DEPTH symbols."""
+        states = np.zeros(len(contexts), np.int64)
+        for length in range(1, DEPTH + 1):
+            where, number = self.contexts[length]
+            if len(where):
+                suffix = contexts & ((1 << BITS * length) - 1)
+                place = np.minimum(np.searchsorted(where, suffix), len(where) - 1)
+                states = np.where(where[place] == suffix, number[place], states)
+        return states
+
+    def values(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of the last symbol of each gram after the symbols before."""
+        return self.table[self.states(grams >> BITS), grams & OTHER]
 
     def score(self, part: pa.Array) -> np.ndarray:
         """log10 probability of each text, its end included."""
         symbols, places, first, data = _laid_out(part, self.codes)
-        state = self.longest()[_contexts(symbols, places)]
-        value = self.table.ravel()[state.astype(np.int32) * SYMBOLS + symbols[places]].astype(np.float64)
-        total = np.add.reduceat(value, first)
-        rare = self.other[data]
-        spread = np.concatenate([[0.0], np.cumsum(rare)])
-        at = raw(part)[1]
-        return total + spread[at[1:]] - spread[at[:-1]]
+        value = self.values(_contexts(symbols, places) << BITS | symbols[places]).astype(np.float64)
+        return np.add.reduceat(value, first) + _spread(self.other, part, data)
+
 
+def _spread(other: np.ndarray, part: pa.Array, data: np.ndarray) -> np.ndarray:
+    """Of each text, the sum of what its bytes of symbol OTHER add."""
+    total = np.concatenate([[0.0], np.cumsum(other[data])])
+    at = raw(part)[1]
+    return total[at[1:]] - total[at[:-1]]
 
-def fit_tree(levels: list[tuple[np.ndarray, np.ndarray]], byte_counts: np.ndarray, codes: np.ndarray) -> SuffixTree:
-    """levels[k]: contexts of k symbols joined with the next symbol, and counts."""
+
+def fit_tree(
+    levels: list[tuple[np.ndarray, np.ndarray]], byte_counts: np.ndarray, codes: np.ndarray, stay: tuple[int, ...] = ()
+) -> SuffixTree:
+    """levels[k]: contexts of k symbols joined with the next symbol, and counts.
+
+    Contexts of one symbol in `stay` are kept in any case.
+    """
     dense = []
     for keys, counts in levels:
         contexts, row = np.unique(keys >> BITS, return_inverse=True)
@@ -196,16 +225,79 @@ def fit_tree(levels: list[tuple[np.ndarray, np.ndarray]], byte_counts: np.ndarra
     for k in range(DEPTH, 1, -1):  # a context's suffixes stay with it
         suffix = dense[k][0][kept[k]] & ((1 << BITS * (k - 1)) - 1)
         kept[k - 1][np.searchsorted(dense[k - 1][0], suffix)] = True
+    if stay:
+        kept[1] |= np.isin(dense[1][0], stay)
     rows, numbered, at = [smooth[0]], [None], 1
     for k in range(1, DEPTH + 1):
         n = int(kept[k].sum())
-        numbered.append((dense[k][0][kept[k]], np.arange(at, at + n, dtype=np.uint16)))
+        numbered.append((dense[k][0][kept[k]], np.arange(at, at + n)))
         rows.append(smooth[k][kept[k]])
         at += n
+    return SuffixTree(codes, _other_shares(byte_counts, codes), numbered, np.log10(np.concatenate(rows)))
+
+
+def _other_shares(byte_counts: np.ndarray, codes: np.ndarray) -> np.ndarray:
     others = np.flatnonzero(codes == OTHER)
     other = np.zeros(256)
     other[others] = np.log10((byte_counts[others] + 1) / (byte_counts[others].sum() + len(others)))
-    return SuffixTree(codes, other, numbered, np.log10(np.concatenate(rows)))
+    return other
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by the last `symbols` symbols of the keys."""
+    found, at = np.unique(keys & ((1 << BITS * symbols) - 1), return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, at, counts)
+    return found, total
+
+
+def _fit_part(pairs: tuple[np.ndarray, np.ndarray], byte_counts: np.ndarray, codes: np.ndarray):
+    """key, n and value of all grams of a partition, which has whole pairs of last context symbols.
+
+    pairs: counts of all contexts of one symbol joined with the next. The value is
+    null where the tree has no context of two symbols or more; whether one of one
+    symbol stays depends on other partitions.
+    """
+
+    def run(batches):
+        held = list(batches)
+        if not held:
+            return
+        key, trained, n = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+        seen = trained > 0
+        deep = [_summed(key[seen], trained[seen], k + 1) for k in range(2, DEPTH + 1)]
+        tree = fit_tree([_summed(*pairs, 1), pairs, *deep], byte_counts, codes)
+        states = tree.states(key >> BITS)
+        value = tree.table[states, key & OTHER].astype(np.float64)
+        open_ = states <= len(tree.contexts[1][0])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(value, mask=open_)], names=["key", "n", "value"])
+
+    return run
+
+
+class Values:
+    """Values of some grams, by a table of slots; of grams that share a slot the last stays."""
+
+    SLOT_BITS = 22
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values, self._slots = keys, values, None
+
+    def _slot(self, keys):
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOT_BITS)
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is known, and its value, or 0."""
+        if self._slots is None:
+            own, value = np.full(1 << self.SLOT_BITS, -1, np.int32), np.zeros(1 << self.SLOT_BITS)
+            slot = self._slot(self.keys)
+            _, last = np.unique(slot[::-1], return_index=True)
+            last = len(slot) - 1 - last
+            own[slot[last]], value[slot[last]] = self.keys[last], self.values[last]
+            self._slots = own, value
+        slot = self._slot(keys)
+        known = self._slots[0][slot] == keys
+        return known, np.where(known, self._slots[1][slot], 0)
 
 
 def symbol_codes(byte_counts: np.ndarray) -> np.ndarray:
@@ -215,9 +307,17 @@ def symbol_codes(byte_counts: np.ndarray) -> np.ndarray:
     return codes
 
 
-def _score(tree, frequent):
+def _rare_grams(owner: np.ndarray, grams: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """Distinct grams of each of n texts, and how often each is there."""
+    both, times = np.unique(owner.astype(np.int64) << BITS * (DEPTH + 1) | grams, return_counts=True)
+    ends = pa.array(np.searchsorted(both >> BITS * (DEPTH + 1), np.arange(n + 1)), pa.int32())
+    grams = both & ((1 << BITS * (DEPTH + 1)) - 1)
+    return pa.ListArray.from_arrays(ends, pa.array(grams, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))
+
+
+def _score(codes, other, common, frequent):
     def run(batches):
-        model, (keys, counts) = tree.value, frequent.value
+        (keys, counts), common_values = frequent.value, common.value
         for b in batches:
             for at, part in slices(b.column("text")):
                 rows = slice(at, at + len(part))
@@ -236,6 +336,11 @@ def _score(tree, frequent):
                 n = len(part)
                 rare = np.flatnonzero(~known)
                 ends = pa.array(np.searchsorted(owner[rare], np.arange(n + 1)), pa.int32())
+                symbols, places, first, data = _laid_out(part, codes)
+                grams = _contexts(symbols, places) << BITS | symbols[places]
+                found, log_share = common_values.look_up(grams)
+                text = np.repeat(np.arange(n), np.diff(np.append(first, len(grams))))
+                score = np.add.reduceat(log_share, first) + _spread(other, part, data)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id")[rows],
@@ -243,19 +348,54 @@ def _score(tree, frequent):
                         pa.array(np.diff(words.bounds) + 1, pa.int64()),
                         pa.array(np.bincount(owner, known * times, n).astype(np.int64)),
                         pa.array(np.bincount(owner, value, n)),
-                        pa.array(model.score(part)),
+                        pa.array(score),
                         pa.ListArray.from_arrays(ends, pa.array(h[rare], pa.int64())),
                         pa.ListArray.from_arrays(ends, pa.array(times[rare], pa.int32())),
+                        *_rare_grams(text[~found], grams[~found], n),
                     ],
-                    names=["doc_id", "held_out", "n_tokens", "n_frequent", "frequent", "score", "rare", "times"],
+                    names=["doc_id", "held_out", "n_tokens", "n_frequent", "frequent", "score", "rare", "times", "grams", "gram_times"],
                 )
 
     return run
 
 
+def _gram_values(grams: DataFrame, byte_counts: np.ndarray, codes: np.ndarray) -> tuple[DataFrame, int]:
+    """key, n and value of each gram, and the sum of n; grams: key, trained, n."""
+    spark = grams.sparkSession
+    pair = F.col("key") % (1 << BITS * 2)
+    counted = grams.groupBy(pair.alias("pair")).agg(F.sum("trained").alias("trained"), F.sum("n").alias("n")).toArrow()
+    key, trained = counted.column("pair").to_numpy(), counted.column("trained").to_numpy()
+    order = np.flatnonzero(trained)
+    pairs = key[order].astype(np.int64), trained[order].astype(np.int64)
+
+    short = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(short)
+    spark.conf.set(short, "65536")  # numbers only
+    fitted = stage(
+        grams.repartition(PARTS, F.shiftright("key", BITS) % (1 << BITS * 2))
+        .select("key", "trained", "n")
+        .mapInArrow(_fit_part(pairs, byte_counts, codes), "key long, n long, value double")
+    )
+    spark.conf.set(short, before)
+
+    last = F.shiftright("key", BITS) % SYMBOLS
+    stay = fitted.filter("value is not null").select(last.alias("last")).distinct().collect()
+    empty = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tree = fit_tree([_summed(*pairs, 1), pairs, *[empty] * (DEPTH - 1)], byte_counts, codes, tuple(r["last"] for r in stay))
+    every = np.arange(1 << BITS * 2)
+    short_values = [(int(k), float(v)) for k, v in zip(every, tree.values(every))]
+    others = spark.createDataFrame(short_values, "pair long, short_value double")
+    whole = fitted.filter("value is not null").unionByName(
+        fitted.filter("value is null")
+        .join(F.broadcast(others), pair == F.col("pair"))
+        .select("key", "n", F.col("short_value").alias("value"))
+    )
+    return whole, int(counted.column("n").to_numpy().sum())
+
+
 SCORED = (
     "doc_id long, held_out boolean, n_tokens long, n_frequent long, frequent double, "
-    "score double, rare array<long>, times array<int>"
+    "score double, rare array<long>, times array<int>, grams array<long>, gram_times array<int>"
 )
 
 
@@ -286,26 +426,21 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     codes = symbol_codes(byte_counts)
 
     grams = stage(
-        training.mapInArrow(_count_grams(codes), "kind int, key long, n long")
+        rows.select("text", "held_out")
+        .mapInArrow(_count_grams(codes), "kind int, key long, n long")
         .groupBy("key")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum(F.when(F.col("kind") == TRAIN, F.col("n")).otherwise(0)).alias("trained"), F.sum("n").alias("n"))
     )
-    least = (int(byte_counts.sum()) + ends) / CONTEXTS
-    levels = []
-    for k in range(DEPTH + 1):
-        level = grams.groupBy((F.col("key") % (1 << BITS * (k + 1))).alias("key")).agg(F.sum("n").alias("n"))
-        context = F.shiftright("key", BITS)
-        often = level.groupBy(context.alias("context")).agg(F.sum("n").alias("t")).filter(F.col("t") >= least)
-        kept = level.join(F.broadcast(often), context == F.col("context")).select("key", "n").toArrow()
-        levels.append((kept.column("key").to_numpy(), kept.column("n").to_numpy()))
-    tree = fit_tree(levels, byte_counts, codes)
+    values, symbols = _gram_values(grams, byte_counts, codes)
+    common = values.filter(F.col("n") >= symbols / (CONTEXTS * SYMBOLS)).toArrow().sort_by("n")
+    common = Values(common.column("key").to_numpy(), common.column("value").to_numpy())
 
     words = counted.filter(F.col("kind") == WORD).select(F.col("key").alias("token"), F.col("n").alias("c"))
     often = words.filter(F.col("c") >= max(1, tokens / FREQUENT)).toArrow().sort_by("token")
     frequent = (often.column("token").to_numpy(), often.column("c").to_numpy())
-    sent = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(frequent)
+    sent = spark.sparkContext.broadcast(common), spark.sparkContext.broadcast(frequent)
     scored = stage(
-        rows.mapInArrow(_score(*sent), SCORED).withColumn("row", F.monotonically_increasing_id())
+        rows.mapInArrow(_score(codes, _other_shares(byte_counts, codes), *sent), SCORED).withColumn("row", F.monotonically_increasing_id())
     )
     pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
     rest = (
@@ -314,14 +449,21 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         .groupBy("row")
         .agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("value"))
     )
+    contexts = (
+        scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("x"))
+        .select("row", F.col("x.grams").alias("key"), F.col("x.gram_times").alias("times"))
+        .join(values.select("key", F.col("value").alias("log_share")), "key")
+        .groupBy("row")
+        .agg(F.sum(F.col("times") * F.col("log_share")).alias("rare_score"))
+    )
     unseen = math.log10((tokens + 1) * (distinct + 1))
     end = math.log10(ends + 1)
-    return scored.join(rest, "row", "left").select(
+    return scored.join(rest, "row", "left").join(contexts, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0)) + (1 if ends else 0)).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("frequent") + F.coalesce("value", F.lit(0.0)) + end - F.col("n_tokens") * unseen).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )

@@ -87,3 +87,39 @@ def test_empty_and_unlearned(spark):
     only = next(i for i in range(100) if held(i))
     row = lm_scores(frame(spark, [(only, "some text")])).first()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (3, 0, 0) and row["score"] < 0
+
+
+def whole_tree(train):
+    """The tree of all contexts that the texts hold, without any cut."""
+    part = pa.array([t or "" for t in train])
+    counts = np.bincount(np.frombuffer("".join(map(low, train)).encode(), np.uint8), minlength=256)
+    codes = symbol_codes(counts)
+    symbols, places, _, _ = st._laid_out(part, codes)
+    grams = (st._contexts(symbols, places) << BITS | symbols[places]).tolist()
+    levels = []
+    for k in range(DEPTH + 1):
+        found = sorted(Counter(g % (1 << BITS * (k + 1)) for g in grams).items())
+        levels.append((np.array([g for g, _ in found]), np.array([n for _, n in found])))
+    return fit_tree(levels, counts, codes)
+
+
+@pytest.mark.parametrize("contexts", [16_000, 2])
+def test_rare_contexts_stay_whatever_the_size(spark, monkeypatch, contexts):
+    filler = "the cat sat on the mat and a dog ran to it "
+    train = [i for i in range(200) if not held(i)]
+    rows = [(i, filler * 60) for i in train[:150]] + [(i, "zqxj wvk") for i in train[150:165]]
+    rows += [(d, t) for d, t in texts(9) if d is not None and d >= 300]
+    rows += [(1000 + i, t) for i, t in enumerate(["zqxj", "the zqxw", "\x01\x02", "東京 zqxj"])]
+    tree = whole_tree([t for d, t in rows if not held(d)])
+    # 15 occurrences are less than 1/16000 of the symbols
+    assert sum(len(t or "") for _, t in rows) / 16_000 > 15
+    assert tree.codes[ord("z")] in tree.contexts[1][0]
+    monkeypatch.setattr(st, "CONTEXTS", contexts)
+    got = lm_scores(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    want = Counter((d, round(float(v), 2)) for (d, _), v in zip(rows, tree.score(pa.array([t or "" for _, t in rows]))))
+    by_id = {}
+    for d, v in want:
+        by_id.setdefault(d, []).append(v)
+    for r in got:
+        assert any(math.isclose(r["score"], v, rel_tol=1e-5, abs_tol=0.02) for v in by_id[r["doc_id"]])
