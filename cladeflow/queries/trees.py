@@ -125,6 +125,14 @@ def relation_closure(spark, folder):
     return tree.closure(edges)
 
 
+@query()
+def relation_closure_all(spark, folder):
+    """Groups of what all line items connect, orders and parts by their own keys; see the tests."""
+    (items,) = tables(spark, folder, "lineitem")
+    key = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    return tree.closure(items.select(key("O", "l_orderkey").alias("a"), key("P", "l_partkey").alias("b")))
+
+
 @query(PATHS_SQL + """, lines AS (SELECT repeat(' ', (2 * (depth - 1))::INTEGER) || name AS line FROM paths WHERE depth <= 2) SELECT line, count(*) AS n FROM lines GROUP BY 1""")
 def indented_text(spark, folder):
     """A text tree of the upper levels; lines are counted, as results have no order."""
