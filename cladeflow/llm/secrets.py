@@ -29,8 +29,16 @@ BASE_KINDS = {
 #: Further credentials: keys of well-known services, signed web tokens, passwords
 #: in addresses, private keys, and long words that mix cases and digits.
 ADDED_KIND = "live"
-ADDED = (
+#: A private key with its body and footer, or as much of the body as there is.
+KEY = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"(?:(?:\s*(?:Proc-Type|DEK-Info):[^\r\n]*){0,2}[^-]*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?:(?:\s{0,4}[A-Za-z0-9+/]{16,}={0,2}){1,512}(?:\s{0,4}[A-Za-z0-9+/]{1,15}={0,2}\s*\z)?)?)"
+)
+#: What isn't the body of a key.
+KEY_FRAME = r"-----(?:BEGIN|END) [A-Z ]{0,20}PRIVATE KEY-----|\s|\\[nr]"
+ADDED = (
+    KEY +
     r"|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
     r"|\b(?:gh[pousr]_|sk-|xox[abprs]-|AIza)[A-Za-z0-9_-]{16,}"
     r"|(?<=://)[^\s/:@]{1,64}:[^\s/:@]{6,64}(?=@)"
@@ -48,6 +56,10 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least:
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    is_key = lambda x: F.lit(kind == ADDED_KIND) & x.startswith("-----BEGIN ")
+    if kind == ADDED_KIND:  # a key's header is the same in all keys, its body is the value
+        body = lambda x: F.regexp_replace(x, KEY_FRAME, "")
+        values = F.transform(found, lambda x: F.when(is_key(x) & (body(x) != ""), body(x)).otherwise(x))
     empty = F.array().cast(f"array<{_SPAN}>")
     walked = F.aggregate(
         F.arrays_zip(gaps.alias("gap"), found.alias("found"), values.alias("value")),
@@ -61,7 +73,7 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least:
                     F.array(
                         F.struct(
                             F.lit(kind).alias("kind"),
-                            F.lit(rank).alias("rank"),
+                            F.when(is_key(x["found"]), rank + 1).otherwise(rank).alias("rank"),
                             (a["at"] + x["gap"]).alias("s"),
                             (a["at"] + x["gap"] + F.length(x["found"])).alias("e"),
                             x["value"].alias("value"),
@@ -135,16 +147,17 @@ def scan(
     )
     known = each.join(ownership(each), "value_hash")
     live = F.col("n_owners") <= most_owners
-    added = F.col("rank") == len(BASE_KINDS)
+    added = F.col("rank") >= len(BASE_KINDS)
     span = F.struct("kind", "rank", "s", "e", "value", live.alias("live"))
     grouped = (
         known.filter(~added | live)
         .groupBy("row")
         .agg(F.collect_list(F.when(~added, span)).alias("base"), F.collect_list(F.when(added, span)).alias("added"))
     )
-    apart = F.filter(  # what overlaps a base span is found already
+    apart = F.filter(  # what overlaps a base span is found already, but for keys
         F.col("added"),
-        lambda x: ~F.exists(F.col("base"), lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])),
+        lambda x: (x["rank"] > len(BASE_KINDS))
+        | ~F.exists(F.col("base"), lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])),
     )
     grouped = grouped.select(
         "row", F.struct(F.col("base").alias("base"), F.concat("base", apart).alias("all")).alias("secret_scan")

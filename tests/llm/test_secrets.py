@@ -85,3 +85,31 @@ def test_redact_takes_all_spans_out(spark):
 def test_empty_table(spark):
     assert secret_report(empty(spark)).count() == 0
     assert redact(empty(spark)).count() == 0
+
+
+def pem(body, kind="RSA "):
+    return f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+
+
+def test_private_keys_are_whole_and_told_apart_by_their_bodies(spark):
+    from fixtures import DOCS
+
+    r = random.Random(5)
+    body = lambda: "\n".join("".join(r.choice("aB3+/xY9") for _ in range(64)) for _ in range(12)) + "=="
+    shared = pem(body())
+    keys = [pem(body()) for _ in range(6)]
+    encrypted = pem("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n" + body())
+    texts_ = [f"key {k} end" for k in keys]  # one owner each, all with one header
+    texts_ += [f"key {shared} end"] * 5
+    texts_ += [f"key {encrypted} end", f'secret = "{pem(body(), "")}" end', f"cut {pem(body())[:500]}"]
+    given = [(i, t, "en", f"owner{i}/r", 0, *[None] * 5, "x", None)[:12] for i, t in enumerate(texts_)]
+    docs = spark.createDataFrame(given, DOCS)
+    got = {x["doc_id"]: x["spans"] for x in secret_report(docs).collect()}
+    for i, k in enumerate(keys):
+        assert got[i] == f"live:4:{4 + len(k)}"
+    assert all(got[6 + i] == "" for i in range(5))
+    assert got[11] == f"live:4:{4 + len(encrypted)}"
+    assert got[13] == "live:4:504"
+    out = {x["doc_id"]: x["text"] for x in redact(docs).collect()}
+    assert all(out[i] == "key [SECRET] end" for i in [*range(6), 11])
+    assert out[12] == '[SECRET]" end'
