@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Texts may hold megabytes, so batches stay short.
 BATCH_ROWS = 512
+BATCH_BYTES = 32 << 20
 
 _shipped: set[str] = set()
 
@@ -21,6 +22,7 @@ _shipped: set[str] = set()
 def prepare(spark: SparkSession) -> None:
     """Sends this package to the Python workers and keeps Arrow batches short."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -112,3 +114,29 @@ def without(rows: DataFrame, key, keys: DataFrame) -> DataFrame:
     keys = stage(keys.toDF(name).filter(f"{name} is not null").distinct())
     other = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     return rows.join(other, key == F.col(name), "left_anti")
+
+
+#: A key with 1 / HEAVY of the rows is dealt out apart; there are HEAVY such keys at most.
+HEAVY = 256
+
+
+def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """`key` and `_parts`, over how many tasks to deal it, of keys with 1 / HEAVY of the staged `rows`; None without any."""
+    total = rows.count()
+    n = F.col("count")
+    found = rows.groupBy(key).count().filter((n * HEAVY >= total) & (n >= HEAVY)).collect()
+    if not found:
+        return None
+    return rows.sparkSession.createDataFrame([(r[0], -(-HEAVY * r[1] // total)) for r in found], f"{key} long, _parts long")
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """`rows` joined with a staged table that has one row a key and, in column `n`, how many of `total` rows have it.
+
+    Keys with 1 / HEAVY of the rows or more, HEAVY at most, are broadcast, so that
+    none of them makes one large task; the others meet the rows in a shuffle.
+    """
+    hot = F.col(n) * HEAVY >= max(total, 1)
+    few = F.broadcast(table.filter(hot))
+    rest = rows.join(F.broadcast(table.filter(hot).select(key)), key, "left_anti").join(table.filter(~hot), key)
+    return rows.join(few, key).unionByName(rest)

@@ -1,30 +1,33 @@
 """N-gram Jaccard join as a blocked sparse product of document by n-gram.
 
 Documents are rows and word n-grams columns of an incidence matrix. Documents
-with equal rows are one node. Of each row only the rarest columns enter the
-first product: two rows of similarity t share one of their
-n - ceil(t * n) + 1 rarest. Columns are dealt out by hash, and each block of
-columns gives partial overlap counts for the pairs of rows that meet in it.
-Bounds from the rows' sizes and from a column's place within them discard pairs;
-the product over all columns decides the others.
+with equal rows are one node. Columns are dealt out by hash, and each block of
+columns tells which rows meet in it. Two bounds keep rows out of most columns.
+By size: rows of similarity t share at least ceil(t * n) columns, so their
+first n - ceil(t * n) + k columns, in any one order, have k in common. Columns
+are counted among these first parts alone; a row then needs only all but k - 1
+of its part, and takes the rarest. A chance column rarely is among them.
 
 A column that thousands of near copies share isn't squared. Its rows first meet
-one hub, and linked rows are joined to components. Where a column then still
-holds several components, the rows outside its largest meet the rows of other
-components. Two rows of one component need no link of their own. One minus the
-Jaccard similarity is a metric, so a row that is linked with the hub need not
-meet one that is farther from the hub than twice a link's distance. Any other
-pair that could be linked is decided.
+one hub, and linked rows are joined to components. By distance from the hub: a
+row u that is not linked with hub h can only be linked with v if the columns in
+which u differs from h and those in which v does have more than
+(t * extra + missing) / (1 + t) in common, of v's extra and missing columns.
+So what is left to do is a second product, of rows by their differences from a
+hub, of which v needs the rarest alone; near copies with edits of their own do
+not meet there. Any pair that could be linked is decided by its whole rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, prepare, stage, texts, unstage, without
+from .common import batch, heavy_keys, join_spread, prepare, stage, unstage, without
 from .components import components
 from .words import WHITE, Words, cut, grams, mix, slices
 
@@ -32,13 +35,12 @@ from .words import WHITE, Words, cut, grams, mix, slices
 HOT_COLUMNS = 1 << 16
 #: A column is reported by a task when so many of its documents have it.
 HOT_IN_TASK = 4
-#: Blocks of columns whose counts bound an overlap.
-BLOCKS = 256
-#: Cells of the filter that tells which columns more than one document may have (8 MB of bits).
+#: Cells of the filter that tells which columns more than one row may have (8 MB of bits).
 FILTER_BITS = 26
-STATES = ["a", "b", "state"]
 #: Up to so many ids are sent to all workers (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Values of rows that are laid side by side at once.
+PRODUCT_VALUES = 1 << 21
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,15 +95,17 @@ def _describe(n: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id")[at : at + m],
+                        b.column("row_key")[at : at + m],
                         pa.array(size, pa.int64()),
                         pa.array(node, pa.int64()),
                         pa.nulls(m, pa.int64()),
                     ],
-                    names=["doc_id", "n_shingles", "node", "hot"],
+                    names=["doc_id", "row_key", "n_shingles", "node", "hot"],
                 )
         hot = [(h, c) for h, c in seen.items() if c >= HOT_IN_TASK]
         yield batch(
             doc_id=([None] * len(hot), pa.int64()),
+            row_key=([None] * len(hot), pa.int64()),
             n_shingles=([c for _, c in hot], pa.int64()),
             node=(np.array([h for h, _ in hot], np.uint64).view(np.int64), pa.int64()),
             hot=([1] * len(hot), pa.int64()),
@@ -110,8 +114,18 @@ def _describe(n: int):
     return run
 
 
-def _prefixes(n: int, percent: int, hot):
-    """The rarest columns of each node, with their place and the node's size."""
+def _least_shared(size, percent: int):
+    """Columns that a row of this size shares with any row it is linked with."""
+    return -(-percent * size // 100)
+
+
+def _spare(size, percent: int):
+    """How many common columns the first parts of linked rows of this size or more have."""
+    return np.maximum(1, (100 - percent) * size // 100)
+
+
+def _first_parts(n: int, percent: int, hot):
+    """The first columns of each node, its size, and how many of them it needs at last."""
 
     def run(batches):
         keys, counts = hot.value
@@ -134,14 +148,18 @@ def _prefixes(n: int, percent: int, hot):
                     often = np.where(keys[place] == what, counts[place], 0)
                 order = np.lexsort((what, often, who))
                 who, what = who[order], what[order]
-                first = np.searchsorted(who, np.arange(len(part)))
-                place = np.arange(len(who)) - first[who]
-                used = place < (size - -(-percent * size // 100) + 1)[who]
+                begin = np.searchsorted(who, np.arange(len(part)))
+                least = _least_shared(size, percent)
+                first = size - least + _spare(size, percent)
+                needed = first - _spare(least, percent) + 1
+                used = np.arange(len(who)) - begin[who] < first[who]
+                at = who[used]
                 yield batch(
                     gram=(what[used].view(np.int64), pa.int64()),
-                    node=(node[who[used]], pa.int64()),
-                    size=(size[who[used]], pa.int32()),
-                    place=(place[used], pa.int32()),
+                    node=(node[at], pa.int64()),
+                    size=(size[at], pa.int32()),
+                    first=(first[at], pa.int32()),
+                    needed=(needed[at], pa.int32()),
                 )
 
     return run
@@ -166,203 +184,182 @@ def _rows(n: int):
     return run
 
 
-def _product(percent: int):
-    """Pairs with state 1 if the overlap over all columns is large enough, else 0."""
-
-    def run(batches):
-        for b in batches:
-            m = b.num_rows
+def _side_by_side(batches):
+    """Parts of batches with rows x and y, as (part, sizes of x and y, value, pair, side)."""
+    for b in batches:
+        ends = sum(b.column(name).offsets.to_numpy().astype(np.int64) for name in ("x", "y"))
+        begin = 0
+        while begin < b.num_rows:
+            end = int(np.searchsorted(ends, ends[begin] + PRODUCT_VALUES, "right")) - 1
+            end = min(max(end, begin + 1), b.num_rows)
+            part, begin = b.slice(begin, end - begin), end
             sides = []
             for name in ("x", "y"):
-                column = b.column(name)
+                column = part.column(name)
                 bounds = column.offsets.to_numpy().astype(np.int64)
-                values = column.values.to_numpy().view(np.uint64)[bounds[0] : bounds[-1]]
-                sides.append((np.diff(bounds), values))
+                sides.append((np.diff(bounds), column.values.to_numpy().view(np.uint64)[bounds[0] : bounds[-1]]))
             size = [s for s, _ in sides]
-            pair = np.concatenate([np.repeat(np.arange(m), s) for s in size]).astype(np.uint64)
-            key = np.concatenate([v for _, v in sides]) ^ mix(pair + np.uint64(1))
-            order = np.lexsort((key, pair))
-            key, pair = key[order], pair[order].astype(np.int64)
-            twice = (key[1:] == key[:-1]) & (pair[1:] == pair[:-1])
-            overlap = np.bincount(pair[1:][twice], minlength=m)
+            pair = np.concatenate([np.repeat(np.arange(part.num_rows), s) for s in size])
+            value = np.concatenate([v for _, v in sides])
+            side = np.repeat(np.arange(2), [s.sum() for s in size])
+            order = np.lexsort((side, value, pair))
+            yield part, size, value[order], pair[order], side[order]
+
+
+def _product(percent: int):
+    """Pairs, and whether the overlap over all columns is large enough."""
+
+    def run(batches):
+        for b, size, value, pair, _ in _side_by_side(batches):
+            twice = (value[1:] == value[:-1]) & (pair[1:] == pair[:-1])
+            overlap = np.bincount(pair[1:][twice], minlength=b.num_rows)
             linked = 100 * overlap >= percent * (size[0] + size[1] - overlap)
-            yield pa.RecordBatch.from_arrays(
-                [*b.select(["a", "b"]).columns, pa.array(linked.astype(np.int32))], names=STATES
-            )
+            yield pa.RecordBatch.from_arrays([*b.select(["a", "b"]).columns, pa.array(linked)], names=["a", "b", "linked"])
 
     return run
 
 
-def _least_overlap(percent: int, a: str, b: str) -> Column:
-    """The overlap that sets of these sizes need: ceil(t / (1 + t) * (|a| + |b|))."""
-    return F.ceil(F.lit(percent) * (F.col(a) + F.col(b)) / (100 + percent))
+DIFFERENCES = "cell long, node long, size int, component long, probes boolean, listed boolean"
 
 
-def _fits(percent: int) -> Column:
-    """Sizes of a pair with columns size and size_o are near enough to each other."""
-    return (100 * F.col("size") >= percent * F.col("size_o")) & (100 * F.col("size_o") >= percent * F.col("size"))
+def _differences(percent: int):
+    """The columns in which a node, x, differs from its hub, y: all of an unlinked node, else those it needs."""
+
+    def run(batches):
+        for b, _, value, pair, side in _side_by_side(batches):
+            both = np.zeros(len(value) + 1, bool)
+            both[1:-1] = (value[1:] == value[:-1]) & (pair[1:] == pair[:-1])
+            once = ~(both[1:] | both[:-1])
+            value, pair, side = value[once], pair[once], side[once]
+            extra, missing = (np.bincount(pair[side == i], minlength=b.num_rows) for i in (0, 1))
+            shared = (percent * extra + 100 * missing) // (100 + percent) + 1
+            order = np.lexsort((mix(value), side, pair))
+            value, pair = value[order], pair[order]
+            place = np.arange(len(pair)) - np.searchsorted(pair, np.arange(b.num_rows))[pair]
+            listed = place < (extra + missing - shared + 1)[pair]
+            probes = ~b.column("linked").to_numpy(zero_copy_only=False)[pair]
+            used = listed | probes
+            at, hub = pair[used], b.column("hub").to_numpy().view(np.uint64)
+            column = lambda name: b.column(name).to_numpy()[at]
+            yield batch(
+                cell=(mix(value[used] ^ mix(hub[at] + np.uint64(1))).view(np.int64), pa.int64()),
+                node=(column("node"), pa.int64()),
+                size=(column("size"), pa.int32()),
+                component=(column("component"), pa.int64()),
+                probes=(probes[used], pa.bool_()),
+                listed=(listed[used], pa.bool_()),
+            )
+
+    return run
+
+
+def _fits(percent: int, a: str, b: str) -> Column:
+    """Sizes of a pair are near enough to each other."""
+    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
 class _Join:
     def __init__(self, keyed: DataFrame, sets: DataFrame, n: int, percent: int):
         self.keyed, self.sets, self.n, self.percent = keyed, sets, n, percent
+        self.grams: DataFrame | None = None
 
-    def _of(self, nodes: DataFrame, run, fields: str) -> DataFrame:
-        """What `run` makes of one document of each node."""
-        ids = stage(
-            self.sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        )
-        few = ids.select("doc_id").distinct()
-        wanted = ids.select("node")
-        if ids.count() <= BROADCAST_IDS:
+    def gather(self, nodes: DataFrame) -> None:
+        """Lays out the whole row of each of `nodes`, from one document of it."""
+        keys = stage(self.sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key")))
+        few, wanted = keys.select("row_key").distinct(), keys.select("node")
+        if keys.count() <= BROADCAST_IDS:
             few, wanted = F.broadcast(few), F.broadcast(wanted)
         made = stage(
-            self.keyed.join(few, "doc_id", "left_semi").select("text").mapInArrow(run, fields).join(wanted, "node", "left_semi")
+            self.keyed.join(few, "row_key", "left_semi")
+            .select("text")
+            .mapInArrow(_rows(self.n), "node long, grams array<long>")
+            .join(wanted, "node", "left_semi")
         )
         once = made.agg(F.count("*") == F.count_distinct("node")).first()[0]
-        return made if once else stage(made.dropDuplicates(["node"]))
+        self.grams = made if once else stage(made.dropDuplicates(["node"]))
+
+    def attach(self, pairs: DataFrame, end: str, name: str) -> DataFrame:
+        """`pairs`, staged, with the row of the node in column `end`; rows of frequent nodes are dealt out."""
+        right = self.grams.select(F.col("node").alias(end), F.col("grams").alias(name))
+        heavy = heavy_keys(pairs, end)
+        if heavy is None:
+            return pairs.join(right, end)
+        parts = F.coalesce("_parts", F.lit(1).cast("long"))
+        left = pairs.join(F.broadcast(heavy), end, "left")
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(*pairs.columns), parts)).drop("_parts")
+        right = right.join(F.broadcast(heavy), end, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        return left.join(right.drop("_parts"), [end, "_salt"]).drop("_salt")
+
+    def rows_of(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """`pairs`, staged, with the rows `x` and `y` of the nodes in columns `a` and `b`."""
+        columns = [*pairs.columns, "x", "y"]
+        if heavy_keys(pairs, b) is None:
+            return self.attach(pairs, a, "x").join(self.grams.select(F.col("node").alias(b), F.col("grams").alias("y")), b).select(columns)
+        first, second = (self.attach(pairs, end, name) for end, name in ((a, "x"), (b, "y")))
+        return first.join(second, pairs.columns).select(columns)
 
     def decide(self, pairs: DataFrame) -> DataFrame:
-        """`a`, `b` and `state` of the staged pairs: 1 linked, -1 far apart, 0 neither.
-
-        Counts by block of columns bound the overlap first; the pairs that may be
-        linked are decided by the product over all columns.
-        """
-        both = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        side = lambda rows, end, name: rows.select(F.col("node").alias(end), F.struct(*rows.columns[1:]).alias(name))
-        profiles = self._of(both(pairs), _profiles(self.n), "node long, size int, blocks binary")
-        bounded = stage(
-            pairs.join(side(profiles, "a", "x"), "a")
-            .join(side(profiles, "b", "y"), "b")
-            .mapInArrow(_bounded(self.percent), "a long, b long, state int")
-        )
-        near = bounded.filter("state = 1").select("a", "b")
-        rows = self._of(both(near), _rows(self.n), "node long, grams array<long>")
-        linked = (
-            near.join(rows.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-            .join(rows.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-            .mapInArrow(_product(self.percent), "a long, b long, state int")
-        )
-        return stage(bounded.filter("state < 1").unionByName(linked))
+        """`a`, `b` and `linked` of the pairs of a staged table."""
+        return stage(self.rows_of(pairs, "a", "b").mapInArrow(_product(self.percent), "a long, b long, linked boolean"))
 
-    def hubs(self, multi: DataFrame) -> DataFrame:
-        """`multi` with each column's hub and number of rows, `n`.
+    def stars(self, rows: DataFrame) -> DataFrame:
+        """node, hub, their sizes, and whether the columns in which they meet have more rows, `several`.
 
-        The hub is the row in which the column has the least place: it has the
-        fewest rarer columns, as near copies differ from what they were copied
-        from in rare ones. Of a column of two rows only the one that isn't the
-        hub is given, as the two are a single pair.
+        The hub of a column is the row with the fewest rarer columns: near
+        copies differ from what they were copied from in rare ones.
         """
         least = F.struct("place", F.xxhash64("node"))
-        hub = multi.groupBy("gram").agg(F.min_by(F.struct("node", "size"), least).alias("hub"), F.count("*").alias("n"))
-        hub = hub.select("gram", "n", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"))
-        return multi.join(hub, "gram").filter((F.col("n") > 2) | (F.col("node") != F.col("hub")) & self._fits_hub())
-
-    def _fits_hub(self) -> Column:
-        size, other = F.col("size"), F.col("hub_size")
-        return (100 * size >= self.percent * other) & (100 * other >= self.percent * size)
-
-    def stars(self, rows: DataFrame) -> DataFrame:
-        """Pairs of rows and the hubs of their columns."""
-        pairs = rows.filter("node != hub").filter(self._fits_hub())
-        return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        hubs = stage(
+            rows.groupBy("gram")
+            .agg(F.min_by(F.struct("node", "size"), least).alias("hub"), F.count("*").alias("n"))
+            .filter("n > 1")
+        )
+        met = join_spread(rows, hubs, "gram", "n", rows.count()).filter(F.col("node") != F.col("hub.node"))
+        return stage(
+            met.groupBy("node", F.col("hub.node").alias("hub"))
+            .agg(F.first("size").alias("size"), F.first("hub.size").alias("hub_size"), F.max(F.col("n") > 2).alias("several"))
+        )
 
-    def apart(self, rows: DataFrame, states: DataFrame, parts: DataFrame) -> DataFrame:
-        """Rows of columns that hold several components, with `component`, the largest one, `main`, and `state` to the hub.
+    def left(self, met: DataFrame, states: DataFrame, parts: DataFrame) -> DataFrame:
+        """Pairs of different components that the differences from a hub leave.
 
-        Columns of two rows are decided already, and so are the pairs of a hub.
+        A pair is met where the one, not linked with the hub, probes with all of
+        its differences, and the other has the column among those it needs.
         """
-        rows = rows.filter("n > 2")
-        states = states.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "state")
+        linked = states.filter("linked").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "linked")
         pair = (F.least("node", "hub") == F.col("_a")) & (F.greatest("node", "hub") == F.col("_b"))
-        small, large = F.least("size", "hub_size"), F.greatest("size", "hub_size")
-        state = F.when(100 * small < (2 * self.percent - 100) * large, -1).otherwise(F.coalesce("state", F.lit(0)))
-        known = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        known = stage(known.select("gram", "node", "size", "place", "hub", "hub_size", "component"))
-        several = (
-            known.groupBy("gram", "component")
-            .agg(F.count("*").alias("n"))
-            .groupBy("gram")
-            .agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("k"))
-            .filter("k > 1")
-            .select("gram", F.col("most.component").alias("main"))
+        members = stage(
+            met.filter("several")
+            .join(linked, pair, "left")
+            .join(parts, "node", "left")
+            .select("node", "hub", "size", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("component", "node").alias("component"))
         )
-        open_ = known.join(several, "gram").filter("node != hub").join(states, pair, "left").withColumn("state", state)
-        out = stage(open_.select("gram", "node", "size", "place", "component", "main", "state"))
-        unstage(known)
-        return out
-
-    def rest(self, rows: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs of rows that share a column and may be linked though not of one component, but for those of `done`."""
-        other = rows.select(
-            *(F.col(c).alias(f"{c}_o") for c in ("gram", "node", "size", "place", "component", "main", "state"))
-        )
-        once = (F.col("component_o") == F.col("main_o")) | (F.col("node") < F.col("node_o"))
-        bound = F.least("place", "place_o") + 1 + F.least(
-            F.col("size") - F.col("place") - 1, F.col("size_o") - F.col("place_o") - 1
+        mixed = stage(
+            members.groupBy("hub")
+            .agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+            .filter("least < most")
+            .select("hub", "n")
         )
-        met = rows.filter("component != main").join(
-            other,
-            (F.col("gram") == F.col("gram_o"))
-            & (F.col("component") != F.col("component_o"))
-            & (F.col("state") * F.col("state_o") != -1)
-            & _fits(self.percent)
-            & (bound >= _least_overlap(self.percent, "size", "size_o"))
-            & self._indexed()
-            & once,
+        open_ = stage(join_spread(members, mixed, "hub", "n", members.count()).drop("n"))
+        cells = stage(self.rows_of(open_, "node", "hub").mapInArrow(_differences(self.percent), DIFFERENCES))
+        several = stage(
+            cells.groupBy("cell", "component")
+            .agg(F.count("*").alias("n"), F.max("probes").alias("probes"))
+            .groupBy("cell")
+            .agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("k"), F.max("probes").alias("probes"), F.sum("n").alias("n"))
+            .filter("k > 1 and probes")
+            .select("cell", "n", F.col("main.component").alias("main"))
         )
-        pairs = met.select(F.least("node", "node_o").alias("a"), F.greatest("node", "node_o").alias("b"))
-        return pairs.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-
-    def _indexed(self) -> Column:
-        """The smaller row has the column among those that a row of its size or more needs to share.
-
-        Of two rows with |x| <= |y|, x needs only its |x| - ceil(2t / (1 + t) * |x|) + 1
-        rarest columns: the overlap is 2t / (1 + t) * |x| at least.
-        """
-        t = 2 * self.percent / (100 + self.percent)
-        short = lambda size, place: F.col(place) < F.col(size) - F.ceil(F.col(size) * t - 1e-6) + 1
-        first = (F.col("size") < F.col("size_o")) | (
-            (F.col("size") == F.col("size_o")) & (F.col("node") < F.col("node_o"))
-        )
-        return F.when(first, short("size", "place")).otherwise(short("size_o", "place_o"))
-
-
-def _profiles(n: int):
-    """Set sizes, and how many columns of each block a row has."""
-
-    def run(batches):
-        for b in batches:
-            for _, part in slices(b.column(0)):
-                who, what, size, node = _sets(part, n)
-                cell = who * BLOCKS + (what % np.uint64(BLOCKS)).astype(np.int64)
-                counts = np.bincount(cell, minlength=len(part) * BLOCKS).astype("<u4").reshape(-1, BLOCKS)
-                yield batch(
-                    node=(node, pa.int64()),
-                    size=(size, pa.int32()),
-                    blocks=([c.tobytes() for c in counts], pa.binary()),
-                )
-
-    return run
-
-
-def _bounded(percent: int):
-    """Pairs with state 1 if an overlap bounded block by block is large enough, -1 if far too small, else 0."""
-
-    def run(batches):
-        for b in batches:
-            size, blocks = [], []
-            for name in ("x", "y"):
-                sizes, binaries = b.column(name).flatten()
-                size.append(sizes.to_numpy().astype(np.int64))
-                blocks.append(np.frombuffer(b"".join(binaries.to_pylist()), "<u4").reshape(-1, BLOCKS))
-            most = np.minimum(*blocks).sum(1).astype(np.int64)
-            either = size[0] + size[1] - most
-            far = 100 * most < (2 * percent - 100) * either
-            state = np.where(far, -1, np.where(100 * most >= percent * either, 1, 0))
-            yield pa.RecordBatch.from_arrays([*b.select(["a", "b"]).columns, pa.array(state, pa.int32())], names=STATES)
-
-    return run
+        met_cells = stage(join_spread(cells, several, "cell", "n", cells.count()).drop("n"))
+        others = met_cells.filter("listed").select(*(F.col(c).alias(f"{c}_o") for c in ("cell", "node", "size", "component", "main")))
+        apart = (F.col("cell") == F.col("cell_o")) & (F.col("component") != F.col("component_o")) & _fits(self.percent, "size", "size_o")
+        probes = met_cells.filter("probes")
+        small = probes.filter("component != main").join(others, apart)
+        large = probes.filter("component = main").join(others.filter("component_o != main_o"), apart)
+        found = small.unionByName(large).select(F.least("node", "node_o").alias("a"), F.greatest("node", "node_o").alias("b"))
+        out = stage(found.distinct().join(states.select("a", "b"), ["a", "b"], "left_anti"))
+        unstage(members, mixed, open_, cells, several, met_cells)
+        return out
 
 
 def _known_bits(rows: DataFrame) -> np.ndarray:
@@ -391,22 +388,23 @@ def _perhaps(bits):
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row.
+    """doc_id, n_shingles, component_id, row_key and head_key of each row.
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space. A
     text of fewer than n words has one shingle, all its words; null texts and
     texts without words have none, are linked with nothing, and are their own
     component. component_id is the least doc_id that links lead to. Rows that
     repeat an id are each placed by their own text; a null id is no component's
-    least unless the component has no other. Other columns don't matter.
+    least unless the component has no other. row_key tells rows by id and text,
+    head_key is that of the component's first row. Other columns don't matter.
     """
     spark = docs.sparkSession
     prepare(spark)
-    keyed = texts(docs)
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _row_key().alias("row_key"))
     described = stage(
-        keyed.mapInArrow(_describe(n), "doc_id long, n_shingles long, node long, hot long")
+        keyed.mapInArrow(_describe(n), "doc_id long, row_key long, n_shingles long, node long, hot long")
     )
-    sets = described.filter("hot is null and n_shingles > 0").select("doc_id", "n_shingles", "node")
+    sets = described.filter("hot is null and n_shingles > 0").select("doc_id", "row_key", "n_shingles", "node")
     top = (
         described.filter("hot = 1")
         .groupBy("node")
@@ -418,51 +416,83 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     keys = top.column("node").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     hot = spark.sparkContext.broadcast((keys[order], top.column("n").to_numpy()[order]))
-    prefixes = stage(
-        keyed.select("text").mapInArrow(_prefixes(n, percent, hot), "gram long, node long, size int, place int")
+    parts_ = stage(
+        keyed.select("text").mapInArrow(
+            _first_parts(n, percent, hot), "gram long, node long, size int, first int, needed int"
+        )
     )
-    repeated = stage(prefixes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
+    repeated = stage(parts_.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"))
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = spark.sparkContext.broadcast(_known_bits(repeated))
-    multi = stage(
-        prefixes.mapInArrow(_perhaps(bits), prefixes.schema).join(repeated, "gram").dropDuplicates(["gram", "node"])
+    perhaps = parts_.mapInArrow(_perhaps(bits), parts_.schema)
+    several = join_spread(perhaps, repeated, "gram", "n", total)
+    # the others of a node's first part have one row, and are the rarest
+    placed = several.groupBy("node").agg(
+        F.first("size").alias("size"), F.first("first").alias("first"), F.first("needed").alias("needed"),
+        F.array_sort(F.collect_set(F.struct("n", "gram"))).alias("grams"),
+    )
+    alone = F.col("first") - F.size("grams")
+    rows = stage(
+        placed.filter(alone < F.col("needed"))
+        .select("node", "size", alone.alias("alone"), F.posexplode(F.slice("grams", F.lit(1), F.col("needed") - alone)))
+        .select(F.col("col.gram").alias("gram"), "node", "size", (F.col("alone") + F.col("pos")).alias("place"))
     )
-    unstage(prefixes, repeated)
+    unstage(parts_, repeated)
     join = _Join(keyed, sets, n, percent)
-    rows = stage(join.hubs(multi))
-    unstage(multi)
-    states = join.decide(stage(join.stars(rows)))
-    links = states.filter("state = 1").select("a", "b")
+    met = join.stars(rows)
+    unstage(rows)
+    join.gather(met.select(F.explode(F.array("node", "hub")).alias("node")).distinct())
+    pairs = stage(
+        met.filter(_fits(percent, "size", "hub_size"))
+        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        .distinct()
+    )
+    states = join.decide(pairs)
+    links = states.filter("linked").select("a", "b")
     parts = components(links)
-    more = join.decide(stage(join.rest(join.apart(rows, states, parts), states)))
-    parts = components(links.unionByName(more.filter("state = 1").select("a", "b")))
-    least = sets.groupBy("node").agg(F.min("doc_id").alias("least"))
-    placed = least.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.join(heads, "component").select("node", "component_id")
+    more = join.decide(join.left(met, states, parts)).filter("linked").select("a", "b")
+    if not more.isEmpty():
+        parts = components(links.unionByName(more))
+    first_row = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    nodes = sets.groupBy("node").agg(F.min(first_row).alias("head"), F.count("*").alias("n"))
+    nodes = stage(nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    heads = stage(nodes.groupBy("component").agg(F.min("head").alias("first"), F.count("*").alias("nodes")))
+    named = stage(
+        join_spread(nodes, heads, "component", "nodes", nodes.count()).select(
+            "node", "n", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("head_key")
+        )
+    )
     return (
-        sets.join(named, "node", "left")
-        .select("doc_id", "n_shingles", "component_id")
+        join_spread(sets, named, "node", "n", sets.count())
+        .select("doc_id", "n_shingles", "component_id", "row_key", "head_key")
         .unionByName(
             described.filter("hot is null and n_shingles = 0").select(
-                "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
+                "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row_key", F.col("row_key").alias("head_key")
             )
         )
     )
 
 
+def _row_key() -> Column:
+    """Tells rows by id and text."""
+    return F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
+
+
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one document of each component, the one with the least id.
 
-    Texts without shingles are linked with nothing and stay, as do rows with a
-    null id, which can't be told apart. Rows of one id and one text are one
-    document.
+    A null id comes after all others. Texts without shingles are linked with
+    nothing and all stay. Rows of one id and one text are one document, of which
+    any row stays; of rows of one id and different texts each goes or stays by
+    its own text. An empty table stays empty.
     """
-    joined = stage(ngram_join(docs, n, percent).filter("doc_id is not null"))
-    copies = joined.filter("component_id is not null and doc_id != component_id").select("doc_id")
-    again = joined.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept = without(docs, F.col("doc_id"), copies)
+    joined = stage(ngram_join(docs, n, percent))
+    copies = joined.filter("row_key != head_key").select("row_key")
+    again = stage(joined.filter("n_shingles > 0 and row_key = head_key").groupBy("row_key").count().filter("count > 1").select("row_key"))
+    kept = without(docs, _row_key(), copies)
     if again.isEmpty():
         return kept.select(docs.columns)
-    own = kept.join(again.withColumnRenamed("doc_id", "repeated"), F.col("doc_id") == F.col("repeated"), "left_semi")
-    single = own.dropDuplicates(["doc_id", "text"])
-    return without(kept, F.col("doc_id"), again).select(docs.columns).unionByName(single.select(docs.columns))
+    name = f"key_{uuid.uuid4().hex}"
+    own = kept.withColumn(name, _row_key()).join(again.withColumnRenamed("row_key", name), name, "left_semi")
+    single = own.dropDuplicates([name]).select(docs.columns)
+    return without(kept, _row_key(), again).select(docs.columns).unionByName(single)
