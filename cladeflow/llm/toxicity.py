@@ -1,42 +1,45 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and their first few bytes, so that inflected forms of a stem
-meet. Those that toxic examples have several times as often as others, and most
-surely so by chi-square, form the vocabulary. Labelled
-examples stand in an inverted index whose postings are cut into blocks of
-examples; a term's greatest weight in each block bounds a block's best cosine.
-A search visits blocks by falling bound and ends when the bound can't beat the
+meet. A vector holds all terms of a text; its norm counts those too that no
+example has. A term weighs by its inverse document frequency over all documents
+and by its relevance, log2(2 + how many times as often toxic examples have it).
+Labelled examples stand in an inverted index whose postings are cut into blocks
+of examples; a term's greatest weight in each block bounds a block's best cosine.
+A search visits blocks by falling bound and ends when the bound can't reach the
 K-th best cosine, so it finds K nearest examples exactly. They vote by distance,
 and votes are calibrated on examples searched without themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import batch, fold_held_out, prepare, stage
-from .suffix_tree import Tally
+from .common import batch, columns_of, fold_held_out, prepare, stage
 from .words import _TABLE, NOT_ALNUM, cut, mix, raw, slices
 
 #: Labelled rows that the index is built from, at most, by label; drawn by a hash of the id.
-EXAMPLES = {1: 4096, 0: 12_288}
-TERMS = 4096
-#: Least chi-square of a term, and the least number of examples that have it.
-LEAST_CHI2, LEAST_EXAMPLES = 30.0, 4
-#: How many times as often as other examples, by share, toxic ones must have a term.
-LEAST_LIFT = 5.0
+EXAMPLES = {1: 1024, 0: 1536}
+#: Power of a term's relevance in its weight.
+RELEVANCE = 2.0
 STEMS = (4, 5, 6)
 K = 25
 BLOCK = 32
+#: Blocks that a search visits before it looks at bounds again.
+FIRST_BLOCKS = 8
 #: Added to a neighbour's distance before its vote is divided by it.
 NEAREST = 0.05
 BINS = 20
 EVIDENCE = 5
+#: Scores of texts that a worker remembers, so that copies are searched for once.
+REMEMBERED = 50_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -67,105 +70,104 @@ def _distinct(who, what):
     return who[at], what[at], np.diff(np.append(at, len(who)))
 
 
-def _count_terms(batches):
-    tallies = {0: Tally(), 1: Tally()}
-
-    def rows(label, found):
-        keys, counts = found
-        return batch(
-            term=(keys, pa.int64()), n=(counts, pa.int64()), toxic=(counts * label, pa.int64())
-        )
-
-    for b in batches:
-        for at, part in slices(b.column("text")):
-            labels = b.column("toxic").to_numpy(zero_copy_only=False)[at : at + len(part)]
-            who, what, _ = _distinct(*terms(part))
-            for label, tally in tallies.items():
-                if out := tally.add(what[labels[who] == label].view(np.int64)):
-                    yield rows(label, out)
-    for label, tally in tallies.items():
-        yield rows(label, tally.take())
-
-
 @dataclass
 class Vocabulary:
     keys: np.ndarray  # sorted hashes
-    idf: np.ndarray
-    seen: np.ndarray = field(default=None, repr=False)
+    value: np.ndarray  # weight of each term, without the times it is in a text
+    unknown: float  # the weight of any other term
+    cells: np.ndarray = field(default=None, repr=False)
+
+    def places(self, what: np.ndarray) -> np.ndarray:
+        """The number of each term, -1 where it has none."""
+        if self.cells is None:
+            self.cells = np.zeros(1 << 22, bool)
+            self.cells[self.keys & np.uint64((1 << 22) - 1)] = True
+        out = np.full(len(what), -1)
+        maybe = np.flatnonzero(self.cells[what & np.uint64((1 << 22) - 1)])
+        if len(maybe):
+            place = np.minimum(np.searchsorted(self.keys, what[maybe]), len(self.keys) - 1)
+            out[maybe] = np.where(self.keys[place] == what[maybe], place, -1)
+        return out
 
     def vectors(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text number, term number and weight of unit-length TF-IDF vectors."""
-        if self.seen is None:
-            self.seen = np.zeros(1 << 20, bool)
-            self.seen[self.keys & np.uint64((1 << 20) - 1)] = True
-        who, what = terms(part)
-        maybe = self.seen[what & np.uint64((1 << 20) - 1)]
-        who, what = who[maybe], what[maybe]
-        if not len(self.keys) or not len(who):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        place = np.minimum(np.searchsorted(self.keys, what), len(self.keys) - 1)
-        hit = self.keys[place] == what
-        who, term, tf = _distinct(who[hit], place[hit])
-        weight = (1 + np.log(tf)) * self.idf[term]
+        """Text number, term number and weight of known terms in unit-length vectors."""
+        who, what, tf = _distinct(*terms(part))
+        term = self.places(what)
+        weight = (1 + np.log(tf)) * np.where(term < 0, self.unknown, self.value[term] if len(self.value) else 0.0)
         norm = np.sqrt(np.bincount(who, weight**2, len(part)))
-        return who, term, weight / norm[who]
+        known = term >= 0
+        who = who[known]
+        return who, term[known], weight[known] / norm[who]
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one after the other, and the sizes of the ranges."""
+    size = end - begin
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum()), size
 
 
 class BlockMaxIndex:
     """Inverted index over examples, with the greatest weight by term and block.
 
-    example, term, weight: vectors of unit length, by example number.
+    example, term, weight: vectors of unit length, by example number; tie: a
+    number of each example that orders examples of equal cosine, without labels.
     """
 
-    def __init__(self, n_terms: int, ids: np.ndarray, labels: np.ndarray, example, term, weight):
+    def __init__(self, n_terms: int, ids: np.ndarray, labels: np.ndarray, example, term, weight, tie=None):
+        tie = np.arange(len(ids)) if tie is None else tie
         heaviest = np.full(len(ids), -1)
         order = np.lexsort((weight, example))
         heaviest[example[order]] = term[order]
-        ranked = np.lexsort((ids, labels, heaviest))  # like examples share blocks
-        rank = np.empty(len(ids), np.int64)
-        rank[ranked] = np.arange(len(ids))
-        self.ids, self.labels = ids[ranked], labels[ranked]
+        ranked = np.lexsort((tie, heaviest))  # like examples share blocks
+        self.rank = np.empty(len(ids), np.int64)
+        self.rank[ranked] = np.arange(len(ids))
+        self.ids, self.labels, self.tie = ids[ranked], labels[ranked], tie[ranked]
         self.blocks = -(-len(ids) // BLOCK)
-        place = rank[example]
+        place = self.rank[example]
         order = np.lexsort((place, term))
-        self.place, self.weight = place[order], weight[order]
-        cell = term[order] * self.blocks + place[order] // BLOCK
-        self.begin = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1)).astype(np.int32)
-        self.most = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(n_terms, self.blocks)
+        self.place, self.weight, term = place[order].astype(np.int32), weight[order], term[order]
+        cell = term * self.blocks + self.place // BLOCK
+        new = np.ones(len(cell), bool)
+        new[1:] = cell[1:] != cell[:-1]
+        first = np.flatnonzero(new)
+        self.posting = np.append(first, len(cell))  # first posting of each cell
+        self.block = (self.place[first] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.cell = np.searchsorted(term[first], np.arange(n_terms + 1))  # first cell of each term
         self.visited = 0
 
     def search(self, term: np.ndarray, weight: np.ndarray, k: int = K, without: int = -1):
-        """The k best places and cosines above 0; of equal ones, those met first.
+        """The k best places and cosines above 0; equal ones by `tie`.
 
         `without` leaves one place out.
         """
+        none = np.zeros(0, np.int64), np.zeros(0)
         if not self.blocks or not len(term):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weight @ self.most[term]
-        places, cosines, kth = [], [], 0.0
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= kth + 1e-12:
-                break
-            self.visited += 1
-            score = np.zeros(BLOCK)
-            for t, w in zip(term.tolist(), weight.tolist()):
-                cell = t * self.blocks + block
-                i, j = self.begin[cell], self.begin[cell + 1]
-                score[self.place[i:j] - block * BLOCK] += w * self.weight[i:j]
-            if without // BLOCK == block:
-                score[without % BLOCK] = 0
-            hit = np.flatnonzero(score > kth)
-            places += (hit + block * BLOCK).tolist()
-            cosines += score[hit].tolist()
-            if len(cosines) > k:
-                best = np.argsort(-np.array(cosines), kind="stable")[:k].tolist()
-                places, cosines = [places[i] for i in best], [cosines[i] for i in best]
-            if len(cosines) == k:
-                kth = min(cosines)
-        order = np.argsort(-np.array(cosines), kind="stable")
-        return np.array(places, np.int64)[order], np.minimum(np.array(cosines)[order], 1.0)
+            return none
+        cells, size = _ranges(self.cell[term], self.cell[term + 1])
+        by_cell = np.repeat(weight, size)
+        block = self.block[cells]
+        bound = np.bincount(block, self.most[cells] * by_cell, self.blocks) + 1e-9
+        order = np.argsort(-bound, kind="stable")
+        scores = np.zeros(self.blocks * BLOCK)
+        at, kth = 0, 0.0
+        while at < self.blocks and bound[order[at]] >= max(kth, 2e-9):
+            chosen = order[at:] if at else order[:FIRST_BLOCKS]
+            chosen = chosen[bound[chosen] >= max(kth, 2e-9)]
+            self.visited += len(chosen)
+            at += len(chosen)
+            open_ = np.zeros(self.blocks, bool)
+            open_[chosen] = True
+            used = open_[block]
+            postings, n = _ranges(self.posting[cells[used]], self.posting[cells[used] + 1])
+            scores += np.bincount(self.place[postings], self.weight[postings] * np.repeat(by_cell[used], n), len(scores))
+            if without >= 0:
+                scores[without] = 0
+            if len(scores) > k:
+                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+        found = np.flatnonzero(scores >= max(kth, 1e-12))
+        best = found[np.lexsort((self.tie[found], -scores[found]))[:k]]
+        return best, np.minimum(scores[best], 1.0)
 
 
 @dataclass
@@ -173,7 +175,7 @@ class Model:
     vocabulary: Vocabulary
     index: BlockMaxIndex
     weights: dict[int, float]  # labelled rows that an example of the label stands for
-    silent: float  # score of a text without any term
+    silent: float  # score of a text without any known term
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
@@ -204,15 +206,42 @@ def calibrated(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tu
     return np.array([v / w for v, _, w in pools]), np.array([y / w for _, y, w in pools])
 
 
-def _chosen(counts: pa.Table, n: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    term, df = counts.column("term").to_numpy().view(np.uint64), counts.column("n").to_numpy()
-    order = np.argsort(term)
-    return term[order], np.log((1 + sum(n.values())) / (1 + df[order])) + 1
+def _term_sets(batches):
+    """Distinct terms of each example."""
+    for b in batches:
+        for at, part in slices(b.column("text")):
+            who, what, tf = _distinct(*terms(part))
+            ends = pa.array(np.searchsorted(who, np.arange(len(part) + 1)), pa.int32())
+            rows = slice(at, at + len(part))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(b.column(c)[rows] for c in ("doc_id", "toxic", "tie")),
+                    pa.ListArray.from_arrays(ends, pa.array(what.view(np.int64), pa.int64())),
+                    pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32())),
+                ],
+                names=["doc_id", "toxic", "tie", "terms", "times"],
+            )
+
+
+def _document_counts(vocabulary):
+    """In how many of the task's documents each known term is; row -1 counts the documents."""
 
+    def run(batches):
+        v = vocabulary.value
+        total, n = np.zeros(len(v.keys), np.int64), 0
+        for b in batches:
+            n += b.num_rows
+            for _, part in slices(b.column(0)):
+                place = v.places(_distinct(*terms(part))[1])
+                total += np.bincount(place[place >= 0], minlength=len(total))
+        used = np.flatnonzero(total)
+        yield batch(term=(np.append(used, -1), pa.int32()), n=(np.append(total[used], n), pa.int64()))
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, examples: dict = EXAMPLES) -> Model:
-    """Fits on labelled documents whose crc32(doc_id as text) mod `modulus` isn't `held`."""
-    prepare(docs.sparkSession)
+    return run
+
+
+def _examples(docs: DataFrame, labels: DataFrame, modulus: int, held: int, examples: dict):
+    """Labelled texts to learn from, each once, and the number of labelled rows by label."""
     usable = (
         labels.filter("doc_id is not null and toxic in (0, 1)")
         .filter(~fold_held_out(modulus, held))
@@ -223,128 +252,138 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, exa
     for label, most in examples.items():
         part = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         drawn = part if drawn is None else drawn.unionByName(part)
-    sample = stage(
+    once = stage(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(drawn), "doc_id")  # at most sum(examples) rows
-        .groupBy("text")  # a copied example would make chance words of it look telling
+        .groupBy("text")  # a copied example would vote several times
         .agg(F.min(F.struct("doc_id", "toxic")).alias("first"))
-        .select("first.doc_id", "first.toxic", "text")
+        .select("first.doc_id", "first.toxic", "text", F.xxhash64("text").alias("tie"))
     )
+    bounded = None  # an id may have many texts
+    for label, most in examples.items():
+        part = once.filter(F.col("toxic") == label).orderBy("tie", "doc_id").limit(most)
+        bounded = part if bounded is None else bounded.unionByName(part)
     total = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n = {0: n.get(0, 0), 1: n.get(1, 0)}
-    weights = {label: total.get(label, 0) / n[label] if n[label] else 0.0 for label in (0, 1)}
-    a, every = F.col("toxic"), sum(n.values())
-    expected = F.col("n") * n[1] / max(1, every)
-    chi2 = (a - expected) ** 2 * every**2 / (expected * (every - F.col("n")) * max(1, n[0]) + 1e-9)
-    counts = (
-        sample.select("toxic", "text")
-        .mapInArrow(_count_terms, "term long, n long, toxic long")
-        .groupBy("term")
-        .agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-        .filter((a >= LEAST_EXAMPLES) & (a * n[0] >= LEAST_LIFT * (F.col("n") - a) * n[1]) & (chi2 >= LEAST_CHI2))
-        .orderBy(chi2.desc(), "term")
-        .limit(TERMS)
-        .select("term", "n")
-        .toArrow()
-    )
-    vocabulary = Vocabulary(*_chosen(counts, n))
+    return bounded, total
 
-    def vectorise(batches):
-        for b in batches:
-            for at, part in slices(b.column("text")):
-                who, term, weight = vocabulary.vectors(part)
-                ends = pa.array(np.searchsorted(who, np.arange(len(part) + 1)), pa.int32())
-                rows = slice(at, at + len(part))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id")[rows],
-                        b.column("toxic")[rows],
-                        pa.ListArray.from_arrays(ends, pa.array(term, pa.int32())),
-                        pa.ListArray.from_arrays(ends, pa.array(weight, pa.float64())),
-                    ],
-                    names=["doc_id", "toxic", "terms", "weights"],
-                )
 
-    vectors = (
-        sample.select("doc_id", "toxic", "text")
-        .mapInArrow(vectorise, "doc_id long, toxic int, terms array<int>, weights array<double>")
-        .toArrow()
-        .sort_by("doc_id")
-        .combine_chunks()
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, examples: dict = EXAMPLES) -> Model:
+    """Fits on labelled documents whose crc32(doc_id as text) mod `modulus` isn't `held`.
+
+    The examples, a bounded sample, are gathered; document frequencies are
+    counted over all of `docs`.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    sample, total = _examples(docs, labels, modulus, held, examples)
+    schema = "doc_id long, toxic int, tie long, terms array<long>, times array<int>"
+    rows = sample.select("doc_id", "toxic", "tie", "text").mapInArrow(_term_sets, schema).toArrow()
+    rows = rows.sort_by([("tie", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    ids, toxic, tie = (rows.column(c).to_numpy() for c in ("doc_id", "toxic", "tie"))
+    toxic = toxic.astype(np.int64)
+    lists = rows.column("terms").combine_chunks()
+    size = lists.value_lengths().to_numpy().astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+    what = lists.flatten().to_numpy().view(np.uint64)
+    tf = rows.column("times").combine_chunks().flatten().to_numpy()
+    n = {label: int((toxic == label).sum()) for label in (0, 1)}
+    weights = {label: total.get(label, 0) / n[label] if n[label] else 0.0 for label in (0, 1)}
+
+    keys, term = np.unique(what, return_inverse=True)
+    example = np.repeat(np.arange(len(ids)), size)
+    have_toxic = np.bincount(term, toxic[example], len(keys))
+    have_other = np.bincount(term, minlength=len(keys)) - have_toxic
+    odds = n[0] / n[1] if n[1] else 0.0
+    relevance = np.log2(2 + have_toxic * odds / np.maximum(have_other + odds, 1e-9))
+    vocabulary = Vocabulary(keys, np.zeros(len(keys)), 0.0)
+    sent = spark.sparkContext.broadcast(vocabulary)
+    counted = (
+        docs.select(F.coalesce("text", F.lit("")).alias("text"))
+        .mapInArrow(_document_counts(sent), "term int, n long")
+        .groupBy("term")
+        .agg(F.sum("n").alias("n"))
+        .toArrow()  # one row a known term
     )
-    size = np.array([len(x) for x in vectors.column("terms").to_pylist()], np.int64)
-    ids, toxic = vectors.column("doc_id").to_numpy(), vectors.column("toxic").to_numpy().astype(np.int64)
-    flat = lambda c: np.array([v for x in vectors.column(c).to_pylist() for v in x])
-    term, weight = flat("terms").astype(np.int64), flat("weights").astype(float)
+    df, every = np.zeros(len(keys), np.int64), 0
+    at, count = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+    df[at[at >= 0]] = count[at >= 0]
+    every = int(count[at < 0].sum())
+    vocabulary.value = (np.log((1 + every) / (1 + df)) + 1) * relevance**RELEVANCE
+    vocabulary.unknown = float(np.log(1 + every) + 1)
+
+    weight = (1 + np.log(tf)) * vocabulary.value[term] if len(keys) else np.zeros(0)
+    weight = weight / np.sqrt(np.bincount(example, weight**2, len(ids)))[example]
     spoken = size > 0
     number = np.cumsum(spoken) - 1
-    index = BlockMaxIndex(
-        len(vocabulary.keys), ids[spoken], toxic[spoken], np.repeat(number, size), term, weight
-    )
+    index = BlockMaxIndex(len(keys), ids[spoken], toxic[spoken], number[example], term, weight, tie[spoken])
     mute = toxic[~spoken]
     silent = (mute * weights[1]).sum(), ((1 - mute) * weights[0]).sum()
-    rate = float((silent[0] + 0.5) / (sum(silent) + 1)) if every else 0.0
+    share = total.get(1, 0) / max(1, sum(total.values()))
+    rate = float((silent[0] + share) / (sum(silent) + 1)) if len(ids) else 0.0
     model = Model(vocabulary, index, weights, rate)
-    model.curve = _calibrate(sample.sparkSession, model, size[spoken], toxic[spoken], term, weight)
+    model.curve = _calibrate(spark, model, size[spoken], toxic[spoken], term, weight)
     return model
 
 
 def _calibrate(spark, model: Model, size, toxic, term, weight):
-    """Votes of the examples, each searched without itself, as a Spark job."""
-    ends = np.concatenate([[0], np.cumsum(size)])
-    where = {int(i): p for p, i in enumerate(model.index.ids.tolist())}
-    ids = sorted(where)
-    if not ids:
+    """The curve from votes of the examples, each searched without itself, as a Spark job."""
+    n = len(size)
+    if not n:
         return model.curve
-    sent = spark.sparkContext.broadcast((model, ends, term, weight, [where[i] for i in ids]))
+    ends = np.concatenate([[0], np.cumsum(size)])
+    sent = spark.sparkContext.broadcast((model, ends, term, weight))
 
     def votes(batches):
-        m, ends, term, weight, places = sent.value
+        m, ends, term, weight = sent.value
         for b in batches:
             out = []
             for i in b.column(0).to_pylist():
                 own = slice(ends[i], ends[i + 1])
-                out.append(m.vote(*m.index.search(term[own], weight[own], without=places[i])))
+                out.append(m.vote(*m.index.search(term[own], weight[own], without=int(m.index.rank[i]))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["id", "vote"])
 
-    found = spark.range(len(ids)).mapInArrow(votes, "id long, vote double").toArrow().sort_by("id")
+    found = spark.range(n).mapInArrow(votes, "id long, vote double").toArrow().sort_by("id")
     votes_ = found.column("vote").to_numpy()
     known = votes_ >= 0
     w = np.where(toxic == 1, model.weights[1], model.weights[0])
     return calibrated(votes_[known], toxic[known], w[known])
 
 
-SCORES = "score double, predicted int, neighbours array<long>, cosines array<double>"
+EVIDENCE_FIELDS = [
+    StructField("score", DoubleType()),
+    StructField("predicted", IntegerType()),
+    StructField("neighbours", ArrayType(LongType())),
+    StructField("cosines", ArrayType(DoubleType())),
+]
 
 
 def toxicity_scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """`doc`, a struct of the columns `keep`, with the score and its evidence.
 
     score is 0 to 1; neighbours are doc_ids of the nearest examples with their
-    cosines, the nearest first. A text without any term of the vocabulary, an
-    empty or null one too, gets the share of label 1 among such examples, and no
-    neighbours. Without labelled rows all scores are 0.
+    cosines, the nearest first. A text without any term that an example has, an
+    empty or null one too, gets the share of label 1 among examples without
+    terms and one more row of the whole share, and no neighbours. Without labelled rows all scores are 0.
     """
     spark = docs.sparkSession
     prepare(spark)
     sent = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*keep).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    found: dict = {}
+    rows = docs.select(F.struct(*columns_of(keep)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
-        m = sent.value
+        m, found = sent.value, {}
         for b in batches:
             for at, part in slices(b.column("text")):
                 who, term, weight = m.vocabulary.vectors(part)
                 ends = np.searchsorted(who, np.arange(len(part) + 1)).tolist()
+                data, bounds = raw(part)
+                data, bounds = memoryview(data), bounds.tolist()
                 out = []
                 for i in range(len(part)):
-                    own = slice(ends[i], ends[i + 1])
-                    key = (term[own].tobytes(), weight[own].tobytes())
+                    key = hashlib.blake2b(data[bounds[i] : bounds[i + 1]], digest_size=16).digest()
                     if key not in found:
-                        if len(found) > 50_000:
+                        if len(found) >= REMEMBERED:
                             found.clear()
+                        own = slice(ends[i], ends[i + 1])
                         places, cosines = m.index.search(term[own], weight[own])
                         near = m.index.ids[places[:EVIDENCE]].tolist()
                         found[key] = (m.score(m.vote(places, cosines)), near, cosines[:EVIDENCE].tolist())
@@ -361,8 +400,7 @@ def toxicity_scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame
                     names=["doc", "score", "predicted", "neighbours", "cosines"],
                 )
 
-    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, {SCORES}"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([rows.schema["doc"], *EVIDENCE_FIELDS]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -370,7 +408,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Labels with a null id or another value than 0 and 1 are left out; of several
     for one id the highest holds. Rows that repeat an id are scored by their own
-    texts. Other columns don't matter.
+    texts, and each different text of a labelled id may be an example. Other
+    columns don't matter. An empty table gives no rows.
     """
     return toxicity_scores(docs, fit(docs, labels), ["doc_id"]).select(
         "doc.doc_id", "score", "predicted", "neighbours", "cosines"
@@ -378,6 +417,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without the rows predicted toxic."""
+    """`docs` without the rows predicted toxic; see toxicity() for odd rows, which stay unless predicted so.
+
+    All columns pass through, whatever their names.
+    """
     scored = toxicity_scores(docs, fit(docs, labels), docs.columns)
     return scored.filter("predicted = 0").select("doc.*")
