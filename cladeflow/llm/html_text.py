@@ -2,9 +2,12 @@
 
 A page is a sequence of words and tags. Words score above 0 and tags below, by
 weights learned from labelled pages: those whose own markup names the article.
-Words of menus, notices and the like score 0. One linear scan
-finds the contiguous stretch with the greatest sum. It is widened to the article element that it lies in, and blocks of menus, notices,
-forms, comments and the like inside it are left out.
+A word weighs less where it stands in elements whose classes and ids hold words
+outside of labelled articles. One linear scan finds the contiguous stretch with
+the greatest sum. Where it lies in an article element, that element's own edges
+end it. What HTML or its authors' usual names mark as menus, notices, forms,
+comments and the like counts as outside when labels are read, and neither its
+words nor its tags take part in the scan or the text.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, stage, unstage
 
 #: Pages that the weights are learned from, at most; drawn by a hash of the id.
 TRAINING_PAGES = 4096
@@ -27,7 +30,9 @@ TRAINING_PAGES = 4096
 TAG_NAMES = 256
 WORD, OTHER_TAG = "word", "other"
 #: Weights where no labelled page tells: a word and any tag.
-PLAIN = {WORD: 1.0, OTHER_TAG: -1.0}
+PLAIN = {WORD: 1.0, OTHER_TAG: -0.5}
+#: Names of classes and ids with a share of their own, at most, and the pages that must have one.
+CONTEXT_NAMES, LEAST_PAGES = 4096, 5
 
 # Elements and attribute words that HTML authors use for what is
 # not the article, and elements that end a block of text.
@@ -71,6 +76,8 @@ def _kind(name: str, attrs: str, in_main: bool) -> str:
     """'drop', 'main' or '' for an opening tag."""
     if name in DROPPED or name == "header" and not in_main:
         return "drop"
+    if not attrs:
+        return "main" if name in CONTAINERS else ""
     kind = "main" if name in CONTAINERS else ""
     unwanted = COMMENT_WORDS if kind else DROPPED_WORDS if in_main else DROPPED_WORDS | HEADER_WORDS
     for key, value in _ATTR.findall(attrs) if attrs else ():
@@ -90,39 +97,64 @@ def _kind(name: str, attrs: str, in_main: bool) -> str:
     return kind
 
 
+def _names(attrs: str) -> frozenset:
+    """Classes and ids that an opening tag has."""
+    if not attrs:
+        return frozenset()
+    return frozenset(
+        v for key, value in _ATTR.findall(attrs) if key.lower() in ("class", "id") for v in value.strip("\"'").lower().split()
+    )
+
+
 def read_page(page: str) -> tuple[list, list]:
     """Tokens and containers of a page.
 
-    Tokens: ('tag', name) or ('text', text, block number, dropped). Containers:
-    (first token, last token + 1) of each outermost article or main element.
+    Tokens: ('tag', name, dropped) or ('text', text, block number, dropped,
+    classes and ids around it). Containers: (first token, last token + 1) of
+    each outermost article or main element.
     """
     tokens, containers = [], []
+    around: list[tuple[str, frozenset]] = []  # open elements, with the names of all around
+    open_: Counter = Counter()
     block = at = 0
     dropped, depth = "", 0  # the element that is being dropped, and how deep in its own kind
     main, main_depth, main_at = "", 0, 0
 
     def text(piece: str):
+        names = around[-1][1] if around else frozenset()
         if piece and not piece.isspace():
-            tokens.append(("text", html.unescape(piece) if "&" in piece else piece, block, bool(dropped)))
+            tokens.append(("text", html.unescape(piece) if "&" in piece else piece, block, bool(dropped), names))
         elif piece:
-            tokens.append(("text", " ", block, bool(dropped)))
+            tokens.append(("text", " ", block, bool(dropped), names))
 
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
         at = m.end()
         if m["raw"]:
-            tokens.append(("tag", m["raw"].lower()))
+            tokens.append(("tag", m["raw"].lower(), True))
             continue
         if not m["name"]:
             continue
         name, end = m["name"].lower(), bool(m["end"])
         if name == "br":
-            tokens.append(("text", " ", block, bool(dropped)))
+            tokens.append(("text", " ", block, bool(dropped), frozenset()))
         if name in BLOCKS:
             block += 1
         if name in VOID:
-            tokens.append(("tag", name))
+            tokens.append(("tag", name, bool(dropped)))
             continue
+        if not end:
+            own = _names(m["attrs"])
+            before = around[-1][1] if around else frozenset()
+            around.append((name, before | own if own else before))
+            open_[name] += 1
+        elif open_[name]:
+            while True:
+                closed = around.pop()[0]
+                open_[closed] -= 1
+                if closed == name:
+                    break
+        inside = bool(dropped)
         if dropped:
             if name == dropped:
                 depth += -1 if end else 1
@@ -144,9 +176,9 @@ def read_page(page: str) -> tuple[list, list]:
                 main = ""
         elif kind == "main":
             main, main_depth, main_at = name, 1, len(tokens) + 1
-        tokens.append(("tag", name))
+        tokens.append(("tag", name, inside or bool(dropped)))
         if end and name in ("td", "th"):
-            tokens.append(("text", " ", block, bool(dropped)))
+            tokens.append(("text", " ", block, bool(dropped), frozenset()))
     text(page[at:])
     if main:
         containers.append((main_at, len(tokens)))
@@ -165,17 +197,32 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def scored(tokens: list, weights: dict[str, float]) -> list[float]:
+    """The score of each token: words times their weight and the least share of the names around, tags below 0."""
+    word, other = weights[WORD], weights[OTHER_TAG]
+    shares: dict[frozenset, float] = {}
+    out = []
+    for t in tokens:
+        if t[0] == "tag":
+            out.append(0.0 if t[2] else weights.get(t[1], other))
+        elif t[3]:
+            out.append(0.0)
+        else:
+            names = t[4]
+            if names not in shares:
+                shares[names] = min((weights.get("." + n, 1.0) for n in names), default=1.0)
+            out.append(len(t[1].split()) * word * shares[names])
+    return out
+
+
 def main_text(page: str, weights: dict[str, float]) -> str:
-    """The blocks of the article, joined by line feeds; '' where there are none."""
+    """The blocks of the article, joined by two line feeds; '' where there are none."""
     tokens, containers = read_page(page)
-    word, other = weights[WORD], weights[OTHER_TAG]
-    counts = [len(t[1].split()) if t[0] == "text" else 0 for t in tokens]
-    scores = [
-        weights.get(t[1], other) if t[0] == "tag" else 0.0 if t[3] else n * word
-        for t, n in zip(tokens, counts)
-    ]
-    begin, end = best_stretch(scores)
-    inside = lambda i, j: sum(n for t, n in zip(tokens[i:j], counts[i:j]) if t[0] == "text" and not t[3])
+    begin, end = best_stretch(scored(tokens, weights))
+
+    def inside(i, j):
+        return sum(len(t[1].split()) for t in tokens[i:j] if t[0] == "text" and not t[3])
+
     total = inside(begin, end)
     for i, j in containers:
         if 2 * inside(max(i, begin), min(j, end)) > total:
@@ -186,50 +233,62 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         if t[0] == "text" and not t[3]:
             blocks.setdefault(t[2], []).append(t[1])
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
-    return "\n".join(b for b in joined if b)
+    return "\n\n".join(b for b in joined if b)
 
 
 def _count_tokens(batches):
-    inside, outside = Counter(), Counter()
+    inside, outside, seen = Counter(), Counter(), Counter()
     for b in batches:
         for page in b.column(0).to_pylist():
             tokens, containers = read_page(page)
             if len(containers) != 1:
                 continue
             i, j = containers[0]
+            own = Counter()
             for k, t in enumerate(tokens):
-                to = inside if i <= k < j else outside
+                labelled = i <= k < j
                 if t[0] == "tag":
-                    to[t[1]] += 1
-                else:
-                    to[WORD + ":"] += len(t[1].split())
+                    if not t[2]:
+                        (inside if labelled else outside)[t[1]] += 1
+                elif n := len(t[1].split()):
+                    to = inside if labelled and not t[3] else outside
+                    to[WORD + ":"] += n
+                    for name in t[4]:
+                        to["." + name] += n
+                        own["." + name] = 1
+            seen.update(own)
     names = sorted(inside.keys() | outside.keys())
     yield pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in (inside, outside))],
-        names=["token", "inside", "outside"],
+        [pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in (inside, outside, seen))],
+        names=["token", "inside", "outside", "pages"],
     )
 
 
 def learn_weights(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> dict[str, float]:
-    """Log odds of each kind of token inside an article, held above 0 for words and below for tags."""
+    """Log odds of each kind of token inside an article, held above 0 for words and below for tags.
+
+    Keys "." + name: the share of words within elements of the class or id that is inside.
+    """
     sample = (
         pages.filter("html is not null").orderBy(F.xxhash64("page_id"), "page_id").select("page_id").limit(training_pages)
     )
-    found = (
+    counts = stage(
         pages.join(F.broadcast(sample.distinct()), "page_id", "left_semi")
         .select("html")
-        .mapInArrow(_count_tokens, "token string, inside long, outside long")
+        .mapInArrow(_count_tokens, "token string, inside long, outside long, pages long")
         .groupBy("token")
-        .agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-        .orderBy((F.col("inside") + F.col("outside")).desc(), "token")
-        .limit(TAG_NAMES)
-        .collect()
+        .agg(*(F.sum(c).alias(c) for c in ("inside", "outside", "pages")))
     )
-    odds = {r["token"]: math.log((r["inside"] + 1) / (r["outside"] + 1)) for r in found}
+    is_name, often = F.col("token").startswith("."), [(F.col("inside") + F.col("outside")).desc(), "token"]
+    tags = counts.filter(~is_name).orderBy(*often).limit(TAG_NAMES).collect()
+    names = counts.filter(is_name & (F.col("pages") >= LEAST_PAGES)).orderBy(*often).limit(CONTEXT_NAMES).collect()
+    unstage(counts)
+    odds = {r["token"]: math.log((r["inside"] + 1) / (r["outside"] + 1)) for r in tags}
     if WORD + ":" not in odds:
         return dict(PLAIN)
-    weights = {name: min(-0.1, max(-8.0, v)) for name, v in odds.items() if name != WORD + ":"}
-    return PLAIN | weights | {WORD: min(2.0, max(0.5, odds[WORD + ":"]))}
+    weights = {name: min(-0.1, max(-2.0, v)) for name, v in odds.items() if name != WORD + ":"}
+    shares = {r["token"]: (r["inside"] + 1) / (r["inside"] + r["outside"] + 1) for r in names}
+    return PLAIN | weights | shares | {WORD: min(2.0, max(0.5, odds[WORD + ":"]))}
 
 
 def html_text(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> DataFrame:

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from cladeflow.llm.html_text import PLAIN, best_stretch, html_text, main_text
+from cladeflow.llm.html_text import PLAIN, best_stretch, html_text, learn_weights, main_text, read_page, scored
 
 PROSE = "Some words of the article that go on for a while, as articles do. " * 4
 
@@ -25,12 +25,38 @@ def test_article_without_the_rest():
     <p>caf&eacute;   au
     lait<br>now</p><div class="advert">Buy</div><ul><li>one</li><li>two</li></ul></article>
     <aside>Side</aside><div id="comments"><p>Nice!</p></div><footer>Foot</footer></body></html>"""
-    assert main_text(page, PLAIN).split("\n") == ["Big & small", PROSE.strip(), "café au lait now", "one", "two"]
+    assert main_text(page, PLAIN).split("\n\n") == ["Big & small", PROSE.strip(), "café au lait now", "one", "two"]
 
 
 def test_page_without_article_element():
     page = f"<body><div class=menu><a>x</a></div><div><p>{PROSE}</p><p>{PROSE}</p></div><div class='footer'>f</div></body>"
-    assert main_text(page, PLAIN) == f"{PROSE.strip()}\n{PROSE.strip()}"
+    assert main_text(page, PLAIN) == f"{PROSE.strip()}\n\n{PROSE.strip()}"
+
+
+def brute_text(page, weights):
+    """Text of the best of all stretches, for pages without an article element."""
+    tokens, _ = read_page(page)
+    scores = scored(tokens, weights)
+    _, i, j = max(((round(sum(scores[i:j]), 9), -i, -j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0, 0, 0))
+    blocks = {}
+    for t in tokens[-i : -j]:
+        if t[0] == "text" and not t[3]:
+            blocks.setdefault(t[2], []).append(t[1])
+    return "\n\n".join(b for b in (" ".join("".join(x).split()) for x in blocks.values()) if b)
+
+
+def test_names_that_labelled_pages_have_outside_of_articles_weigh_less(spark):
+    """Pages without an article element against all stretches, with weights learned from others."""
+    rail = "Read what others wrote about it in these last few days and weeks. " * 2
+    labelled = f"<body><div class='rail-x'><p>{rail}</p></div><article><div class='copy'><p>{PROSE}</p></div></article></body>"
+    bare = f"<body><div class='rail-x'><p>{rail}</p></div><section><h2>Title</h2><p>{PROSE}</p><p>Short end.</p></section><div class='rail-x'>{rail}</div></body>"
+    rows = [(i, "u", labelled) for i in range(12)] + [(100, "u", bare)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    weights = learn_weights(pages)
+    assert weights[".rail-x"] < 0.1 and weights[".copy"] > 0.9
+    got = {r["page_id"]: r["text"] for r in html_text(pages).collect()}
+    assert got[0] == PROSE.strip()
+    assert got[100] == f"Title\n\n{PROSE.strip()}\n\nShort end." == brute_text(bare, weights)
 
 
 @pytest.mark.parametrize("page", ["", " ", "<", "<p", "<!-- no end", "&amp", "<nav>only menu</nav>", "<script>x", "</p></p>"])
