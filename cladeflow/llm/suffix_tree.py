@@ -456,7 +456,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         .groupBy("row")
         .agg(F.sum(F.col("times") * F.col("log_share")).alias("rare_score"))
     )
-    unseen = math.log10((tokens + 1) * (distinct + 1))
+    every = math.log10(tokens + distinct + 1)  # add-one smoothing over the known tokens and one unseen
     end = math.log10(ends + 1)
     return scored.join(rest, "row", "left").join(contexts, "row", "left").select(
         "doc_id",
@@ -464,6 +464,6 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         "n_tokens",
         (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0)) + (1 if ends else 0)).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("frequent") + F.coalesce("value", F.lit(0.0)) + end - F.col("n_tokens") * unseen).alias("base_score"),
+        (F.col("frequent") + F.coalesce("value", F.lit(0.0)) + end - F.col("n_tokens") * every).alias("base_score"),
         (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )

@@ -28,7 +28,7 @@ def brute(rows):
     n, v = sum(counts.values()), len(counts)
     return {
         (d, t): (held(d), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n,
-                 sum(math.log10((counts[w] + 1) / ((n + 1) * (v + 1))) for w in tokens(t)))
+                 sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t)))
         for d, t in rows
     }
 
@@ -47,6 +47,16 @@ def test_base_scores_equal_brute_force(spark, monkeypatch, frequent):
         assert r["score"] < 0
 
 
+def test_shares_of_known_tokens_and_an_unseen_one_sum_to_1(spark):
+    words = "a b b c c c".split()
+    rows = [(i, " ".join(words)) for i in range(40)] + [(1000 + i, w) for i, w in enumerate(["a", "b", "c", "unseen", ""])]
+    train = sum(not held(d) for d, _ in rows)
+    got = {r["doc_id"]: r["base_score"] for r in lm_scores(frame(spark, rows)).collect()}
+    end = got[1004]
+    shares = [10 ** (got[1000 + i] - end) for i in range(4)]
+    assert train and math.isclose(sum(shares) + 10**end, 1, rel_tol=1e-9)
+
+
 def tree_of(train):
     part = pa.array(train)
     counts = np.bincount(np.frombuffer("".join(map(low, train)).encode(), np.uint8), minlength=256)
