@@ -1,9 +1,10 @@
 """Packing documents into sequences of bounded length by first-fit decreasing.
 
 A document's ids are cut into pieces of at most the sequence length. Groups of
-documents, drawn by a hash of the id, are packed each on its own: a group holds
-some thousand documents whatever the corpus, and a random draw gives each group
-the corpus's mix of lengths, so that little padding is left in any of them.
+documents, drawn by a hash of the id and the ids' checksum and length, so that
+rows of one or no id spread, are packed each on its own: a group holds some
+thousand documents whatever the corpus, and a random draw gives each group the
+corpus's mix of lengths, so that little padding is left in any of them.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def pack_documents(
         pdf["offset"] = offsets
         return pdf.drop(columns="pack_group")
 
-    drawn = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("pack")), F.lit(groups))
+    drawn = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "ids_crc32", "length"), F.lit(groups))
     return (
         pieces.withColumn("pack_group", drawn)
         .groupBy("pack_group")

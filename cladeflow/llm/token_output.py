@@ -108,19 +108,17 @@ def _read(offsets: dict[int, int]):
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                bounds = EliasFano(row["bounds"])
+                bounds, known = EliasFano(row["bounds"]), EliasFano(row["doc_ids"][8:])
                 shift = int(np.frombuffer(row["doc_ids"], np.int64, 1)[0])
-                known = (EliasFano(row["doc_ids"][8:]).values() + shift).tolist()
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
-                base, marks = offsets[row["part"]] + row["before"], bounds.values()
+                base = offsets[row["part"]] + row["before"]
+                marks = [bounds[i] for i in range(row["n_docs"] + 1)]  # by select
+                spans = list(zip(marks, marks[1:]))
                 yield batch(
-                    doc_id=([None] * row["null_docs"] + known, pa.int64()),
-                    start=(base + marks[:-1], pa.int64()),
-                    n_tokens=(np.diff(marks), pa.int64()),
-                    ids_crc32=(
-                        [zlib.crc32(ids[i:j]) for i, j in zip(marks[:-1].tolist(), marks[1:].tolist())],
-                        pa.int64(),
-                    ),
+                    doc_id=([None] * row["null_docs"] + [shift + known[i] for i in range(len(known))], pa.int64()),
+                    start=([base + i for i, _ in spans], pa.int64()),
+                    n_tokens=([j - i for i, j in spans], pa.int64()),
+                    ids_crc32=([zlib.crc32(ids[i:j]) for i, j in spans], pa.int64()),
                 )
 
     return run

@@ -78,13 +78,18 @@ class Pieces(dict):
 
 
 class Encoder:
-    """Encodes whole texts; strings of special tokens in them are ordinary text."""
+    """Encodes whole texts as the library does without special tokens at the ends.
+
+    Strings of added tokens inside a text have their own ids there; such texts
+    go to the library whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = (t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.pretokens = Pretokens(self.tokenizer.model)
         self.first, self.later = Pieces(self.pretokens, ""), Pieces(self.pretokens, " ")
         self.feed = self.pretokens["\n"]
@@ -93,6 +98,8 @@ class Encoder:
         """The ids of `text` as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if self.added.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         later, lines = self.later.__getitem__, []
         try:
             for line in text.split("\n"):

@@ -18,7 +18,7 @@ from cladeflow.llm.tokens import encoder, vocabulary
 
 ODD = [
     "", " ", "  ", "\n", "a  b", " a", "a ", "don't we'll I'm", "a\n\n b", "x\t y", "1 23 456", "naïve 😀😀 東京",
-    "<|endoftext|> and <|endoftext|>", "tab\tnew\r\nline", " nbsp  em", "trailing \n", "'s 's", "___ -- !!", "é" * 50,
+    "<|endoftext|> and <|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>", " <|endoftext|>\n\n<|endoftext", "tab\tnew\r\nline", " nbsp  em", "trailing \n", "'s 's", "___ -- !!", "é" * 50,
 ]
 
 
@@ -26,7 +26,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
