@@ -17,6 +17,8 @@ BATCH_ROWS = 512
 BATCH_BYTES = 32 << 20
 
 _shipped: set[str] = set()
+#: Paths that stage() wrote and nothing has deleted yet.
+_staged: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -69,15 +71,47 @@ def stage(df: DataFrame, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    _staged.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def unstage(*frames: DataFrame) -> None:
     """Deletes what stage() wrote for `frames`, once all that is made of them is staged too."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.staged_path)
+        if df.staged_path in _staged:
+            _staged.remove(df.staged_path)
+
+
+class Scratch:
+    """Deletes, at its end, what was staged within it, but for the frames that are kept.
+
+    Operators return frames that still read what they staged, so they can't do
+    this themselves: who writes an operator's result does.
+
+        with Scratch(spark) as scratch:
+            docs = scratch.keep(stage(operator(docs)))
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.before, self.kept = spark, set(_staged), set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df.staged_path)
+        return df
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in [p for p in _staged if p not in self.before | self.kept]:
+            _delete(self.spark, path)
+            _staged.remove(path)
 
 
 def texts(docs: DataFrame, *extra: str) -> DataFrame:
@@ -85,6 +119,11 @@ def texts(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra)
 
 
+def columns_of(names: list[str]) -> list:
+    """Columns of these names, whatever characters they hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -130,13 +169,15 @@ def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
     return rows.sparkSession.createDataFrame([(r[0], -(-HEAVY * r[1] // total)) for r in found], f"{key} long, _parts long")
 
 
-def join_spread(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def join_spread(rows: DataFrame, table: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
     """`rows` joined with a staged table that has one row a key and, in column `n`, how many of `total` rows have it.
 
     Keys with 1 / HEAVY of the rows or more, HEAVY at most, are broadcast, so that
     none of them makes one large task; the others meet the rows in a shuffle.
+    Rows with a null key are left out, as in any join.
     """
+    keys = [key] if isinstance(key, str) else key
     hot = F.col(n) * HEAVY >= max(total, 1)
-    few = F.broadcast(table.filter(hot))
-    rest = rows.join(F.broadcast(table.filter(hot).select(key)), key, "left_anti").join(table.filter(~hot), key)
-    return rows.join(few, key).unionByName(rest)
+    few = table.filter(hot)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(table.filter(~hot), keys)
+    return rows.join(F.broadcast(few), keys).unionByName(rest)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, prepare, stage, texts, without
+from .common import batch, join_spread, prepare, stage, texts, without
 from .words import NOT_ALNUM, Words, cut, grams, slices
 
 GUARANTEE = 13
@@ -185,15 +185,19 @@ def decontaminate(
         )
     )
     hits = scanned.select("doc_key", F.explode("fingerprints").alias("fingerprint"))
-    pairs = (
+    pairs = stage(
         hits.join(prints, "fingerprint")
         .select("doc_key", F.col("item_id").alias("item_key"), "n_short")
         .distinct()
     )
+    met = stage(
+        pairs.groupBy("item_key").agg(F.count("*").alias("n"))
+        .join(numbered.select("item_key", "item_id", F.col("text").alias("item_text")), "item_key")
+    )
     hit_texts = keyed.join(pairs.select("doc_key").distinct(), "doc_key", "left_semi")
     spans = (
-        pairs.join(hit_texts.dropDuplicates(["doc_key"]).select("doc_key", "text"), "doc_key")
-        .join(numbered.select("item_key", "item_id", F.col("text").alias("item_text")), "item_key")
+        join_spread(pairs, met, "item_key", "n", pairs.count())  # an item that very many documents hold is broadcast
+        .join(hit_texts.dropDuplicates(["doc_key"]).select("doc_key", "text"), "doc_key")
         .select("doc_key", "item_id", "n_short", "text", "item_text")
         .mapInArrow(_verify, "doc_key long, item_id long, spans array<struct<s: long, e: long>>")
     )

@@ -10,10 +10,12 @@ forms are added where their value looks live.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import columns_of, join_spread, stage
 
 #: Kinds in the order of the contract, with pattern, capturing group of the value
 #: and least length of the value.
@@ -102,13 +104,13 @@ def _joined(spans: Column) -> Column:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value_hash, n_repos and n_owners of each candidate; found: value, repo, owner."""
-    pairs = found.select(F.sha2("value", 256).alias("value_hash"), "repo", "owner").distinct()
+    """value_hash, n_repos, n_owners and n_found of each candidate; found: value_hash, repo, owner."""
+    pairs = found.groupBy("value_hash", "repo", "owner").agg(F.count("*").alias("n"))
     return (
         pairs.groupBy("value_hash", "owner")
-        .agg(F.count("*").alias("repos"))
+        .agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
         .groupBy("value_hash")
-        .agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
+        .agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.sum("n").alias("n_found"))
     )
 
 
@@ -118,23 +120,24 @@ def scan(
     owner: str | None = None,
     most_owners: int = MOST_OWNERS,
     keep: list[str] | None = None,
+    name: str = "secret_scan",
 ) -> DataFrame:
-    """The rows of `docs` with the columns `keep`, or all, and `secret_scan`, a struct.
+    """The rows of `docs` with the columns `keep`, or all, and a struct in column `name`.
 
     It holds `base` and `all`, arrays of spans (kind, rank, s, e, value, live) by
     code points with the end excluded, in no certain order. The repository is
     column `repo`; its owner is column `owner` or else the part before the first
     slash of the repository. Null texts are empty and hold nothing; a null
     repository counts as one of its own name, the empty one. Rows that repeat an
-    id are scanned each on its own. Other columns pass through unless they are
-    named secret_scan.
+    id are scanned each on its own. Other columns pass through unless one is
+    named `name`.
     """
-    name = F.coalesce(F.col(repo).cast("string"), F.lit(""))
-    own = F.coalesce(F.col(owner).cast("string"), F.lit("")) if owner else F.substring_index(name, "/", 1)
+    repo_name = F.coalesce(F.col(repo).cast("string"), F.lit(""))
+    own = F.coalesce(F.col(owner).cast("string"), F.lit("")) if owner else F.substring_index(repo_name, "/", 1)
     text = F.coalesce("text", F.lit(""))
-    kept = [c for c in keep or docs.columns if c != "secret_scan"]
+    kept = columns_of([c for c in keep or docs.columns if c != name])
     rows = docs.select(
-        F.struct(*kept).alias("doc"), text.alias("text"), name.alias("repo"), own.alias("owner")
+        F.struct(*kept).alias("doc"), text.alias("text"), repo_name.alias("repo"), own.alias("owner")
     )
     found = stage(
         rows.withColumn("found", candidates(F.col("text")))
@@ -145,7 +148,9 @@ def scan(
     each = with_any.select("row", "repo", "owner", F.explode("found").alias("x")).select(
         "row", "repo", "owner", "x.*", F.sha2("x.value", 256).alias("value_hash")
     )
-    known = each.join(ownership(each), "value_hash")
+    owners = stage(ownership(each))
+    total = owners.agg(F.coalesce(F.sum("n_found"), F.lit(0))).first()[0]
+    known = join_spread(each, owners, "value_hash", "n_found", total)
     live = F.col("n_owners") <= most_owners
     added = F.col("rank") >= len(BASE_KINDS)
     span = F.struct("kind", "rank", "s", "e", "value", live.alias("live"))
@@ -169,7 +174,7 @@ def scan(
         "doc.*",
         F.struct(
             F.coalesce("secret_scan.base", none).alias("base"), F.coalesce("secret_scan.all", none).alias("all")
-        ).alias("secret_scan"),
+        ).alias(name),
     )
 
 
@@ -193,12 +198,11 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     Texts without a span, null ones too, stay as they are. n_chars, where there
     is one, follows a changed text.
     """
-    ordered = F.array_sort(
-        F.transform("secret_scan.all", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    )
+    name, spans = f"scan_{uuid.uuid4().hex}", f"spans_{uuid.uuid4().hex}"
+    ordered = F.array_sort(F.transform(f"{name}.all", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
     text = F.col("text")
     changed = F.aggregate(
-        F.col("secret_spans"),
+        F.col(spans),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, x: F.when(
             x["s"] >= a["at"],
@@ -209,9 +213,9 @@ def redact(docs: DataFrame, **options) -> DataFrame:
         ).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out"))),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
     )
-    hit = F.size("secret_spans") > 0
-    out = scan(docs, **options).withColumn("secret_spans", ordered)
+    hit = F.size(spans) > 0
+    out = scan(docs, **options, name=name).withColumn(spans, ordered)
     new = {"text": F.when(hit, changed).otherwise(text)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(hit, F.length(changed).cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(docs.columns)
+    return out.withColumns(new).select(columns_of(docs.columns))

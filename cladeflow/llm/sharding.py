@@ -1,6 +1,6 @@
 """Sharding by Hilbert-curve order over document metadata.
 
-Language, source and size are each quantised to a grid, by quantiles over the
+Language, source and size are each quantised to a grid, by ranks over the
 corpus; a document's cell has a place on the Hilbert curve through the grid.
 Documents are sorted by it, and the order is cut into runs of equal counts, so
 each shard covers a compact box of the metadata and files can be skipped on any
@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, stage
+from .common import join_spread, prepare, stage
 
 DIMENSIONS = 3
 BITS = 8
@@ -52,10 +52,36 @@ def hilbert_index(coordinates: list[np.ndarray], bits: int = BITS) -> np.ndarray
     return out
 
 
-def _prefix(name: str) -> Column:
-    """The first six bytes of a string as a number, in the strings' order; null as ''."""
-    bytes_ = F.rpad(F.hex(F.substring(F.encode(F.coalesce(F.col(name), F.lit("")), "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(bytes_, 16, 10).cast("double")
+def _in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """`df` sorted over partitions, staged, with `part` and the place in it, `place`."""
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = stage(
+        df.repartitionByRange(spread, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    )
+    return ordered.withColumn("part", F.shiftright("_id", 33)).withColumn("place", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
+
+
+def _before(ordered: DataFrame, amount: Column) -> tuple[DataFrame, int]:
+    """part and the amount in the parts before it, a row for each part; and the whole amount."""
+    rows, total = [], 0
+    for part, n in sorted(ordered.groupBy("part").agg(F.sum(amount)).collect()):
+        rows.append((part, total))
+        total += n
+    return F.broadcast(ordered.sparkSession.createDataFrame(rows, "part long, before long")), total
+
+
+def _ranked(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` with `name`, a string, put into cells by its rank, a common value counting by its rows.
+
+    Whole strings are compared. A value lies where the middle of its rows does.
+    """
+    counts = _in_order(rows.groupBy(name).agg(F.count("*").alias("n")), F.col(name))
+    before, total = _before(counts, F.col("n"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("place"))
+    middle = F.col("before") + within - F.col("n") / 2
+    cell = F.floor(middle * (1 << BITS) / max(total, 1)).cast("double")
+    cells = stage(counts.join(before, "part").select(name, "n", cell.alias("cell")))
+    return join_spread(rows, cells, name, "n", total).drop("n", name).withColumnRenamed("cell", name)
 
 
 def _cells(cuts: list[list[float]]):
@@ -83,39 +109,28 @@ def hilbert_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.xxhash64(text).alias("text_hash"),
-            _prefix("lang").alias("d_lang"),
-            _prefix("source").alias("d_source"),
+            F.coalesce("lang", F.lit("")).alias("d_lang"),
+            F.coalesce("source", F.lit("")).alias("d_source"),
         ).withColumn("row", F.monotonically_increasing_id())
     )
+    for name in ("d_lang", "d_source"):
+        rows = stage(_ranked(rows, name))
     share = [i / (1 << BITS) for i in range(1, 1 << BITS)]
     dims = ("d_lang", "d_source", "d_size")
     sized = rows.withColumn("d_size", F.col("size").cast("double"))
     found = sized.agg(*(F.percentile_approx(d, share, 10_000).alias(d) for d in dims)).first()
     cuts = [sorted(set(found[d] or [])) for d in dims]
     group = ["text_hash", "text_crc32", "size"]
-    lead = rows.groupBy(*group).agg(F.min(F.struct("doc_id", "d_lang", "d_source")).alias("lead"))
-    placed = rows.select("doc_id", "row", *group).join(lead, group)
+    lead = stage(rows.groupBy(*group).agg(F.min(F.struct("doc_id", "d_lang", "d_source")).alias("lead"), F.count("*").alias("n")))
+    placed = join_spread(rows.select("doc_id", "row", *group), lead, group, "n", rows.count())
     placed = placed.withColumn(
         "hilbert", _cells(cuts)("lead.d_lang", "lead.d_source", F.col("size").cast("double"))
     )
     order = [F.col(c).asc_nulls_first() for c in ("hilbert", "text_hash", "doc_id", "row")]
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = stage(
-        placed.select("doc_id", "size", "text_crc32", "hilbert", "text_hash", "row")
-        .repartitionByRange(spread, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("place", F.monotonically_increasing_id())
-    )
-    part = F.shiftright("place", 33)
-    counts = sorted(ordered.groupBy(part.alias("part")).count().collect())
-    before, total = [], 0
-    for number, n in counts:
-        before.append((number, total))
-        total += n
-    starts = docs.sparkSession.createDataFrame(before, "part long, before long")
+    ordered = _in_order(placed.select("doc_id", "size", "text_crc32", "hilbert", "text_hash", "row"), *order)
+    starts, total = _before(ordered, F.lit(1))
     bounds = [-(-total * s // shards) for s in range(shards)]  # first rank of each shard
-    rank = F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)
-    ranked = ordered.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("rank", rank)
+    ranked = ordered.join(starts, "part").withColumn("rank", F.col("before") + F.col("place"))
     shard = sum((F.when(F.col("rank") >= b, 1).otherwise(0) for b in bounds[1:]), F.lit(0))
     return ranked.withColumn("shard", shard.cast("int")).select(
         "doc_id",

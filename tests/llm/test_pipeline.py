@@ -61,6 +61,19 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
     assert {r[0]: r[1] for r in got} == want
 
 
+def test_stages_pass_columns_of_clashing_names_on(spark, tmp_path):
+    sf = str(tmp_path / "sf")
+    folder(spark, sf)
+    docs = load(spark, sf, "documents")
+    mark = {c: "concat('own ', doc_id)" for c in ("secret_scan", "held_out")} | {c: "doc_id * 7" for c in ("node", "size", "row", "component")}
+    docs = docs.selectExpr(*(f"cast({mark[c]} as {t}) as {c}" if c in mark else c for c, t in docs.dtypes))
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        docs = step(spark, docs, sf)
+        for r in docs.filter("doc_id is not null").collect():
+            assert r["secret_scan"] == r["held_out"] == f"own {r['doc_id']}"
+            assert r["node"] == r["size"] == r["row"] == r["component"] == 7 * r["doc_id"]
+
+
 def test_run_gives_the_packed_rows(spark, tmp_path):
     sf = str(tmp_path / "sf")
     folder(spark, sf)

@@ -82,6 +82,33 @@ def test_redact_takes_all_spans_out(spark):
         assert r["text"] == (want + text[at:] if at else text)
 
 
+def test_redact_keeps_columns_of_the_names_it_uses(spark):
+    given = [(i, f"password = hunter2hunter{i} end", f"mine{i}", [i], i) for i in range(4)] + [(9, None, None, None, None)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, secret_scan string, secret_spans array<int>, `a b.c` int")
+    docs = docs.selectExpr("*", "'x/y' as source", "'d' as doc")
+    out = redact(docs)
+    assert out.dtypes == docs.dtypes
+    for r in out.collect():
+        i = r["doc_id"]
+        if i == 9:
+            assert r["text"] is r["secret_scan"] is r["secret_spans"] is None
+            continue
+        assert r["text"] == f"{REDACTED} end"
+        assert (r["secret_scan"], r["secret_spans"], r["a b.c"], r["source"], r["doc"]) == (f"mine{i}", [i], i, "x/y", "d")
+        assert "hunter" not in str(r)
+
+
+def test_a_value_that_most_rows_hold(spark):
+    """One example in most rows goes another way through the join than rare values do."""
+    from fixtures import DOCS
+
+    same = [(i, "key sk-exampleexample00 end", "en", f"o{i % 7}/r", 0, *[None] * 5, "x", None) for i in range(400)]
+    rare = [(1000 + i, f"key sk-rare{i:03d}rarerarerare end", "en", f"o{i}/r", 0, *[None] * 5, "x", None) for i in range(20)]
+    got = {r["doc_id"]: r for r in secret_report(spark.createDataFrame([g[:12] for g in same + rare], DOCS)).collect()}
+    assert len(got) == 420 and all(got[i]["spans"] == "" for i in range(400))
+    assert all(got[1000 + i]["n_live"] == 1 for i in range(20))
+
+
 def test_empty_table(spark):
     assert secret_report(empty(spark)).count() == 0
     assert redact(empty(spark)).count() == 0
