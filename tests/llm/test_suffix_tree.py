@@ -49,11 +49,12 @@ def test_base_scores_equal_brute_force(spark, monkeypatch, frequent):
 
 def test_shares_of_known_tokens_and_an_unseen_one_sum_to_1(spark):
     words = "a b b c c c".split()
-    rows = [(i, " ".join(words)) for i in range(40)] + [(1000 + i, w) for i, w in enumerate(["a", "b", "c", "unseen", ""])]
+    apart = next(i for i in range(2000, 3000) if held(i))
+    rows = [(i, " ".join(words)) for i in range(40)] + [(1000, "a"), (1001, "b"), (1002, "c"), (1004, ""), (apart, "unseen")]
     train = sum(not held(d) for d, _ in rows)
     got = {r["doc_id"]: r["base_score"] for r in lm_scores(frame(spark, rows)).collect()}
     end = got[1004]
-    shares = [10 ** (got[1000 + i] - end) for i in range(4)]
+    shares = [10 ** (got[i] - end) for i in (1000, 1001, 1002, apart)]
     assert train and math.isclose(sum(shares) + 10**end, 1, rel_tol=1e-9)
 
 
