@@ -26,12 +26,12 @@ from .common import batch, columns_of, fold_held_out, prepare, stage
 from .words import _TABLE, NOT_ALNUM, cut, mix, raw, slices
 
 #: Labelled rows that the index is built from, at most, by label; drawn by a hash of the id.
-EXAMPLES = {1: 1024, 0: 1536}
+EXAMPLES = {1: 768, 0: 1024}
 #: Power of a term's relevance in its weight.
 RELEVANCE = 2.0
 STEMS = (4, 5, 6)
 K = 25
-BLOCK = 32
+BLOCK = 64
 #: Blocks that a search visits before it looks at bounds again.
 FIRST_BLOCKS = 8
 #: Added to a neighbour's distance before its vote is divided by it.
@@ -102,7 +102,7 @@ class Vocabulary:
 
 def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges, one after the other, and the sizes of the ranges."""
-    size = end - begin
+    begin, size = begin.astype(np.int64), (end - begin).astype(np.int64)
     return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum()), size
 
 
@@ -125,15 +125,16 @@ class BlockMaxIndex:
         self.blocks = -(-len(ids) // BLOCK)
         place = self.rank[example]
         order = np.lexsort((place, term))
-        self.place, self.weight, term = place[order].astype(np.int32), weight[order], term[order]
-        cell = term * self.blocks + self.place // BLOCK
+        place, term = place[order], term[order]
+        cell = term * self.blocks + place // BLOCK
+        self.place, self.weight = place.astype(np.uint16 if len(ids) < 1 << 16 else np.int32), weight[order].astype(np.float32)
         new = np.ones(len(cell), bool)
         new[1:] = cell[1:] != cell[:-1]
         first = np.flatnonzero(new)
-        self.posting = np.append(first, len(cell))  # first posting of each cell
-        self.block = (self.place[first] // BLOCK).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.cell = np.searchsorted(term[first], np.arange(n_terms + 1))  # first cell of each term
+        self.posting = np.append(first, len(cell)).astype(np.int32)  # first posting of each cell
+        self.block = (place[first] // BLOCK).astype(np.uint16 if self.blocks < 1 << 16 else np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.cell = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)  # first cell of each term
         self.visited = 0
 
     def search(self, term: np.ndarray, weight: np.ndarray, k: int = K, without: int = -1):
@@ -177,6 +178,7 @@ class Model:
     weights: dict[int, float]  # labelled rows that an example of the label stands for
     silent: float  # score of a text without any known term
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    sent: object = None  # the vocabulary and the index, broadcast
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         if not len(places):
@@ -294,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, exa
     have_other = np.bincount(term, minlength=len(keys)) - have_toxic
     odds = n[0] / n[1] if n[1] else 0.0
     relevance = np.log2(2 + have_toxic * odds / np.maximum(have_other + odds, 1e-9))
-    vocabulary = Vocabulary(keys, np.zeros(len(keys)), 0.0)
+    vocabulary = Vocabulary(keys, np.zeros(0), 0.0)
     sent = spark.sparkContext.broadcast(vocabulary)
     counted = (
         docs.select(F.coalesce("text", F.lit("")).alias("text"))
@@ -320,31 +322,35 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, exa
     share = total.get(1, 0) / max(1, sum(total.values()))
     rate = float((silent[0] + share) / (sum(silent) + 1)) if len(ids) else 0.0
     model = Model(vocabulary, index, weights, rate)
-    model.curve = _calibrate(spark, model, size[spoken], toxic[spoken], term, weight)
+    model.sent = spark.sparkContext.broadcast((vocabulary, index))
+    model.curve = _calibrate(model, sample)
     return model
 
 
-def _calibrate(spark, model: Model, size, toxic, term, weight):
+def _calibrate(model: Model, sample: DataFrame):
     """The curve from votes of the examples, each searched without itself, as a Spark job."""
-    n = len(size)
-    if not n:
-        return model.curve
-    ends = np.concatenate([[0], np.cumsum(size)])
-    sent = spark.sparkContext.broadcast((model, ends, term, weight))
+    sent, weights = model.sent, model.weights
 
     def votes(batches):
-        m, ends, term, weight = sent.value
+        v, index = sent.value
+        m, order = Model(v, index, weights, 0.0), np.argsort(index.tie)
         for b in batches:
-            out = []
-            for i in b.column(0).to_pylist():
-                own = slice(ends[i], ends[i + 1])
-                out.append(m.vote(*m.index.search(term[own], weight[own], without=int(m.index.rank[i]))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["id", "vote"])
-
-    found = spark.range(n).mapInArrow(votes, "id long, vote double").toArrow().sort_by("id")
-    votes_ = found.column("vote").to_numpy()
+            for at, part in slices(b.column("text")):
+                who, term, weight = v.vectors(part)
+                ends = np.searchsorted(who, np.arange(len(part) + 1)).tolist()
+                ties = b.column("tie").to_numpy()[at : at + len(part)]
+                own = order[np.minimum(np.searchsorted(index.tie[order], ties), max(0, len(order) - 1))] if len(order) else ties * 0
+                out = [
+                    m.vote(*index.search(term[i:j], weight[i:j], without=int(p))) for i, j, p in zip(ends, ends[1:], own.tolist())
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("toxic")[at : at + len(part)], pa.array(out, pa.float64())], names=["toxic", "vote"]
+                )
+
+    found = sample.select("toxic", "tie", "text").mapInArrow(votes, "toxic int, vote double").toArrow()
+    votes_, toxic = found.column("vote").to_numpy(), found.column("toxic").to_numpy()
     known = votes_ >= 0
-    w = np.where(toxic == 1, model.weights[1], model.weights[0])
+    w = np.where(toxic == 1, weights[1], weights[0])
     return calibrated(votes_[known], toxic[known], w[known])
 
 
@@ -366,11 +372,11 @@ def toxicity_scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame
     """
     spark = docs.sparkSession
     prepare(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent, weights, silent, curve = model.sent, model.weights, model.silent, model.curve
     rows = docs.select(F.struct(*columns_of(keep)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
-        m, found = sent.value, {}
+        m, found = Model(*sent.value, weights, silent, curve), {}
         for b in batches:
             for at, part in slices(b.column("text")):
                 who, term, weight = m.vocabulary.vectors(part)

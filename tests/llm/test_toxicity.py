@@ -34,15 +34,17 @@ def labels(spark, rows):
 
 def test_search_equals_all_cosines():
     rng = np.random.default_rng(4)
-    n, terms = 500, 60
+    n, terms = 2000, 60
     dense = rng.random((n, terms)) * (rng.random((n, terms)) < 0.1)
+    dense[:, :10] = 20 * (rng.random((n, 10)) < 0.01)  # rare and heavy, as telling terms are
     dense = dense[dense.any(1)]
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
     ids = np.arange(len(dense))
     example, term = np.nonzero(dense)
     index = BlockMaxIndex(terms, ids, ids % 2, example, term, dense[example, term])
-    for _ in range(30):
+    for i in range(30):
         query = rng.random(terms) * (rng.random(terms) < 0.15)
+        query[i % 10] = 5
         used = np.flatnonzero(query)
         if not len(used):
             continue
