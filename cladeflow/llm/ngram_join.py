@@ -9,13 +9,15 @@ are counted among these first parts alone; a row then needs only all but k - 1
 of its part, and takes the rarest. A chance column rarely is among them.
 
 A column that thousands of near copies share isn't squared. Its rows first meet
-one hub, and linked rows are joined to components. By distance from the hub: a
-row u that is not linked with hub h can only be linked with v if the columns in
-which u differs from h and those in which v does have more than
-(t * extra + missing) / (1 + t) in common, of v's extra and missing columns.
-So what is left to do is a second product, of rows by their differences from a
-hub, of which v needs the rarest alone; near copies with edits of their own do
-not meet there. Any pair that could be linked is decided by its whole rows.
+one hub, and linked rows are joined to components. Where a hub's cluster then
+still holds several, its rows meet its center, the one most like its middle, the
+columns that most of them have. A row u that is not linked with a set h of
+columns can only be linked with v if the columns in which u differs from h and
+those in which v does have more than (t * extra + missing) / (1 + t) in common,
+of v's extra and missing columns. So what is left to do is a second product, of
+rows by their differences from the middle or center, of which v needs some
+alone; near copies with edits of their own do not meet there. Any pair that
+could be linked is decided by its whole rows.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ FILTER_BITS = 26
 BROADCAST_IDS = 1_000_000
 #: Values of rows that are laid side by side at once.
 PRODUCT_VALUES = 1 << 21
+#: Nodes of a cluster that its middle is taken from, about; this bears on speed alone.
+SAMPLED = 64
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,11 +223,30 @@ def _product(percent: int):
     return run
 
 
+COMPARED = "hub long, node long, size int, near boolean, similarity double"
+
+
+def _compared(percent: int):
+    """How similar each node, x, is to the middle of its cluster, y."""
+
+    def run(batches):
+        for b, size, value, pair, _ in _side_by_side(batches):
+            twice = (value[1:] == value[:-1]) & (pair[1:] == pair[:-1])
+            overlap = np.bincount(pair[1:][twice], minlength=b.num_rows)
+            either = np.maximum(1, size[0] + size[1] - overlap)
+            yield pa.RecordBatch.from_arrays(
+                [*b.select(["hub", "node", "size"]).columns, pa.array(100 * overlap >= percent * either), pa.array(overlap / either)],
+                names=["hub", "node", "size", "near", "similarity"],
+            )
+
+    return run
+
+
 DIFFERENCES = "cell long, node long, size int, component long, probes boolean, listed boolean"
 
 
 def _differences(percent: int):
-    """The columns in which a node, x, differs from its hub, y: all of an unlinked node, else those it needs."""
+    """The columns in which a node, x, differs from y: all of them if it probes, else those it needs."""
 
     def run(batches):
         for b, _, value, pair, side in _side_by_side(batches):
@@ -237,12 +260,12 @@ def _differences(percent: int):
             value, pair = value[order], pair[order]
             place = np.arange(len(pair)) - np.searchsorted(pair, np.arange(b.num_rows))[pair]
             listed = place < (extra + missing - shared + 1)[pair]
-            probes = ~b.column("linked").to_numpy(zero_copy_only=False)[pair]
+            probes = b.column("probes").to_numpy(zero_copy_only=False)[pair]
             used = listed | probes
-            at, hub = pair[used], b.column("hub").to_numpy().view(np.uint64)
+            at, cluster = pair[used], b.column("cluster").to_numpy().view(np.uint64)
             column = lambda name: b.column(name).to_numpy()[at]
             yield batch(
-                cell=(mix(value[used] ^ mix(hub[at] + np.uint64(1))).view(np.int64), pa.int64()),
+                cell=(mix(value[used] ^ mix(cluster[at] + np.uint64(1))).view(np.int64), pa.int64()),
                 node=(column("node"), pa.int64()),
                 size=(column("size"), pa.int32()),
                 component=(column("component"), pa.int64()),
@@ -259,13 +282,15 @@ def _fits(percent: int, a: str, b: str) -> Column:
 
 
 class _Join:
-    def __init__(self, keyed: DataFrame, sets: DataFrame, n: int, percent: int):
-        self.keyed, self.sets, self.n, self.percent = keyed, sets, n, percent
+    """nodes: node and row_key, that of one document of it. A hub's cluster is the nodes that share a column with it."""
+
+    def __init__(self, keyed: DataFrame, nodes: DataFrame, n: int, percent: int):
+        self.keyed, self.nodes, self.n, self.percent = keyed, nodes, n, percent
         self.grams: DataFrame | None = None
 
     def gather(self, nodes: DataFrame) -> None:
         """Lays out the whole row of each of `nodes`, from one document of it."""
-        keys = stage(self.sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key")))
+        keys = stage(self.nodes.select("node", "row_key").join(nodes, "node", "left_semi"))
         few, wanted = keys.select("row_key").distinct(), keys.select("node")
         if keys.count() <= BROADCAST_IDS:
             few, wanted = F.broadcast(few), F.broadcast(wanted)
@@ -278,29 +303,30 @@ class _Join:
         once = made.agg(F.count("*") == F.count_distinct("node")).first()[0]
         self.grams = made if once else stage(made.dropDuplicates(["node"]))
 
-    def attach(self, pairs: DataFrame, end: str, name: str) -> DataFrame:
-        """`pairs`, staged, with the row of the node in column `end`; rows of frequent nodes are dealt out."""
-        right = self.grams.select(F.col("node").alias(end), F.col("grams").alias(name))
-        heavy = heavy_keys(pairs, end)
-        if heavy is None:
-            return pairs.join(right, end)
-        parts = F.coalesce("_parts", F.lit(1).cast("long"))
-        left = pairs.join(F.broadcast(heavy), end, "left")
-        left = left.withColumn("_salt", F.pmod(F.xxhash64(*pairs.columns), parts)).drop("_parts")
-        right = right.join(F.broadcast(heavy), end, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        return left.join(right.drop("_parts"), [end, "_salt"]).drop("_salt")
-
-    def rows_of(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
-        """`pairs`, staged, with the rows `x` and `y` of the nodes in columns `a` and `b`."""
-        columns = [*pairs.columns, "x", "y"]
-        if heavy_keys(pairs, b) is None:
-            return self.attach(pairs, a, "x").join(self.grams.select(F.col("node").alias(b), F.col("grams").alias("y")), b).select(columns)
-        first, second = (self.attach(pairs, end, name) for end, name in ((a, "x"), (b, "y")))
-        return first.join(second, pairs.columns).select(columns)
+    def row(self, end: str, name: str) -> DataFrame:
+        """The whole rows of nodes, for a column `end` that names them."""
+        return self.grams.select(F.col("node").alias(end), F.col("grams").alias(name))
+
+    def beside(self, pairs: DataFrame, *rows: DataFrame) -> DataFrame:
+        """`pairs`, staged, joined with each of `rows` on its first column, which tells its rows apart."""
+        out = pairs
+        for right in rows:
+            end = right.columns[0]
+            heavy = heavy_keys(pairs, end)
+            if heavy is None:
+                out = out.join(right, end)
+                continue
+            parts = F.coalesce("_parts", F.lit(1).cast("long"))  # rows of frequent keys are dealt out
+            out = out.join(F.broadcast(heavy), end, "left")
+            out = out.withColumn("_salt", F.pmod(F.xxhash64(*pairs.columns), parts)).drop("_parts")
+            right = right.join(F.broadcast(heavy), end, "left")
+            right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+            out = out.join(right, [end, "_salt"]).drop("_salt")
+        return out.select(*pairs.columns, *(r.columns[1] for r in rows))
 
     def decide(self, pairs: DataFrame) -> DataFrame:
         """`a`, `b` and `linked` of the pairs of a staged table."""
-        return stage(self.rows_of(pairs, "a", "b").mapInArrow(_product(self.percent), "a long, b long, linked boolean"))
+        return stage(self.beside(pairs, self.row("a", "x"), self.row("b", "y")).mapInArrow(_product(self.percent), "a long, b long, linked boolean"))
 
     def stars(self, rows: DataFrame) -> DataFrame:
         """node, hub, their sizes, and whether the columns in which they meet have more rows, `several`.
@@ -320,46 +346,93 @@ class _Join:
             .agg(F.first("size").alias("size"), F.first("hub.size").alias("hub_size"), F.max(F.col("n") > 2).alias("several"))
         )
 
-    def left(self, met: DataFrame, states: DataFrame, parts: DataFrame) -> DataFrame:
-        """Pairs of different components that the differences from a hub leave.
+    def pairs_of(self, met: DataFrame, end: str) -> DataFrame:
+        """Pairs of nodes and what column `end` names, with sizes near enough to each other."""
+        return met.filter(_fits(self.percent, "size", f"{end}_size")).select(
+            F.least("node", end).alias("a"), F.greatest("node", end).alias("b")
+        ).distinct()
+
+    def placed(self, rows: DataFrame, parts: DataFrame, name: str = "node") -> DataFrame:
+        """`rows` with the `component` of column `name`."""
+        own = parts.select(F.col("node").alias(name), "component")
+        return rows.join(own, name, "left").withColumn("component", F.coalesce("component", name))
 
-        A pair is met where the one, not linked with the hub, probes with all of
-        its differences, and the other has the column among those it needs.
+    def mixed(self, met: DataFrame, parts: DataFrame) -> DataFrame:
+        """Rows of `met` whose hub has nodes of several components, with `component` and their number, `members`."""
+        rows = stage(self.placed(met, parts))
+        several = stage(
+            rows.groupBy("hub")
+            .agg(F.count("*").alias("members"), F.min("component").alias("_least"), F.max("component").alias("_most"))
+            .filter("_least < _most")
+            .select("hub", "members")
+        )
+        out = stage(join_spread(rows, several, "hub", "members", rows.count()))
+        unstage(rows, several)
+        return out
+
+    def middles(self, open_: DataFrame) -> DataFrame:
+        """hub, `y`, the columns that more than half of its nodes have, and members.
+
+        Of many nodes some SAMPLED are counted, drawn by a hash: any set of
+        columns serves for the argument that left() rests on. Near the middle of
+        a cluster the differences of its nodes have least in common.
+        """
+        drawn = open_.filter(F.pmod(F.xxhash64("node", "hub"), F.ceil(F.col("members") / SAMPLED)) == 0).select("hub", "node")
+        number = drawn.groupBy("hub").agg(F.count("*").alias("m"))
+        columns = drawn.join(self.grams, "node").select("hub", F.explode("grams").alias("gram")).groupBy("hub", "gram").agg(F.count("*").alias("n"))
+        middle = columns.join(number, "hub").filter("2 * n > m").groupBy("hub").agg(F.collect_list("gram").alias("y"))
+        every = open_.groupBy("hub").agg(F.count("*").alias("members"))
+        return stage(every.join(middle, "hub", "left").select("hub", F.coalesce("y", F.array().cast("array<long>")).alias("y"), "members"))
+
+    def centred(self, open_: DataFrame, middles: DataFrame) -> DataFrame:
+        """hub, node, size, whether it is linked with the middle, `near`, and the node most like the middle, `center`."""
+        rows = open_.select("hub", "node", "size")
+        compared = stage(self.beside(stage(rows), self.row("node", "x"), middles.select("hub", "y")).mapInArrow(_compared(self.percent), COMPARED))
+        most = F.max_by(F.struct("node", "size"), F.struct("similarity", F.xxhash64("node")))
+        centers = compared.groupBy("hub").agg(most.alias("center"), F.count("*").alias("_n"))
+        centers = stage(centers.select("hub", "_n", F.col("center.node").alias("center"), F.col("center.size").alias("center_size")))
+        return stage(join_spread(compared, centers, "hub", "_n", compared.count()).drop("_n", "similarity"))
+
+    def left(self, met: DataFrame, middles: DataFrame, states: DataFrame, parts: DataFrame) -> DataFrame:
+        """Pairs of nodes of one cluster and different components that may be linked.
+
+        Of two nodes of a cluster, both linked with its center, nothing is left to
+        do. Let u not be linked with it. Where u isn't linked with the middle
+        either, u probes with its differences from the middle, and else with those
+        from the center; the other is met if it needs one of these columns.
         """
         linked = states.filter("linked").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "linked")
-        pair = (F.least("node", "hub") == F.col("_a")) & (F.greatest("node", "hub") == F.col("_b"))
-        members = stage(
-            met.filter("several")
-            .join(linked, pair, "left")
-            .join(parts, "node", "left")
-            .select("node", "hub", "size", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("component", "node").alias("component"))
-        )
-        mixed = stage(
-            members.groupBy("hub")
-            .agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
-            .filter("least < most")
-            .select("hub", "n")
-        )
-        open_ = stage(join_spread(members, mixed, "hub", "n", members.count()).drop("n"))
-        cells = stage(self.rows_of(open_, "node", "hub").mapInArrow(_differences(self.percent), DIFFERENCES))
+        pair = (F.least("node", "center") == F.col("_a")) & (F.greatest("node", "center") == F.col("_b"))
+        known = F.coalesce("linked", F.col("node") == F.col("center"))
+        members = stage(met.join(linked, pair, "left").withColumn("linked", known).drop("_a", "_b"))
+        open_ = self.mixed(members, parts)
+        cells = None
+        for far, rows in ((True, middles.select("hub", "y")), (False, self.row("center", "y"))):
+            probes = ~F.col("linked") & (~F.col("near") if far else F.col("near"))
+            used = stage(open_.filter(probes).groupBy("hub").agg(F.first("members").alias("_n")))
+            own = join_spread(open_, used, "hub", "_n", open_.count()).withColumn("probes", probes)
+            own = stage(own.select(F.xxhash64("hub", F.lit(far)).alias("cluster"), "hub", "center", "node", "size", "component", "probes"))
+            part = stage(self.beside(own, self.row("node", "x"), rows).mapInArrow(_differences(self.percent), DIFFERENCES))
+            cells = part if cells is None else cells.unionByName(part)
         several = stage(
             cells.groupBy("cell", "component")
-            .agg(F.count("*").alias("n"), F.max("probes").alias("probes"))
+            .agg(F.count("*").alias("n"), F.max("probes").alias("probes"), F.max("listed").alias("listed"))
             .groupBy("cell")
-            .agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("k"), F.max("probes").alias("probes"), F.sum("n").alias("n"))
-            .filter("k > 1 and probes")
+            .agg(
+                F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("n"),
+                F.max("probes").alias("probes"), F.max("listed").alias("listed"),
+            )
+            .filter("k > 1 and probes and listed")
             .select("cell", "n", F.col("main.component").alias("main"))
-        )
+        )
         met_cells = stage(join_spread(cells, several, "cell", "n", cells.count()).drop("n"))
         others = met_cells.filter("listed").select(*(F.col(c).alias(f"{c}_o") for c in ("cell", "node", "size", "component", "main")))
         apart = (F.col("cell") == F.col("cell_o")) & (F.col("component") != F.col("component_o")) & _fits(self.percent, "size", "size_o")
-        probes = met_cells.filter("probes")
-        small = probes.filter("component != main").join(others, apart)
-        large = probes.filter("component = main").join(others.filter("component_o != main_o"), apart)
+        probing = met_cells.filter("probes")
+        small = probing.filter("component != main").join(others, apart)
+        large = probing.filter("component = main").join(others.filter("component_o != main_o"), apart)
         found = small.unionByName(large).select(F.least("node", "node_o").alias("a"), F.greatest("node", "node_o").alias("b"))
-        out = stage(found.distinct().join(states.select("a", "b"), ["a", "b"], "left_anti"))
-        unstage(members, mixed, open_, cells, several, met_cells)
-        return out
+        return stage(found.distinct().join(states.select("a", "b"), ["a", "b"], "left_anti"))
 
 
 def _known_bits(rows: DataFrame) -> np.ndarray:
@@ -387,6 +460,14 @@ def _perhaps(bits):
     return run
 
 
+def _joined(parts: DataFrame, states: DataFrame) -> DataFrame:
+    """Components with the links of `states` added."""
+    more = states.filter("linked").select("a", "b")
+    if more.isEmpty():
+        return parts
+    return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, row_key and head_key of each row.
 
@@ -438,24 +519,25 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         .select(F.col("col.gram").alias("gram"), "node", "size", (F.col("alone") + F.col("pos")).alias("place"))
     )
     unstage(parts_, repeated)
-    join = _Join(keyed, sets, n, percent)
+    first_row = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    nodes = stage(
+        sets.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min(first_row).alias("head"), F.count("*").alias("n"))
+    )
+    join = _Join(keyed, nodes, n, percent)
     met = join.stars(rows)
     unstage(rows)
     join.gather(met.select(F.explode(F.array("node", "hub")).alias("node")).distinct())
-    pairs = stage(
-        met.filter(_fits(percent, "size", "hub_size"))
-        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        .distinct()
-    )
-    states = join.decide(pairs)
-    links = states.filter("linked").select("a", "b")
-    parts = components(links)
-    more = join.decide(join.left(met, states, parts)).filter("linked").select("a", "b")
-    if not more.isEmpty():
-        parts = components(links.unionByName(more))
-    first_row = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    nodes = sets.groupBy("node").agg(F.min(first_row).alias("head"), F.count("*").alias("n"))
-    nodes = stage(nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    states = join.decide(stage(join.pairs_of(met, "hub")))
+    parts = components(states.filter("linked").select("a", "b"))
+    open_ = join.mixed(met.filter("several"), parts)
+    middles = join.middles(open_)
+    met = join.centred(open_, middles)
+    again = join.pairs_of(met.filter("node != center"), "center").join(states.select("a", "b"), ["a", "b"], "left_anti")
+    again = join.decide(stage(again))
+    parts = _joined(parts, again)
+    states = states.unionByName(again)
+    parts = _joined(parts, join.decide(join.left(met, middles, states, parts)))
+    nodes = stage(join.placed(nodes, parts))
     heads = stage(nodes.groupBy("component").agg(F.min("head").alias("first"), F.count("*").alias("nodes")))
     named = stage(
         join_spread(nodes, heads, "component", "nodes", nodes.count()).select(
