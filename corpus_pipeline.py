@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeflow.llm.common import load, stage
+from cladeflow.llm.common import Scratch, load, stage
 from cladeflow.llm.decontamination import drop_contaminated
 from cladeflow.llm.ngram_join import drop_near_copies
 from cladeflow.llm.packing import pack_documents
@@ -54,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for _, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir))
+        with Scratch(spark) as scratch:
+            docs = scratch.keep(stage(step(spark, docs, sf_dir)))
     return STAGES[-1][1](spark, docs, sf_dir)
