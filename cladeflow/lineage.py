@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -28,3 +29,20 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/settle-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def number(rows: DataFrame, key: str, start: int, out: str) -> DataFrame:
+    """`rows` with consecutive numbers in the order of `key`, in column `out`.
+
+    Keys are range-partitioned and numbered by partition, with the counts of
+    earlier partitions added: no task sorts them all.
+    """
+    ordered = settle(rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    offsets, total = [], start
+    for p, n in sorted((r["p"], r["count"]) for r in ordered.groupBy(part.alias("p")).count().collect()):
+        offsets.append((p, total))
+        total += n
+    table = rows.sparkSession.createDataFrame(offsets, "_p long, _first long")
+    numbered = ordered.withColumn("_p", part).join(F.broadcast(table), "_p")  # a row a partition
+    return numbered.select(*rows.columns, (F.col("_first") + F.col("_m").bitwiseAND((1 << 33) - 1)).alias(out))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import number
+
 
 def group_counts(rows: DataFrame, columns: list[str], array: bool = False) -> DataFrame:
     """metric, key and n for each column, in one scan; nulls are left out.
@@ -114,23 +116,5 @@ def capped(rows: DataFrame, most: int) -> tuple[DataFrame, Column]:
 
 
 def dense_ids(rows: DataFrame, key: str, start: int = 1, out: str = "new_id") -> DataFrame:
-    """Distinct keys with consecutive ids in key order.
-
-    Keys are range-partitioned and numbered by partition, with the counts of
-    earlier partitions added: no task sorts them all.
-    """
-    from ..lineage import settle
-
-    distinct = rows.select(key).distinct()
-    ordered = settle(
-        distinct.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id())
-    )
-    part = F.shiftright("_m", 33)
-    sizes = sorted((r["p"], r["count"]) for r in ordered.groupBy(part.alias("p")).count().collect())
-    offsets, total = [], start
-    for p, n in sizes:
-        offsets.append((p, total))
-        total += n
-    table = rows.sparkSession.createDataFrame(offsets, "p long, first long")
-    numbered = ordered.withColumn("p", part).join(F.broadcast(table), "p")  # a row a partition
-    return numbered.select(key, (F.col("first") + F.col("_m").bitwiseAND((1 << 33) - 1)).alias(out))
+    """Distinct keys with consecutive ids in key order; no task sorts them all."""
+    return number(rows.select(key).distinct(), key, start, out)

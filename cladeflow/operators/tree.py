@@ -8,25 +8,27 @@ that most later questions are expressions on one column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import count
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import settle
+from ..lineage import number, settle
 
-#: Levels below a root, at most; deeper nodes and nodes on cycles get no path.
-MOST_LEVELS = 100
+#: Levels that are joined to one settled table.
+LEVELS_TOGETHER = 32
 
 
-def with_paths(nodes: DataFrame, carried: list[str] = (), levels: int = MOST_LEVELS) -> DataFrame:
+def with_paths(nodes: DataFrame, carried: list[str] = ()) -> DataFrame:
     """`nodes` with `path`, structs of id and the carried columns from the root to the node, and `depth`, 1 for roots.
 
     A node whose parent is missing, or that a cycle keeps from any root, is left
-    out; see unreached().
+    out; see unreached(). The walk ends with the deepest level, however deep.
     """
     step = F.struct("id", *carried)
     level = settle(nodes.filter("parent_id is null").withColumn("path", F.array(step)).withColumn("depth", F.lit(1)))
     found = level
-    for depth in range(2, levels + 1):
+    for depth in count(2):
         above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_above"))
         level = settle(
             nodes.join(above, "parent_id")
@@ -35,9 +37,10 @@ def with_paths(nodes: DataFrame, carried: list[str] = (), levels: int = MOST_LEV
             .select(*found.columns)
         )
         if level.isEmpty():
-            break
+            return found
         found = found.unionByName(level)
-    return found
+        if depth % LEVELS_TOGETHER == 0:
+            found = settle(found)
 
 
 def unreached(nodes: DataFrame, paths: DataFrame) -> DataFrame:
@@ -93,21 +96,15 @@ def nested_set(paths: DataFrame, order: list[str]) -> DataFrame:
     """id, pre, lft and rgt: numbers of a depth-first walk with siblings in `order`.
 
     `order` names columns carried in the path. A range of lft then holds a
-    subtree. The walk is a total order over the forest: trees are numbered apart,
-    by root, and their offsets added, so no task sorts more than a tree.
+    subtree. The walk is a total order over the forest; it is sorted over range
+    partitions, so that no task sorts a whole tree.
     """
     keys = F.transform("path", lambda p: F.struct(*(p[c] for c in order), p["id"]))
-    rows = paths.select("id", "depth", keys.alias("walk"), F.get("path", F.lit(0))["id"].alias("root"))
-    size = roll_up(paths, {"size": F.lit(1)})
-    within = Window.partitionBy("root").orderBy("walk")
-    rows = rows.withColumn("own", F.row_number().over(within)).join(size, "id")
-    roots = rows.filter("depth = 1").select("root", F.col("walk").alias("root_walk"), F.col("size").alias("root_size"))
-    before = Window.orderBy("root_walk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = roots.withColumn("before", F.coalesce(F.sum("root_size").over(before), F.lit(0))).select("root", "before")
-    pre = F.col("before") + F.col("own")
-    return rows.join(offsets, "root").select(
+    rows = number(paths.select("id", "depth", keys.alias("walk")), "walk", 1, "pre")
+    pre, size = F.col("pre"), roll_up(paths, {"size": F.lit(1)})
+    return rows.join(size, "id").select(
         "id",
-        pre.alias("pre"),
+        "pre",
         (2 * pre - F.col("depth")).alias("lft"),
         (2 * pre - F.col("depth") + 2 * F.col("size") - 1).alias("rgt"),
     )
