@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lists, lookups, metrics, names, scalars, search, trees
+from . import lists, lookups, metrics, names, scalars, search, trees, usages
 
-_MODULES = (search, trees, lookups, metrics, scalars, names, lists)
+_MODULES = (search, trees, lookups, metrics, scalars, names, lists, usages)
 
 
 def queries() -> dict:

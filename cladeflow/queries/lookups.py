@@ -10,10 +10,10 @@ from .registry import NODES_SQL, nodes, registrar, tables
 REGISTRY, query = registrar()
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 200000)")
 def orphan_rows(spark, folder):
     customer, orders = tables(spark, folder, "customer", "orders")
-    return joins.orphans(customer, "c_custkey", orders, "o_custkey").select("c_custkey", "c_name")
+    return joins.orphans(customer, "c_custkey", orders.filter("o_totalprice > 200000"), "o_custkey").select("c_custkey", "c_name")
 
 
 @query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")

@@ -59,11 +59,11 @@ def top_value(spark, folder):
     return maps.select("o_orderstatus", best["key"].alias("top"), best["value"].alias("n"))
 
 
-@query("""SELECT p_name AS key, count(*) AS n, array_to_string(list_sort(list(p_partkey)), ',') AS ids FROM part GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT p_brand) = count(*)""")
+@query("""SELECT p_name || '|' || p_type AS key, count(*) AS n, array_to_string(list_sort(list(p_partkey)), ',') AS ids FROM part GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT p_brand) = count(*)""")
 def strict_duplicates(spark, folder):
-    """Equal names whose brands all differ."""
+    """Equal names and types whose brands all differ."""
     (part,) = tables(spark, folder, "part")
-    rows = m.duplicates(part, F.col("p_name"), "p_partkey", 3, all_different=["p_brand"])
+    rows = m.duplicates(part, F.concat_ws("|", "p_name", "p_type"), "p_partkey", 3, all_different=["p_brand"])
     return rows.select("key", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 

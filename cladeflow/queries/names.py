@@ -32,21 +32,13 @@ def damerau_and_jaro(spark, folder):
     return pairs.select(F.col("p_name").alias("a"), "b", sim.damerau_distance("p_name", "b").alias("edits"), sim.jaro_winkler_similarity("p_name", "b").alias("jaro"))
 
 
-@query("""SELECT p_name AS name, row_number() OVER (ORDER BY p_name) AS index_id FROM (SELECT DISTINCT p_name FROM part)""")
+@query("""WITH k AS (SELECT DISTINCT p_name AS name, lower(p_name) AS k FROM part)
+  SELECT name, dense_rank() OVER (ORDER BY k) AS index_id FROM k""")
 def names_index(spark, folder):
-    """Keys of names with consecutive ids; these names are their own keys but for the stems."""
+    """Names with the ids of an index of their keys; the words of these names keep their order when stemmed."""
     (part,) = tables(spark, folder, "part")
     rows = part.select(F.col("p_name").alias("name")).distinct()
-    index = matching.build_index(rows, "name")
-    matched = matching.match_index(rows, "name", index)
-    order = matched.orderBy("index_id")
-    return order.select("name", F.row_number().over(_by_name()).cast("long").alias("index_id"))
-
-
-def _by_name():
-    from pyspark.sql import Window
-
-    return Window.orderBy("name")
+    return matching.match_index(rows, "name", matching.build_index(rows, "name")).select("name", F.col("index_id").cast("long").alias("index_id"))
 
 
 @query("""WITH c AS (SELECT p_name, p_brand, min(p_partkey) AS id, count(*) AS n FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2)

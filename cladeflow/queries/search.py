@@ -84,12 +84,12 @@ def fuzzy_name_query(spark, folder):
     return part.filter(s.name_score(F.col("p_name"), "widgte", F.lit(False)) > 0).select("p_partkey", "p_name")
 
 
-@query("""SELECT p_partkey, p_name, round(1.1 + 100.0 / (p_size + 1), 6) AS score FROM part WHERE regexp_matches(p_name, '(^| )gre')
+@query("""SELECT p_partkey, p_name, round(1.1 + 100.0 / (p_size + 1), 6) AS score FROM part WHERE regexp_matches(p_name, '(^| )giz')
   ORDER BY 1.1 + 100.0 / (p_size + 1) DESC, p_name, p_partkey LIMIT 5""")
 def suggest_top_k(spark, folder):
     (part,) = tables(spark, folder, "part")
-    found = part.filter(F.col("p_name").rlike("(^| )gre"))
-    best = s.suggest(found, "p_name", "gre", F.lit(True), F.col("p_size"), k=1000)
+    found = part.filter(F.col("p_name").rlike("(^| )giz"))
+    best = s.suggest(found, "p_name", "giz", F.lit(True), F.col("p_size"), k=1000)
     rows = best.orderBy(F.desc("score"), "p_name", "p_partkey").limit(5)
     return rows.select("p_partkey", "p_name", F.round("score", 6).alias("score"))
 
