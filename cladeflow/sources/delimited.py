@@ -99,15 +99,17 @@ def read_star_archive(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         places = {int(e.get("index")): "id" for e in part if local(e) in ("id", "coreid")}
         fields = [e for e in part if local(e) == "field"]
         places |= {int(e.get("index")): e.get("term").rpartition("/")[2] for e in fields if e.get("index")}
+        skipped = int(part.get("ignoreHeaderLines") or 0)
+        if skipped > 1:
+            raise ValueError(f"{files[0]} has {skipped} header lines; one at most is read")
         rows = spark.read.csv(
             [f"{folder}/{f}" for f in files],
             sep=(part.get("fieldsTerminatedBy") or ",").replace("\\t", "\t"),
             quote=part.get("fieldsEnclosedBy") or "",
-            header=False,
+            encoding=part.get("encoding") or "UTF-8",
+            header=skipped == 1,
         )
-        if int(part.get("ignoreHeaderLines") or 0):
-            head = spark.read.text(f"{folder}/{files[0]}").first()[0].split((part.get("fieldsTerminatedBy") or ",").replace("\\t", "\t"))[0]
-            rows = rows.filter(~F.col("_c0").eqNullSafe(F.lit(head)))
+        rows = rows.toDF(*(f"_c{i}" for i in range(len(rows.columns))))
         table = rows.select(*(clean_cell(F.col(f"_c{i}")).alias(n) for i, n in sorted(places.items())))
         for e in fields:
             if e.get("default"):
@@ -117,6 +119,25 @@ def read_star_archive(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return out
 
 
+def read_folder(spark: SparkSession, folder: str, kinds: dict[str, dict[str, str]]) -> dict[str, DataFrame]:
+    """The tables of a folder of delimited files, by kind; files of other names are left out.
+
+    kinds: by kind, which is the file's name without its ending, the terms of its
+    header. Names match by letters and digits, so that `name_usage.tsv` is NameUsage.
+    """
+    plain = lambda x: re.sub(r"[^a-z0-9]", "", x.lower())
+    known = {plain(k): k for k in kinds}
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    out: dict[str, DataFrame] = {}
+    for path in sorted(f.getPath().toString() for f in found):
+        kind = known.get(plain(path.rpartition("/")[2].partition(".")[0]))
+        if kind:
+            rows = read_delimited(spark, path, kinds[kind])
+            out[kind] = out[kind].unionByName(rows, allowMissingColumns=True) if kind in out else rows
+    return out
+
+
 def write_delimited(rows: DataFrame, path: str, sep: str = "\t", header: bool = True) -> None:
     """Text files with arrays joined by a bar; empty values stay empty."""
     flat = [
@@ -124,3 +145,37 @@ def write_delimited(rows: DataFrame, path: str, sep: str = "\t", header: bool =
         for c, t in rows.dtypes
     ]
     rows.select(*flat).write.csv(path, sep=sep, header=header, nullValue="", emptyValue="")
+
+
+def write_folder(tables: dict[str, DataFrame], folder: str) -> None:
+    """Each table as tab-separated files in a folder of its own; read_folder() reads them back."""
+    for kind, rows in tables.items():
+        write_delimited(rows, f"{folder}/{kind}.tsv")
+
+
+def write_star_archive(core: tuple[str, DataFrame], extensions: dict[str, DataFrame], folder: str, terms: str = "") -> None:
+    """A core table and its extensions, with the meta.xml that read_star_archive() reads.
+
+    Each table has a column `id`; the others are terms, named with `terms` before
+    them. Extension rows whose id the core lacks are left out. Tables are folders
+    of files, so that no task writes a whole one.
+    """
+    kind, rows = core
+    ids = rows.select("id").distinct()
+    tables = {kind: rows} | {k: t.join(ids, "id", "left_semi") for k, t in extensions.items()}
+    root = ElementTree.Element("archive", xmlns="http://rs.tdwg.org/dwc/text/")
+    for name, table in tables.items():
+        write_delimited(table, f"{folder}/{name}")
+        part = ElementTree.SubElement(
+            root, "core" if name == kind else "extension", rowType=terms + name, encoding="UTF-8",
+            fieldsTerminatedBy="\\t", fieldsEnclosedBy='"', ignoreHeaderLines="1",
+        )
+        ElementTree.SubElement(ElementTree.SubElement(part, "files"), "location").text = name
+        for i, c in enumerate(table.columns):
+            ElementTree.SubElement(part, ("id" if name == kind else "coreid") if c == "id" else "field", index=str(i), **({} if c == "id" else {"term": terms + c}))
+    spark = rows.sparkSession
+    text = ElementTree.tostring(root, encoding="unicode")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/meta.xml")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
