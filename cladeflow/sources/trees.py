@@ -25,11 +25,13 @@ def read_indented(spark: SparkSession, path: str) -> DataFrame:
         F.when(body.rlike("^[=*]"), "synonym").when(body.startswith("$"), "basionym").otherwise("accepted").alias("kind"),
         body.rlike("^[=*$]*[†‡]").alias("extinct"),
     )
-    # The parent is the last line before with a smaller depth: the last at depth - 1.
-    last = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.struct("depth", "id")).over(last)
-    above = F.array_max(F.transform(F.filter(seen, lambda s: s["depth"] == F.col("depth") - 1), lambda s: s["id"]))
-    return rows.withColumn("parent_id", above)
+    # The parent is the last line before that lies one level up: each line stands once
+    # for itself, and once as a parent among the lines of the next level.
+    parents = rows.select((F.col("depth") + 1).alias("depth"), "id", F.col("id").alias("_parent"))
+    both = rows.unionByName(parents, allowMissingColumns=True)
+    before = Window.partitionBy("depth").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = both.withColumn("parent_id", F.last("_parent", ignorenulls=True).over(before))
+    return placed.filter("_parent is null").drop("_parent")
 
 
 def render_indented(paths: DataFrame, label: Column, order: list[str]) -> DataFrame:

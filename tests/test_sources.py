@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from cladeflow.sources import delimited as d
+from cladeflow.sources import trees
 
 
 @pytest.mark.parametrize(
@@ -58,3 +59,11 @@ def test_star_archive_round_trip(spark, tmp_path):
     found = d.read_star_archive(spark, at)
     assert sorted(tuple(r) for r in found["Taxon"].select("id", "scientificName", "note").collect()) == [("1", "Abies", None), ("2", "id", "x y")]
     assert sorted(tuple(r) for r in found["VernacularName"].select("id", "vernacularName").collect()) == [("1", "fir"), ("2", "larch")]
+
+
+def test_indented_tree(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("Animalia\n  Abies\n    $Abies alba\n    =Pinus picea\n\n  †Larix\n    Larix decidua\nPlantae\n")
+    rows = {r["name"]: r for r in trees.read_indented(spark, str(tmp_path / "t.txt")).collect()}
+    up = {n: next((m for m, q in rows.items() if q["id"] == r["parent_id"]), None) for n, r in rows.items()}
+    assert up == {"Animalia": None, "Abies": "Animalia", "Abies alba": "Abies", "Pinus picea": "Abies", "Larix": "Animalia", "Larix decidua": "Larix", "Plantae": None}
+    assert (rows["Pinus picea"]["kind"], rows["Abies alba"]["kind"], rows["Larix"]["extinct"], rows["Abies"]["depth"]) == ("synonym", "basionym", True, 2)
