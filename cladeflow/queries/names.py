@@ -65,31 +65,30 @@ def unique_rematch(spark, folder):
     return matching.unique_rematch(subjects, targets, ["p_name"])
 
 
-@query("""WITH RECURSIVE s AS (SELECT a.p_name AS bucket, a.p_partkey AS id, b.p_partkey AS old_id, 1 + CASE WHEN a.p_brand = b.p_brand THEN 5 ELSE 0 END + CASE WHEN a.p_type = b.p_type THEN 10 ELSE 0 END + 12 AS score
-    FROM part a JOIN part b USING (p_name) WHERE a.p_partkey >= 1000 AND b.p_partkey < 1000 AND a.p_partkey % 10 = 0 AND b.p_partkey % 10 = 0)
-  SELECT bucket, max(score)::INTEGER AS best, count(*) AS pairs FROM s GROUP BY 1""")
+@query("""SELECT bucket, max(score)::INTEGER AS best, count(*) AS pairs FROM (
+    SELECT a.p_name AS bucket, 13 + CASE WHEN a.p_brand = b.p_brand THEN 5 ELSE 0 END + CASE WHEN a.p_type = b.p_type THEN 10 ELSE 0 END AS score
+    FROM part a JOIN part b USING (p_name) WHERE a.p_partkey >= 1000 AND b.p_partkey < 1000) GROUP BY 1""")
 def stable_id_scores(spark, folder):
     """Scores of new names against old ids within a bucket of one key."""
-    return _best(_scored(spark, folder, "p_partkey % 10 = 0"))
+    return _best(_scored(spark, folder))
 
 
-@query("""SELECT bucket, max(score)::INTEGER AS best, count(*) AS pairs FROM (
-    SELECT a.p_name AS bucket, 13 + CASE WHEN a.p_brand = b.p_brand THEN 5 ELSE 0 END + CASE WHEN a.p_type = b.p_type THEN 10 ELSE 0 END AS score
+@query("""SELECT score, count(*) AS pairs FROM (
+    SELECT 13 + CASE WHEN a.p_brand = b.p_brand THEN 5 ELSE 0 END + CASE WHEN a.p_type = b.p_type THEN 10 ELSE 0 END AS score
     FROM part a JOIN part b USING (p_name) WHERE a.p_partkey >= 1000 AND b.p_partkey < 1000) GROUP BY 1""")
 def stable_id_scores_all(spark, folder):
-    """The same over all parts."""
-    return _best(_scored(spark, folder))
+    """How many pairs have each score."""
+    return _scored(spark, folder).groupBy("score").agg(F.count("*").alias("pairs"))
 
 
 def _best(pairs):
     return pairs.groupBy("bucket").agg(F.max("score").alias("best"), F.count("*").alias("pairs"))
 
 
-def _scored(spark, folder, rows="true"):
+def _scored(spark, folder):
     (part,) = tables(spark, folder, "part")
-    kept = part.filter(rows)
-    new = kept.filter("p_partkey >= 1000").select(F.col("p_name").alias("bucket"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("s1"), F.col("p_type").alias("r1"))
-    old = kept.filter("p_partkey < 1000").select(F.col("p_name").alias("bucket"), F.col("p_partkey").alias("old_id"), F.col("p_brand").alias("s2"), F.col("p_type").alias("r2"))
+    new = part.filter("p_partkey >= 1000").select(F.col("p_name").alias("bucket"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("s1"), F.col("p_type").alias("r1"))
+    old = part.filter("p_partkey < 1000").select(F.col("p_name").alias("bucket"), F.col("p_partkey").alias("old_id"), F.col("p_brand").alias("s2"), F.col("p_type").alias("r2"))
     same = F.lit("x")
     score = matching.stable_id_score(
         {"status": F.col("s1"), "rank": F.col("r1"), "accepted": same, "authorship": same},

@@ -11,24 +11,25 @@ from .registry import registrar, tables
 REGISTRY, query = registrar()
 
 
-@query("""SELECT doc_id, left(strip_accents(text), 40) AS plain FROM documents WHERE doc_id < 300 AND lang IN ('fr', 'es')""".replace("doc_id < 300 AND ", ""))
-def unaccented_text(spark, folder):
-    (docs,) = tables(spark, folder, "documents")
-    return docs.filter("lang in ('fr', 'es')").select("doc_id", F.left(f.unaccent(F.col("text")), F.lit(40)).alias("plain"))
-
-
 _SPELLED_SQL = "text"
 for _mark, _plain in f.LIGATURES.items():
     _SPELLED_SQL = f"replace({_SPELLED_SQL}, '{_mark}', '{_plain}')"
 
 
 @query(f"SELECT doc_id, strip_accents({_SPELLED_SQL}) AS plain FROM documents")
-def unaccented_text_all(spark, folder):
+def unaccented_text(spark, folder):
     """Whole texts of all rows."""
     (docs,) = tables(spark, folder, "documents")
     return docs.select("doc_id", f.unaccent(F.col("text")).alias("plain"))
 
 
+@query(f"SELECT lang, count(*) AS n, sum(length(strip_accents({_SPELLED_SQL})))::BIGINT AS letters FROM documents GROUP BY 1")
+def unaccented_text_all(spark, folder):
+    """Lengths of the whole texts without accents, by language."""
+    (docs,) = tables(spark, folder, "documents")
+    return docs.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length(f.unaccent(F.col("text")))).alias("letters"))
+
+
 @query(r"""SELECT c_custkey, nullif(upper(trim(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g'))), '') AS skeleton, replace(replace(replace(c_name, '\', '\\'), '%', '\%'), '_', '\_') AS escaped,
   regexp_replace(c_name, '[^A-Za-z0-9]+', '', 'g') AS bare, lpad(c_custkey::VARCHAR, 12, '0') AS padded FROM customer""")
 def text_skeletons(spark, folder):

@@ -114,29 +114,27 @@ def tree_to_flat(spark, folder):
     return tree.tree_to_flat(_paths(spark, folder), {"region": 0, "nation": 1})
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 97 AS a, l_partkey % 97 AS b FROM lineitem WHERE l_orderkey % 500 = 3),
-  both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-  r AS (SELECT a AS node, a AS g FROM both_ UNION SELECT both_.b, r.g FROM r JOIN both_ ON both_.a = r.node)
-  SELECT node, min(g) AS "group" FROM r GROUP BY 1""")
+@query()
 def relation_closure(spark, folder):
-    """Groups of what relations connect, in either direction."""
+    """Groups of what all line items connect, orders and parts by their own keys; see the tests.
+
+    A recursive query pairs all nodes of a group, so there is no SQL for it.
+    """
     (items,) = tables(spark, folder, "lineitem")
-    edges = items.filter("l_orderkey % 500 = 3").select((F.col("l_orderkey") % 97).alias("a"), (F.col("l_partkey") % 97).alias("b"))
-    return tree.closure(edges)
+    key = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    return tree.closure(items.select(key("O", "l_orderkey").alias("a"), key("P", "l_partkey").alias("b")))
 
 
 @query()
 def relation_closure_all(spark, folder):
-    """Groups of what all line items connect, orders and parts by their own keys; see the tests."""
-    (items,) = tables(spark, folder, "lineitem")
-    key = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
-    return tree.closure(items.select(key("O", "l_orderkey").alias("a"), key("P", "l_partkey").alias("b")))
+    """How many nodes each of these groups has."""
+    return relation_closure(spark, folder).groupBy("group").agg(F.count("*").alias("n"))
 
 
-@query(PATHS_SQL + """, lines AS (SELECT repeat(' ', (2 * (depth - 1))::INTEGER) || name AS line FROM paths WHERE depth <= 2) SELECT line, count(*) AS n FROM lines GROUP BY 1""")
+@query(PATHS_SQL + """, lines AS (SELECT repeat(' ', (2 * (depth - 1))::INTEGER) || name AS line FROM paths) SELECT line, count(*) AS n FROM lines GROUP BY 1""")
 def indented_text(spark, folder):
-    """A text tree of the upper levels; lines are counted, as results have no order."""
-    paths = _paths(spark, folder).filter("depth <= 2")
+    """A text tree of all nodes; lines are counted, as results have no order."""
+    paths = _paths(spark, folder)
     return text.render_indented(paths, F.col("name"), ["name"]).groupBy("line").agg(F.count("*").alias("n"))
 
 
@@ -146,10 +144,10 @@ def newick_text(spark, folder):
     return text.newick(paths, F.col("name"), ["name"])
 
 
-@query(f"""WITH {NODES_SQL} SELECT '  n' || id || ' [label="' || name || '"]' AS line FROM nodes WHERE rank_ord < 2
-  UNION ALL SELECT '  n' || parent_id || ' -> n' || id || ' [type=parent_of]' FROM nodes WHERE rank_ord = 1""")
+@query(f"""WITH {NODES_SQL} SELECT '  n' || id || ' [label="' || name || '"]' AS line FROM nodes
+  UNION ALL SELECT '  n' || parent_id || ' -> n' || id || ' [type=parent_of]' FROM nodes WHERE parent_id IS NOT NULL""")
 def graph_text(spark, folder):
-    return text.graph_lines(nodes(spark, folder).filter("rank_ord < 2"), F.col("name"), F.lit(False))
+    return text.graph_lines(nodes(spark, folder), F.col("name"), F.lit(False))
 
 
 @query(PATHS_SQL + """, m AS (SELECT id, 'M' || id AS match FROM nodes WHERE rank_ord = 0 OR id IN ('N2', 'C7'))

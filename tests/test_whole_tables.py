@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import pyarrow.parquet as pq
@@ -30,8 +30,11 @@ def test_closure_of_all_line_items(spark):
     for r in read("lineitem", "l_orderkey", "l_partkey"):
         a, b = sorted((root(f"O{r['l_orderkey']}"), root(f"P{r['l_partkey']}")))
         up[b] = a
-    got = {r["node"]: r["group"] for r in lists.queries()["relation_closure_all"](spark, str(DATA)).collect()}
-    assert got == {x: root(x) for x in list(up)}
+    got = {r["node"]: r["group"] for r in lists.queries()["relation_closure"](spark, str(DATA)).collect()}
+    want = {x: root(x) for x in list(up)}
+    assert got == want
+    sizes = {r["group"]: r["n"] for r in lists.queries()["relation_closure_all"](spark, str(DATA)).collect()}
+    assert sizes == Counter(want.values())
 
 
 def test_ids_are_assigned_over_all_parts(spark, tmp_path):
