@@ -17,7 +17,7 @@ those in which v does have more than (t * extra + missing) / (1 + t) in common,
 of v's extra and missing columns. So what is left to do is a second product, of
 rows by their differences from the middle or center, of which v needs some
 alone; near copies with edits of their own do not meet there. Any pair that
-could be linked is decided by its whole rows.
+could be linked is decided exactly, by its rows or by their differences.
 """
 
 from __future__ import annotations
@@ -242,11 +242,14 @@ def _compared(percent: int):
     return run
 
 
-DIFFERENCES = "cell long, node long, size int, component long, probes boolean, listed boolean"
+DIFFERENCES = "cluster long, node long, size int, component long, probes boolean, member long, listed int, columns array<long>"
 
 
 def _differences(percent: int):
-    """The columns in which a node, x, differs from y: all of them if it probes, else those it needs."""
+    """The columns in which a node, x, differs from y, of which the first `listed` are those it needs.
+
+    member tells the rows apart, by cluster and node.
+    """
 
     def run(batches):
         for b, _, value, pair, side in _side_by_side(batches):
@@ -257,25 +260,39 @@ def _differences(percent: int):
             extra, missing = (np.bincount(pair[side == i], minlength=b.num_rows) for i in (0, 1))
             shared = (percent * extra + 100 * missing) // (100 + percent) + 1
             order = np.lexsort((mix(value), side, pair))
-            value, pair = value[order], pair[order]
-            place = np.arange(len(pair)) - np.searchsorted(pair, np.arange(b.num_rows))[pair]
-            listed = place < (extra + missing - shared + 1)[pair]
-            probes = b.column("probes").to_numpy(zero_copy_only=False)[pair]
-            used = listed | probes
-            at, cluster = pair[used], b.column("cluster").to_numpy().view(np.uint64)
-            column = lambda name: b.column(name).to_numpy()[at]
-            yield batch(
-                cell=(mix(value[used] ^ mix(cluster[at] + np.uint64(1))).view(np.int64), pa.int64()),
-                node=(column("node"), pa.int64()),
-                size=(column("size"), pa.int32()),
-                component=(column("component"), pa.int64()),
-                probes=(probes[used], pa.bool_()),
-                listed=(listed[used], pa.bool_()),
+            ends = pa.array(np.concatenate([[0], np.cumsum(extra + missing)]), pa.int32())
+            cluster, node = (b.column(c).to_numpy().view(np.uint64) for c in ("cluster", "node"))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *b.select(["cluster", "node", "size", "component", "probes"]).columns,
+                    pa.array(mix(node ^ mix(cluster + np.uint64(1))).view(np.int64)),
+                    pa.array(np.maximum(0, extra + missing - shared + 1), pa.int32()),
+                    pa.ListArray.from_arrays(ends, pa.array(value[order].view(np.int64))),
+                ],
+                names=["cluster", "node", "size", "component", "probes", "member", "listed", "columns"],
             )
 
     return run
 
 
+def _compared_differences(percent: int):
+    """Pairs, and whether they are linked, by their sizes and differences x and y from one set.
+
+    Two rows differ in the columns that just one of them has among its differences.
+    """
+
+    def run(batches):
+        for b, size, value, pair, _ in _side_by_side(batches):
+            twice = (value[1:] == value[:-1]) & (pair[1:] == pair[:-1])
+            differ = size[0] + size[1] - 2 * np.bincount(pair[1:][twice], minlength=b.num_rows)
+            both = b.column("size").to_numpy().astype(np.int64) + b.column("size_o").to_numpy()
+            overlap = (both - differ) // 2
+            linked = 100 * overlap >= percent * (both - overlap)
+            yield pa.RecordBatch.from_arrays([*b.select(["a", "b"]).columns, pa.array(linked)], names=["a", "b", "linked"])
+
+    return run
+
+
 def _fits(percent: int, a: str, b: str) -> Column:
     """Sizes of a pair are near enough to each other."""
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
@@ -394,7 +411,7 @@ class _Join:
         return stage(join_spread(compared, centers, "hub", "_n", compared.count()).drop("_n", "similarity"))
 
     def left(self, met: DataFrame, middles: DataFrame, states: DataFrame, parts: DataFrame) -> DataFrame:
-        """Pairs of nodes of one cluster and different components that may be linked.
+        """Pairs of nodes of one cluster and different components that share a difference, with `linked`.
 
         Of two nodes of a cluster, both linked with its center, nothing is left to
         do. Let u not be linked with it. Where u isn't linked with the middle
@@ -406,14 +423,20 @@ class _Join:
         known = F.coalesce("linked", F.col("node") == F.col("center"))
         members = stage(met.join(linked, pair, "left").withColumn("linked", known).drop("_a", "_b"))
         open_ = self.mixed(members, parts)
-        cells = None
+        differences = None
         for far, rows in ((True, middles.select("hub", "y")), (False, self.row("center", "y"))):
             probes = ~F.col("linked") & (~F.col("near") if far else F.col("near"))
             used = stage(open_.filter(probes).groupBy("hub").agg(F.first("members").alias("_n")))
             own = join_spread(open_, used, "hub", "_n", open_.count()).withColumn("probes", probes)
             own = stage(own.select(F.xxhash64("hub", F.lit(far)).alias("cluster"), "hub", "center", "node", "size", "component", "probes"))
             part = stage(self.beside(own, self.row("node", "x"), rows).mapInArrow(_differences(self.percent), DIFFERENCES))
-            cells = part if cells is None else cells.unionByName(part)
+            differences = part if differences is None else differences.unionByName(part)
+        used = F.when(F.col("probes"), F.col("columns")).otherwise(F.slice("columns", F.lit(1), F.col("listed")))
+        cells = stage(
+            differences.select("cluster", "member", "node", "size", "component", "probes", "listed", F.posexplode(used)).select(
+                F.xxhash64("cluster", "col").alias("cell"), "member", "node", "size", "component", "probes", (F.col("pos") < F.col("listed")).alias("listed")
+            )
+        )
         several = stage(
             cells.groupBy("cell", "component")
             .agg(F.count("*").alias("n"), F.max("probes").alias("probes"), F.max("listed").alias("listed"))
@@ -426,13 +449,18 @@ class _Join:
             .select("cell", "n", F.col("main.component").alias("main"))
         )
         met_cells = stage(join_spread(cells, several, "cell", "n", cells.count()).drop("n"))
-        others = met_cells.filter("listed").select(*(F.col(c).alias(f"{c}_o") for c in ("cell", "node", "size", "component", "main")))
+        others = met_cells.filter("listed").select(*(F.col(c).alias(f"{c}_o") for c in ("cell", "member", "node", "size", "component", "main")))
         apart = (F.col("cell") == F.col("cell_o")) & (F.col("component") != F.col("component_o")) & _fits(self.percent, "size", "size_o")
         probing = met_cells.filter("probes")
         small = probing.filter("component != main").join(others, apart)
         large = probing.filter("component = main").join(others.filter("component_o != main_o"), apart)
-        found = small.unionByName(large).select(F.least("node", "node_o").alias("a"), F.greatest("node", "node_o").alias("b"))
-        return stage(found.distinct().join(states.select("a", "b"), ["a", "b"], "left_anti"))
+        first = F.col("member") < F.col("member_o")
+        one = lambda c: [F.when(first, F.col(c)).otherwise(F.col(f"{c}_o")), F.when(first, F.col(f"{c}_o")).otherwise(F.col(c))]
+        ends = [x.alias(n) for c, names in (("member", ("m", "m_o")), ("node", ("a", "b")), ("size", ("size", "size_o"))) for x, n in zip(one(c), names)]
+        found = stage(small.unionByName(large).select(*ends).distinct())
+        row = lambda end, name: differences.select(F.col("member").alias(end), F.col("columns").alias(name))
+        rows = self.beside(found, row("m", "x"), row("m_o", "y"))
+        return stage(rows.mapInArrow(_compared_differences(self.percent), "a long, b long, linked boolean"))
 
 
 def _known_bits(rows: DataFrame) -> np.ndarray:
@@ -536,7 +564,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     again = join.decide(stage(again))
     parts = _joined(parts, again)
     states = states.unionByName(again)
-    parts = _joined(parts, join.decide(join.left(met, middles, states, parts)))
+    parts = _joined(parts, join.left(met, middles, states, parts))
     nodes = stage(join.placed(nodes, parts))
     heads = stage(nodes.groupBy("component").agg(F.min("head").alias("first"), F.count("*").alias("nodes")))
     named = stage(
