@@ -26,7 +26,7 @@ from .common import batch, columns_of, fold_held_out, prepare, stage
 from .words import _TABLE, NOT_ALNUM, cut, mix, raw, slices
 
 #: Labelled rows that the index is built from, at most, by label; drawn by a hash of the id.
-EXAMPLES = {1: 768, 0: 1024}
+EXAMPLES = {1: 512, 0: 640}
 #: Power of a term's relevance in its weight.
 RELEVANCE = 2.0
 STEMS = (4, 5, 6)
