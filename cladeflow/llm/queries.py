@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
 from .decontamination import decontaminate
+from .filter_audit import SQL as FILTER_AUDIT_SQL
+from .filter_audit import filter_audit
 from .html_text import html_text
 from .ngram_join import ngram_join
 from .packing import pack_documents
@@ -58,6 +60,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(load(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -70,8 +76,9 @@ def queries() -> dict:
         "op8_html_extraction": op8_html_extraction,
         "op9_sharding": op9_sharding,
         "op10_token_output": op10_token_output,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_filter_audit": FILTER_AUDIT_SQL}
