@@ -29,6 +29,8 @@ BIT = {name: 1 << i for i, name in enumerate(FILTERS)}
 MASKS = 1 << len(FILTERS)
 #: Bytes of text that a map task holds before it sends its chains on.
 CHUNK_BYTES = 64 << 20
+#: Bytes of text for each partition that chains meet in, before repeated texts are merged.
+PARTITION_BYTES = 64 << 20
 
 LEAST_WORDS = 50
 LEAST_DISTINCT_PERCENT = 65
@@ -140,7 +142,8 @@ def failed_filters(docs: DataFrame, part: str = "source", chunk_bytes: int = CHU
     rows = docs.select(
         F.col("doc_id").cast("long"), text, F.coalesce(F.col(part).cast("string"), F.lit("")), F.xxhash64(text)
     ).rdd
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.getNumPartitions())
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
     met = rows.mapPartitions(_send(chunk_bytes)).partitionBy(parts, lambda key: key).mapPartitions(_meet)
     return spark.createDataFrame(met, ROUTED, verifySchema=False)
 
