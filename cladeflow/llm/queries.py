@@ -11,6 +11,8 @@ from .filter_audit import filter_audit
 from .html_text import html_text
 from .ngram_join import ngram_join
 from .packing import pack_documents
+from .periodic_runs import run_report
+from .pii import pii_report
 from .quality_rules import quality_rules
 from .secrets import secret_report
 from .sharding import hilbert_shards
@@ -60,6 +62,14 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(load(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(load(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(load(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -76,6 +86,8 @@ def queries() -> dict:
         "op8_html_extraction": op8_html_extraction,
         "op9_sharding": op9_sharding,
         "op10_token_output": op10_token_output,
+        "op11_pii": op11_pii,
+        "op12_periodic_runs": op12_periodic_runs,
         "op13_filter_audit": op13_filter_audit,
     }
 
