@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import authorship
+from ..operators import authorship, candidates
 from .registry import registrar, tables
 
 REGISTRY, query = registrar()
@@ -52,3 +52,54 @@ def compared_authors(spark, folder):
         .join(known.select(F.col("id").alias("l_suppkey"), F.col("authorship").alias("b")), "l_suppkey")
     )
     return authorship.compare(pairs, "a", "b").select("l_partkey", "l_suppkey", "equal")
+
+
+_CHOICE_SQL = """WITH pairs AS (
+    SELECT q.p_partkey AS query, c.p_partkey AS candidate, q.p_size % 2 = 0 AS qualified, c.p_type = q.p_type AND c.p_size = q.p_size AS label,
+           CASE WHEN abs(c.p_size - q.p_size) <= 5 THEN 'EQUAL' WHEN abs(c.p_size - q.p_size) <= 15 THEN 'UNKNOWN' ELSE 'DIFFERENT' END AS equal,
+           c.p_size % 3 <> 0 AS authored, CASE c.p_partkey % 10 WHEN 0 THEN 'PROVISIONALLY_ACCEPTED' WHEN 2 THEN 'ACCEPTED' WHEN 4 THEN 'ACCEPTED' ELSE 'SYNONYM' END AS status,
+           c.p_type AS accepted, CASE WHEN c.p_type = q.p_type THEN c.p_size % 4 END AS common, c.p_size % 5 AS lowest
+    FROM part q JOIN part c ON c.p_name = q.p_name AND c.p_brand = q.p_brand AND c.p_partkey % 2 = 0 WHERE q.p_partkey % 2 = 1),
+  marked AS (
+    SELECT *, NOT authored OR equal <> 'DIFFERENT' AS alike, status <> 'PROVISIONALLY_ACCEPTED' AS firm, status = 'ACCEPTED' AS taxon,
+           max(common) FILTER (status <> 'PROVISIONALLY_ACCEPTED') OVER (PARTITION BY query) AS near_top,
+           bool_or(status = 'ACCEPTED') OVER (PARTITION BY query) AS any_taxon FROM pairs),
+  topped AS (SELECT *, max(lowest) FILTER (firm AND (taxon OR NOT any_taxon)) OVER (PARTITION BY query) AS low_top FROM marked),
+  told AS (
+    SELECT query, bool_or(qualified) AS qualified, count(*) AS n, min(candidate) AS least,
+           count(*) FILTER (label AND alike) AS n_label, min(candidate) FILTER (label AND alike) AS by_label,
+           count(*) FILTER (alike) AS n_alike, min(candidate) FILTER (alike) AS by_alike,
+           count(*) FILTER (authored) AS n_authored, min(candidate) FILTER (authored) AS by_authored,
+           bool_and(status = 'SYNONYM') AND count(DISTINCT accepted) = 1 AS one_accepted,
+           count(*) FILTER (firm) AS n_firm, min(candidate) FILTER (firm) AS by_firm,
+           count(*) FILTER (firm AND common = near_top) AS n_near, min(candidate) FILTER (firm AND common = near_top) AS by_near,
+           count(*) FILTER (taxon) AS n_taxon, min(candidate) FILTER (taxon) AS by_taxon,
+           count(*) FILTER (firm AND (taxon OR NOT any_taxon) AND lowest = low_top) AS n_low,
+           min(candidate) FILTER (firm AND (taxon OR NOT any_taxon) AND lowest = low_top) AS by_low
+    FROM topped GROUP BY query),
+  chosen AS (
+    SELECT query, n, CASE
+        WHEN qualified AND n_label = 1 THEN {'m': by_label, 't': 'MATCH'} WHEN qualified AND n_label = 0 AND n_alike = 1 THEN {'m': by_alike, 't': 'MATCH'}
+        WHEN n = 1 THEN {'m': least, 't': 'MATCH'} WHEN qualified AND n_authored = 1 THEN {'m': by_authored, 't': 'MATCH'}
+        WHEN one_accepted THEN {'m': least, 't': 'SNAP'} WHEN n_firm = 1 THEN {'m': by_firm, 't': 'SNAP'} WHEN n_firm = 0 THEN {'m': NULL, 't': 'NONE'}
+        WHEN n_near = 1 THEN {'m': by_near, 't': 'AMBIGUOUS'} WHEN n_taxon = 1 THEN {'m': by_taxon, 't': 'SNAP'}
+        WHEN n_low = 1 THEN {'m': by_low, 't': 'AMBIGUOUS'} ELSE {'m': coalesce(by_taxon, by_firm), 't': 'AMBIGUOUS'} END AS c
+    FROM told)
+  SELECT query, c.m AS match, c.t AS match_type, n FROM chosen"""
+
+
+@query(_CHOICE_SQL)
+def chosen_candidates(spark, folder):
+    """Parts of odd key and the one chosen among those of even key, name and brand."""
+    (part,) = tables(spark, folder, "part")
+    side = lambda p: part.select(*(F.col(f"p_{c}").alias(f"{p}_{c}") for c in ("partkey", "name", "brand", "type", "size")))
+    joined = side("q").filter("q_partkey % 2 = 1").join(side("c").filter("c_partkey % 2 = 0"), F.expr("q_name = c_name AND q_brand = c_brand"))
+    apart, kind = F.abs(F.col("c_size") - F.col("q_size")), F.col("c_partkey") % 10
+    pairs = joined.select(
+        F.col("q_partkey").alias("query"), F.col("c_partkey").alias("candidate"), (F.col("q_size") % 2 == 0).alias("qualified"),
+        ((F.col("c_type") == F.col("q_type")) & (apart == 0)).alias("label"),
+        F.when(apart <= 5, "EQUAL").when(apart <= 15, "UNKNOWN").otherwise("DIFFERENT").alias("equal"), (F.col("c_size") % 3 != 0).alias("authored"),
+        F.when(kind == 0, "PROVISIONALLY_ACCEPTED").when(kind <= 4, "ACCEPTED").otherwise("SYNONYM").alias("status"), F.col("c_type").alias("accepted"),
+        F.when(F.col("c_type") == F.col("q_type"), F.col("c_size") % 4).alias("common"), (F.col("c_size") % 5).alias("lowest"),
+    )
+    return candidates.choose(pairs)
