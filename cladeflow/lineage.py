@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, by: str | None = None) -> DataFrame:
     """Writes `df` to the folder in spark.checkpoint.dir and reads it back.
 
-    Loops call it once a round: plans stay short, and a lost executor costs one
+    With `by`, an integer column, rows are stored in a folder for each of its
+    values, and a filter on it reads only that. Loops call it once a round: plans stay short, and a lost executor costs one
     round at most. Only a local session may go without the setting.
     """
     spark = df.sparkSession
@@ -27,7 +28,8 @@ def settle(df: DataFrame) -> DataFrame:
         spark.conf.set("cladeflow.settle.dir", folder)
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
     path = f"{folder.rstrip('/')}/settle-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import authors, lists, lookups, metrics, names, scalars, search, trees, usages
+from . import assembly, authors, lists, lookups, metrics, names, scalars, search, trees, usages
 
-_MODULES = (authors, search, trees, lookups, metrics, scalars, names, lists, usages)
+_MODULES = (assembly, authors, search, trees, lookups, metrics, scalars, names, lists, usages)
 
 
 def queries() -> dict:
