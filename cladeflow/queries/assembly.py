@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans import merge
+from ..plans import hierarchy, merge
 from .registry import registrar, tables
 
 REGISTRY, query = registrar()
@@ -76,3 +76,30 @@ def extended_release(spark, folder):
     before = project.limit(0).unionByName(spark.createDataFrame([("x100", None, "Elsewhere", None, "genus", "ACCEPTED", 0)], project.schema))
     made = merge.extended_release(project, [{"priority": 1, "sector": 7, "source": source}], before)
     return made.usages.select("id", "parent_id", "name", "authorship", "status")
+
+
+@query("""WITH linked AS (SELECT c_custkey, c_nationkey, c_name, c_custkey % 4 AS kind FROM customer),
+  used AS (SELECT DISTINCT n_nationkey, n_name, n_regionkey FROM nation JOIN linked ON c_nationkey = n_nationkey WHERE kind <> 0),
+  regions AS (SELECT DISTINCT n_regionkey FROM used)
+  SELECT 'C' || c_custkey AS id, CASE WHEN kind = 0 THEN NULL ELSE '5:n' || c_nationkey END AS parent_id, CASE WHEN kind = 2 THEN 'Auth, 1900' END AS authorship,
+         'ACCEPTED' AS status, c_name AS name FROM linked
+  UNION ALL SELECT '5:n' || n_nationkey, '5:r' || n_regionkey, NULL, 'ACCEPTED', n_name FROM used
+  UNION ALL SELECT '5:r' || n_regionkey, NULL, NULL, 'ACCEPTED', r_name FROM regions JOIN region ON r_regionkey = n_regionkey
+  UNION ALL SELECT '5:y' || s_suppkey, 'C' || s_suppkey, NULL, 'SYNONYM', s_name FROM supplier JOIN linked ON c_custkey = s_suppkey WHERE kind IN (1, 2)""")
+def hierarchy_synced(spark, folder):
+    """Customers without a tree take over nations and regions of a source: by its ids, or for every fourth (3) by name; suppliers are its synonyms."""
+    region, nation, customer, supplier = tables(spark, folder, "region", "nation", "customer", "supplier")
+    null, kind = F.lit(None).cast("string"), F.col("c_custkey") % 4
+    accepted = lambda status="ACCEPTED": F.lit(status).alias("status")
+    own = F.concat(F.lit("c"), "c_custkey")
+    project = customer.select(
+        F.concat(F.lit("C"), "c_custkey").alias("id"), null.alias("parent_id"), F.col("c_name").alias("name"), null.alias("authorship"), F.lit("species").alias("rank"),
+        accepted(), F.lit(None).cast("int").alias("sector"), F.when(kind.isin(1, 2), own).when(kind == 0, "gone").alias("source_id"),
+    )
+    source = (
+        region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), null.alias("parent_id"), F.col("r_name").alias("name"), null.alias("authorship"), F.lit("order").alias("rank"), accepted())
+        .unionByName(nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_name").alias("name"), null.alias("authorship"), F.lit("family").alias("rank"), accepted()))
+        .unionByName(customer.select(own.alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("parent_id"), F.col("c_name").alias("name"), F.when(kind >= 2, "Auth, 1900").alias("authorship"), F.lit("species").alias("rank"), accepted()))
+        .unionByName(supplier.select(F.concat(F.lit("y"), "s_suppkey").alias("id"), F.concat(F.lit("c"), "s_suppkey").alias("parent_id"), F.col("s_name").alias("name"), null.alias("authorship"), F.lit("species").alias("rank"), accepted("SYNONYM")))
+    )
+    return hierarchy.hierarchy_sync(project, source, 5).usages.select("id", "parent_id", "authorship", "status", "name")
