@@ -203,21 +203,34 @@ def inverted_ranks(paths: DataFrame) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """node and group, the least node that edges lead to in either direction.
 
-    Labels fall to the least label of a neighbour and then to that label's label,
-    until none falls.
+    Each round points nodes to the least node of their neighbourhood's least node
+    and contracts the graph: edges join what their ends point to, and loops and
+    repeats go. Nodes that are left at least halve; a node of a dense part is left
+    only if it is the least around it. Afterwards the rounds' pointers are put
+    together from the last on. In each join one side has a row a node, so that a
+    node with many edges can be split over tasks.
     """
-    both = settle(
-        edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a is not null and b is not null").distinct()
-    )
-    labels = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("group")).withColumnRenamed("a", "node"))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "group"), "b").groupBy("a").agg(F.min("group").alias("near"))
-        fallen = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "group", F.least("group", "near").alias("low"))
-        jump = fallen.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        after = settle(fallen.join(jump, "low").select("node", "group", F.least("low", "lower").alias("new")))
-        if after.filter("new < `group`").isEmpty():
-            return after.select("node", F.col("new").alias("group"))
-        labels = after.select("node", F.col("new").alias("group"))
+    ends = edges.filter("a is not null and b is not null")
+    least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    nodes = settle(ends.select(least, most).distinct())
+    left, rounds = nodes.filter("a != b"), []
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        onward = near.select(F.col("a").alias("to"), F.col("to").alias("then"))
+        rounds.append(settle(near.join(onward, "to").select(F.col("a").alias("node"), F.col("then").alias("to"))))
+        to = lambda end: rounds[-1].select(F.col("node").alias(end), F.col("to").alias(f"_{end}"))
+        moved = left.join(to("a"), "a").join(to("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+        left = settle(moved.filter("a != b").distinct())
+    alone = nodes.filter("a = b").select(F.col("a").alias("node"))
+    if not rounds:
+        return alone.select("node", F.col("node").alias("group"))
+    groups = rounds[-1]
+    for earlier in reversed(rounds[:-1]):
+        later = groups.select(F.col("node").alias("to"), F.col("to").alias("_end"))
+        groups = settle(earlier.join(later, "to", "left").select("node", F.coalesce("_end", "to").alias("to")))
+    out = groups.select("node", F.col("to").alias("group"))
+    return out.unionByName(alone.join(out.select("node"), "node", "left_anti").select("node", F.col("node").alias("group")))
 
 
 def last_known(paths: DataFrame, known: DataFrame) -> DataFrame:
