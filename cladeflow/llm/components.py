@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -45,7 +45,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := _state(edges)) != before:
         before = now
-        edges = stage(_small_star(_large_star(edges)).distinct())
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        last, edges = edges, stage(_small_star(_large_star(edges)).distinct())
+        unstage(last)
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+    out.staged_path = edges.staged_path  # so that it can be unstaged
+    return out

@@ -319,6 +319,7 @@ class _Join:
         )
         once = made.agg(F.count("*") == F.count_distinct("node")).first()[0]
         self.grams = made if once else stage(made.dropDuplicates(["node"]))
+        unstage(keys, *([] if once else [made]))
 
     def row(self, end: str, name: str) -> DataFrame:
         """The whole rows of nodes, for a column `end` that names them."""
@@ -342,8 +343,10 @@ class _Join:
         return out.select(*pairs.columns, *(r.columns[1] for r in rows))
 
     def decide(self, pairs: DataFrame) -> DataFrame:
-        """`a`, `b` and `linked` of the pairs of a staged table."""
-        return stage(self.beside(pairs, self.row("a", "x"), self.row("b", "y")).mapInArrow(_product(self.percent), "a long, b long, linked boolean"))
+        """`a`, `b` and `linked` of the pairs of a staged table, which is unstaged then."""
+        out = stage(self.beside(pairs, self.row("a", "x"), self.row("b", "y")).mapInArrow(_product(self.percent), "a long, b long, linked boolean"))
+        unstage(pairs)
+        return out
 
     def stars(self, rows: DataFrame) -> DataFrame:
         """node, hub, their sizes, and whether the columns in which they meet have more rows, `several`.
@@ -358,10 +361,12 @@ class _Join:
             .filter("n > 1")
         )
         met = join_spread(rows, hubs, "gram", "n", rows.count()).filter(F.col("node") != F.col("hub.node"))
-        return stage(
+        out = stage(
             met.groupBy("node", F.col("hub.node").alias("hub"))
             .agg(F.first("size").alias("size"), F.first("hub.size").alias("hub_size"), F.max(F.col("n") > 2).alias("several"))
         )
+        unstage(hubs)
+        return out
 
     def pairs_of(self, met: DataFrame, end: str) -> DataFrame:
         """Pairs of nodes and what column `end` names, with sizes near enough to each other."""
@@ -403,12 +408,14 @@ class _Join:
 
     def centred(self, open_: DataFrame, middles: DataFrame) -> DataFrame:
         """hub, node, size, whether it is linked with the middle, `near`, and the node most like the middle, `center`."""
-        rows = open_.select("hub", "node", "size")
-        compared = stage(self.beside(stage(rows), self.row("node", "x"), middles.select("hub", "y")).mapInArrow(_compared(self.percent), COMPARED))
+        rows = stage(open_.select("hub", "node", "size"))
+        compared = stage(self.beside(rows, self.row("node", "x"), middles.select("hub", "y")).mapInArrow(_compared(self.percent), COMPARED))
         most = F.max_by(F.struct("node", "size"), F.struct("similarity", F.xxhash64("node")))
         centers = compared.groupBy("hub").agg(most.alias("center"), F.count("*").alias("_n"))
         centers = stage(centers.select("hub", "_n", F.col("center.node").alias("center"), F.col("center.size").alias("center_size")))
-        return stage(join_spread(compared, centers, "hub", "_n", compared.count()).drop("_n", "similarity"))
+        out = stage(join_spread(compared, centers, "hub", "_n", compared.count()).drop("_n", "similarity"))
+        unstage(rows, compared, centers)
+        return out
 
     def left(self, met: DataFrame, middles: DataFrame, states: DataFrame, parts: DataFrame) -> DataFrame:
         """Pairs of nodes of one cluster and different components that share a difference, with `linked`.
@@ -423,14 +430,18 @@ class _Join:
         known = F.coalesce("linked", F.col("node") == F.col("center"))
         members = stage(met.join(linked, pair, "left").withColumn("linked", known).drop("_a", "_b"))
         open_ = self.mixed(members, parts)
-        differences = None
+        unstage(members)
+        differences, staged = None, []
         for far, rows in ((True, middles.select("hub", "y")), (False, self.row("center", "y"))):
             probes = ~F.col("linked") & (~F.col("near") if far else F.col("near"))
             used = stage(open_.filter(probes).groupBy("hub").agg(F.first("members").alias("_n")))
             own = join_spread(open_, used, "hub", "_n", open_.count()).withColumn("probes", probes)
             own = stage(own.select(F.xxhash64("hub", F.lit(far)).alias("cluster"), "hub", "center", "node", "size", "component", "probes"))
             part = stage(self.beside(own, self.row("node", "x"), rows).mapInArrow(_differences(self.percent), DIFFERENCES))
+            unstage(used, own)
+            staged.append(part)
             differences = part if differences is None else differences.unionByName(part)
+        unstage(open_)
         used = F.when(F.col("probes"), F.col("columns")).otherwise(F.slice("columns", F.lit(1), F.col("listed")))
         cells = stage(
             differences.select("cluster", "member", "node", "size", "component", "probes", "listed", F.posexplode(used)).select(
@@ -449,6 +460,7 @@ class _Join:
             .select("cell", "n", F.col("main.component").alias("main"))
         )
         met_cells = stage(join_spread(cells, several, "cell", "n", cells.count()).drop("n"))
+        unstage(cells, several)
         others = met_cells.filter("listed").select(*(F.col(c).alias(f"{c}_o") for c in ("cell", "member", "node", "size", "component", "main")))
         apart = (F.col("cell") == F.col("cell_o")) & (F.col("component") != F.col("component_o")) & _fits(self.percent, "size", "size_o")
         probing = met_cells.filter("probes")
@@ -458,9 +470,12 @@ class _Join:
         one = lambda c: [F.when(first, F.col(c)).otherwise(F.col(f"{c}_o")), F.when(first, F.col(f"{c}_o")).otherwise(F.col(c))]
         ends = [x.alias(n) for c, names in (("member", ("m", "m_o")), ("node", ("a", "b")), ("size", ("size", "size_o"))) for x, n in zip(one(c), names)]
         found = stage(small.unionByName(large).select(*ends).distinct())
+        unstage(met_cells)
         row = lambda end, name: differences.select(F.col("member").alias(end), F.col("columns").alias(name))
         rows = self.beside(found, row("m", "x"), row("m_o", "y"))
-        return stage(rows.mapInArrow(_compared_differences(self.percent), "a long, b long, linked boolean"))
+        out = stage(rows.mapInArrow(_compared_differences(self.percent), "a long, b long, linked boolean"))
+        unstage(found, *staged)
+        return out
 
 
 def _known_bits(rows: DataFrame) -> np.ndarray:
@@ -489,11 +504,13 @@ def _perhaps(bits):
 
 
 def _joined(parts: DataFrame, states: DataFrame) -> DataFrame:
-    """Components with the links of `states` added."""
+    """Components, of which the old ones are unstaged, with the links of `states` added."""
     more = states.filter("linked").select("a", "b")
     if more.isEmpty():
         return parts
-    return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    out = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    unstage(parts)
+    return out
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -552,7 +569,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         sets.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min(first_row).alias("head"), F.count("*").alias("n"))
     )
     join = _Join(keyed, nodes, n, percent)
-    met = join.stars(rows)
+    starred = met = join.stars(rows)
     unstage(rows)
     join.gather(met.select(F.explode(F.array("node", "hub")).alias("node")).distinct())
     states = join.decide(stage(join.pairs_of(met, "hub")))
@@ -560,18 +577,23 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     open_ = join.mixed(met.filter("several"), parts)
     middles = join.middles(open_)
     met = join.centred(open_, middles)
+    unstage(starred, open_)
     again = join.pairs_of(met.filter("node != center"), "center").join(states.select("a", "b"), ["a", "b"], "left_anti")
     again = join.decide(stage(again))
     parts = _joined(parts, again)
-    states = states.unionByName(again)
-    parts = _joined(parts, join.left(met, middles, states, parts))
+    rest = join.left(met, middles, states.unionByName(again), parts)
+    unstage(met, middles, states, again, join.grams)
+    parts = _joined(parts, rest)
+    bare = nodes
     nodes = stage(join.placed(nodes, parts))
+    unstage(bare, rest, parts)
     heads = stage(nodes.groupBy("component").agg(F.min("head").alias("first"), F.count("*").alias("nodes")))
     named = stage(
         join_spread(nodes, heads, "component", "nodes", nodes.count()).select(
             "node", "n", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("head_key")
         )
     )
+    unstage(nodes, heads)
     return (
         join_spread(sets, named, "node", "n", sets.count())
         .select("doc_id", "n_shingles", "component_id", "row_key", "head_key")
