@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import authorship, candidates
-from .registry import registrar, tables
+from ..operators import authorship, candidates, groups
+from .registry import nodes, registrar, tables
 
 REGISTRY, query = registrar()
 
@@ -103,3 +103,31 @@ def chosen_candidates(spark, folder):
         F.when(F.col("c_type") == F.col("q_type"), F.col("c_size") % 4).alias("common"), (F.col("c_size") % 5).alias("lowest"),
     )
     return candidates.choose(pairs)
+
+
+_FEW = ["Eukaryotes", "Animals", "Insects", "Molluscs", "Plants", "Algae", "Protists", "Fungi", "Pseudofungi", "Viruses"]
+_LATTICE = ", ".join(f"('{g}', '{u}', {groups.GROUPS.index(u)})" for g in _FEW for u in sorted(groups.UP[g]))
+_REGION_GROUPS, _NATION_GROUPS = ["Animals", "Plants", "Eukaryotes", "Pseudofungi", "Viruses"], _FEW
+
+
+@query(f"""WITH ups AS (SELECT * FROM (VALUES {_LATTICE}) v(g, u, o)),
+  votes AS (SELECT n_nationkey, {_REGION_GROUPS}[n_regionkey + 1] AS a, {_NATION_GROUPS}[n_nationkey % 10 + 1] AS b FROM nation),
+  told AS (
+    SELECT n_nationkey, CASE WHEN b IN (SELECT g FROM ups WHERE u = a) THEN b WHEN a IN (SELECT g FROM ups WHERE u = b) THEN a END AS within, a, b FROM votes),
+  shared AS (SELECT n_nationkey, u, o, count(*) AS n FROM votes JOIN ups ON g IN (a, b) GROUP BY ALL),
+  nations AS (SELECT t.n_nationkey, coalesce(within, (SELECT u FROM shared s WHERE s.n_nationkey = t.n_nationkey ORDER BY n DESC, o LIMIT 1)) AS g FROM told t)
+  SELECT 'C' || c_custkey AS id, g AS "group" FROM customer JOIN nations ON n_nationkey = c_nationkey
+  UNION ALL SELECT 'S' || s_suppkey, g FROM supplier JOIN nations ON n_nationkey = s_nationkey
+  UNION ALL SELECT 'N' || n_nationkey, g FROM nations
+  UNION ALL SELECT 'R' || r_regionkey, {_REGION_GROUPS}[r_regionkey + 1] FROM region""")
+def voted_groups(spark, folder):
+    """The group of each node by what its region and nation stand for, which may contradict."""
+    region, nation = tables(spark, folder, "region", "nation")
+    one = lambda names, key: F.element_at(F.array(*map(F.lit, names)), (key + 1).cast("int"))
+    words = region.select(F.col("r_name").alias("name"), one(_REGION_GROUPS, F.col("r_regionkey")).alias("group")).unionByName(
+        nation.select(F.col("n_name").alias("name"), one(_NATION_GROUPS, F.col("n_nationkey") % 10).alias("group"))
+    )
+    rank = F.element_at(F.array(F.lit("order"), F.lit("family"), F.lit("species")), F.col("rank_ord") + 1)
+    null = F.lit(None).cast("string")
+    rows = nodes(spark, folder).select("id", "parent_id", "name", rank.alias("rank"), null.alias("status"), null.alias("code"))
+    return groups.with_groups(rows, words)
