@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..lineage import settle
 from ..operators import predicates as p
 from ..operators import search as s
+from ..operators import trigrams
 from .registry import nodes, registrar, tables
 
 REGISTRY, query = registrar()
@@ -119,3 +121,16 @@ def _fill():
 
 
 _fill()
+
+
+@query("""WITH texts AS (SELECT p_partkey, lower(p_name || ' of ' || p_type) AS t FROM part),
+  patterns AS (SELECT DISTINCT lower(substr(p_name, 3, 6)) AS p FROM part UNION SELECT DISTINCT lower(right(p_name, 3) || ' of ' || left(p_type, 4)) FROM part)
+  SELECT p AS pattern, count(*) AS n, min(p_partkey) AS first, max(p_partkey) AS last FROM patterns JOIN texts ON contains(t, p) GROUP BY p""")
+def substring_search(spark, folder):
+    """Texts that hold a pattern, by its rarest trigram; patterns are pieces of the names themselves."""
+    (part,) = tables(spark, folder, "part")
+    texts = part.select(F.col("p_partkey").alias("key"), F.concat_ws(" of ", "p_name", "p_type").alias("text"))
+    piece = F.concat(F.substring("p_name", -3, 3), F.lit(" of "), F.substring("p_type", 1, 4))
+    patterns = part.select(F.lower(F.substring("p_name", 3, 6)).alias("pattern")).union(part.select(F.lower(piece))).distinct()
+    found = trigrams.search(settle(trigrams.index_of(texts, "key", "text")), patterns)
+    return found.groupBy("pattern").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.max("key").alias("last"))
