@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import index_key
-from ..functions.similarity import damerau_distance
+from ..functions.names import index_key, normal_name
+from ..functions.similarity import HEAD, ONE_IS_OTHER, damerau_distance, normal_name_similarity
+from ..lineage import settle
 from .metrics import dense_ids
 from .tree import closure
 
@@ -132,6 +133,28 @@ def misspellings(names: DataFrame, block: list[str], distance: int = 1) -> DataF
     return pairs.filter(close).filter(damerau_distance("name", "name_o") <= distance).select(F.col("id").alias("a"), F.col("id_o").alias("b"))
 
 
+def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """id, other and similarity of names whose words are alike, at least `least`, which is above 5.
+
+    left and right: id, name. Names are alike only if each word begins with the
+    same letter, and words of less than four letters are the same; so only names
+    with the same such beginnings meet, and names of unlike numbers of words don't.
+    Equal names meet once, however many ids
+    they have.
+    """
+    if least <= ONE_IS_OTHER:
+        raise ValueError(f"the least similarity must be above {ONE_IS_OTHER}")
+    words = F.split("normal", " ")
+    block = F.array_join(F.transform(words, lambda w: F.when(F.length(w) < HEAD, w).otherwise(F.concat(F.substring(w, 1, 1), F.lit("*")))), " ")
+    keyed = lambda df: settle(df.select("id", normal_name(F.col("name")).alias("normal")).filter("normal != ''"))
+    own, others = keyed(left), keyed(right)
+    names = lambda df, name: df.select("normal").distinct().withColumn("block", block).withColumnRenamed("normal", name)
+    near = F.abs(F.length("a") - F.length("b")) <= 2 * F.size(F.split("a", " "))
+    pairs = names(own, "a").join(names(others, "b"), "block").filter(near)
+    scored = settle(pairs.select("a", "b", normal_name_similarity("a", "b").alias("similarity")).filter(F.col("similarity") >= least))
+    return scored.join(own.withColumnRenamed("normal", "a"), "a").join(others.select(F.col("id").alias("other"), F.col("normal").alias("b")), "b").select("id", "other", "similarity")
+
+
 def variant_groups(names: DataFrame, block: list[str]) -> DataFrame:
     """node and group of names that misspellings connect."""
     return closure(misspellings(names, block))
