@@ -53,6 +53,20 @@ REDACTED = "[SECRET]"
 _SPAN = "struct<kind: string, rank: int, s: int, e: int, value: string>"
 
 
+#: A fold copies what it has gathered at each item; over so many items at a time, and then their results, it stays linear.
+BLOCK = 256
+
+
+def _blocks(items: Column) -> Column:
+    """The items in arrays of BLOCK."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
     """Spans of `pattern` in `text`, in order, leftmost and not overlapping."""
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
@@ -63,31 +77,25 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least:
         body = lambda x: F.regexp_replace(x, KEY_FRAME, "")
         values = F.transform(found, lambda x: F.when(is_key(x) & (body(x) != ""), body(x)).otherwise(x))
     empty = F.array().cast(f"array<{_SPAN}>")
-    walked = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), found.alias("found"), values.alias("value")),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.coalesce(F.length(x["found"]), F.lit(0))).alias("at"),
-            F.when(
-                F.length(x["value"]) >= least,
-                F.concat(
-                    a["spans"],
-                    F.array(
-                        F.struct(
-                            F.lit(kind).alias("kind"),
-                            F.when(is_key(x["found"]), rank + 1).otherwise(rank).alias("rank"),
-                            (a["at"] + x["gap"]).alias("s"),
-                            (a["at"] + x["gap"] + F.length(x["found"])).alias("e"),
-                            x["value"].alias("value"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(a["spans"])
-            .alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
+
+    def step(a, x):
+        span = F.struct(
+            F.lit(kind).alias("kind"),
+            F.when(is_key(x["found"]), rank + 1).otherwise(rank).alias("rank"),
+            (a["at"] + x["gap"]).alias("s"),
+            (a["at"] + x["gap"] + F.length(x["found"])).alias("e"),
+            x["value"].alias("value"),
+        )
+        spans = F.when(F.length(x["value"]) >= least, F.concat(a["out"], F.array(span))).otherwise(a["out"])
+        return F.struct((a["at"] + x["gap"] + F.coalesce(F.length(x["found"]), F.lit(0))).alias("at"), spans.alias("out"))
+
+    def block(a, xs):
+        inner = F.aggregate(xs, F.struct(a["at"].alias("at"), empty.alias("out")), step)
+        return _let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(a["out"], F.array(x["out"])).alias("out")))
+
+    parts = F.arrays_zip(gaps.alias("gap"), found.alias("found"), values.alias("value"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("out"))
+    walked = F.aggregate(_blocks(parts), start, block, lambda a: F.flatten(a["out"]))
     return F.when(text.rlike(pattern), walked).otherwise(empty)
 
 
@@ -201,17 +209,28 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     name, spans = f"scan_{uuid.uuid4().hex}", f"spans_{uuid.uuid4().hex}"
     ordered = F.array_sort(F.transform(f"{name}.all", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
     text = F.col("text")
+
+    def step(a, x, piece, first):
+        """a: end of what is done, by code points of `piece`, which begins at `first`, and its parts."""
+        begin, end = x["s"] - first, x["e"] - first
+        parts = F.concat(a["out"], F.array(F.substring(piece, a["at"] + 1, begin - a["at"]), F.lit(REDACTED)))
+        return F.struct(F.greatest(a["at"], end).alias("at"), F.when(begin >= a["at"], parts).otherwise(a["out"]).alias("out"))
+
+    none = F.array().cast("array<string>")
+
+    def block(a, xs):
+        """a: end of what is done, the text after it, and the texts before."""
+        until = F.greatest(a["at"], F.array_max(F.transform(xs, lambda x: x["e"])))
+        piece = F.substring(a["rest"], F.lit(1), until - a["at"])
+        cut = F.struct(until.alias("until"), piece.alias("piece"), F.substring(a["rest"], until - a["at"] + 1, F.length(a["rest"])).alias("rest"))
+        inner = lambda c: F.aggregate(xs, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda b, x: step(b, x, c["piece"], a["at"]))
+        return _let(cut, lambda c: F.struct(c["until"].alias("at"), c["rest"].alias("rest"), F.concat(a["out"], F.array(F.array_join(inner(c)["out"], ""))).alias("out")))
+
     changed = F.aggregate(
-        F.col(spans),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.when(
-            x["s"] >= a["at"],
-            F.struct(
-                x["e"].alias("at"),
-                F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit(REDACTED)).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
+        _blocks(F.col(spans)),
+        F.struct(F.lit(0).alias("at"), text.alias("rest"), none.alias("out")),
+        block,
+        lambda a: F.concat(F.array_join(a["out"], ""), a["rest"]),
     )
     hit = F.size(spans) > 0
     out = scan(docs, **options, name=name).withColumn(spans, ordered)

@@ -140,3 +140,16 @@ def test_private_keys_are_whole_and_told_apart_by_their_bodies(spark):
     out = {x["doc_id"]: x["text"] for x in redact(docs).collect()}
     assert all(out[i] == "key [SECRET] end" for i in [*range(6), 11])
     assert out[12] == '[SECRET]" end'
+
+
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    text = "é " + " ".join(f"token={i:06d}abc and deadbeefdeadbeefdeadbeef{i:06d} x" for i in range(5_000))
+    docs = frame(spark, [(1, text), (2, "token=abcdefgh")])
+    begin = time.time()
+    got = {r["doc_id"]: r for r in secret_report(docs).collect()}
+    assert (got[1]["n_assign"], got[1]["n_hex"]) == (5_000, 5_000) and got[1]["base_sha256"] == brute(text)[0][3]
+    out = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
+    assert out[1] == "é " + " ".join([f"{REDACTED} and {REDACTED} x"] * 5_000) and out[2] == REDACTED
+    assert time.time() - begin < 40
