@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, heavy_keys, join_spread, prepare, stage, unstage, without
+from .common import batch, heavy_keys, join_spread, prepare, stage, sweep, unstage, without
 from .components import components
 from .words import WHITE, Words, cut, grams, mix, slices
 
@@ -461,6 +461,7 @@ class _Join:
         )
         met_cells = stage(join_spread(cells, several, "cell", "n", cells.count()).drop("n"))
         unstage(cells, several)
+        sweep(cells.sparkSession)
         others = met_cells.filter("listed").select(*(F.col(c).alias(f"{c}_o") for c in ("cell", "member", "node", "size", "component", "main")))
         apart = (F.col("cell") == F.col("cell_o")) & (F.col("component") != F.col("component_o")) & _fits(self.percent, "size", "size_o")
         probing = met_cells.filter("probes")
@@ -563,7 +564,9 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         .select("node", "size", alone.alias("alone"), F.posexplode(F.slice("grams", F.lit(1), F.col("needed") - alone)))
         .select(F.col("col.gram").alias("gram"), "node", "size", (F.col("alone") + F.col("pos")).alias("place"))
     )
+    del perhaps, several, placed
     unstage(parts_, repeated)
+    sweep(spark)
     first_row = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     nodes = stage(
         sets.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min(first_row).alias("head"), F.count("*").alias("n"))
@@ -572,17 +575,22 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     starred = met = join.stars(rows)
     unstage(rows)
     join.gather(met.select(F.explode(F.array("node", "hub")).alias("node")).distinct())
+    sweep(spark)
     states = join.decide(stage(join.pairs_of(met, "hub")))
+    sweep(spark)
     parts = components(states.filter("linked").select("a", "b"))
     open_ = join.mixed(met.filter("several"), parts)
     middles = join.middles(open_)
     met = join.centred(open_, middles)
     unstage(starred, open_)
+    sweep(spark)
     again = join.pairs_of(met.filter("node != center"), "center").join(states.select("a", "b"), ["a", "b"], "left_anti")
     again = join.decide(stage(again))
+    sweep(spark)
     parts = _joined(parts, again)
     rest = join.left(met, middles, states.unionByName(again), parts)
     unstage(met, middles, states, again, join.grams)
+    sweep(spark)
     parts = _joined(parts, rest)
     bare = nodes
     nodes = stage(join.placed(nodes, parts))
