@@ -20,22 +20,27 @@ from cladeflow.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that score 0.5 or more; null and empty texts are scored too, repeated ids each by its own text."""
     return drop_toxic(docs, load(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones, that of the least id; texts without words all stay."""
     return drop_near_copies(docs, n=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents of which a twentieth of the words lies in benchmark windows; null and empty texts stay."""
     return drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts replaced; null texts stay null."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences; null and empty texts are their end id alone, and an empty table has none."""
     return pack_documents(docs, vocabulary(), capacity=2048, end_id=1)
 
 
