@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as n
 from ..functions import similarity as sim
+from ..functions.differences import longest_common_text
 from ..operators import matching
 from .registry import registrar, tables
 
@@ -141,3 +142,14 @@ def canonical_forms(spark, folder):
     return part.select("p_partkey", F.get(words, F.lit(0)).alias("first_word"), F.size(words).alias("words"))
 
 
+
+
+@query("""WITH pairs AS (SELECT DISTINCT p_name AS a, lower(p_type) AS b FROM part),
+  pieces AS (SELECT a, b, s, l, substr(b, s, l) AS piece FROM pairs, (SELECT unnest(range(1, 40)) AS s), (SELECT unnest(range(1, 40)) AS l) WHERE s + l - 1 <= length(b)),
+  best AS (SELECT a, b, arg_max(piece, l * 100 - s) AS common FROM pieces WHERE contains(a, piece) GROUP BY a, b)
+  SELECT p_partkey, coalesce(common, '') AS common FROM part LEFT JOIN best ON a = p_name AND b = lower(p_type)""")
+def common_parts(spark, folder):
+    """The longest text that a part's name and type share; worked out once for each pair of them."""
+    (part,) = tables(spark, folder, "part")
+    pairs = part.select("p_name", "p_type").distinct().withColumn("common", longest_common_text("p_name", F.lower("p_type")))
+    return part.select("p_partkey", "p_name", "p_type").join(pairs, ["p_name", "p_type"]).select("p_partkey", "common")
