@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import shutil
 import tempfile
-import time
 import uuid
 import zipfile
 
@@ -21,8 +19,6 @@ BATCH_BYTES = 32 << 20
 _shipped: set[str] = set()
 #: Paths that stage() wrote and nothing has deleted yet.
 _staged: list[str] = []
-SWEEP_S = 5
-_swept = 0.0
 
 
 def prepare(spark: SparkSession) -> None:
@@ -92,21 +88,6 @@ def unstage(*frames: DataFrame) -> None:
             _staged.remove(df.staged_path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are done.
-
-    Its cleaner waits for the driver's garbage collection, which a driver with
-    free memory may put off for half an hour, while files fill the disks. Calls
-    within SWEEP_S seconds of the last one do nothing, as little has come since.
-    """
-    global _swept
-    if time.monotonic() - _swept < SWEEP_S:
-        return
-    _swept = time.monotonic()
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 class Scratch:
     """Deletes, at its end, what was staged within it, but for the frames that are kept.
 
@@ -131,7 +112,6 @@ class Scratch:
         for path in [p for p in _staged if p not in self.before | self.kept]:
             _delete(self.spark, path)
             _staged.remove(path)
-        sweep(self.spark)
 
 
 def texts(docs: DataFrame, *extra: str) -> DataFrame:
