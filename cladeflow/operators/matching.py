@@ -44,27 +44,34 @@ def match_usages(queries: DataFrame, candidates: DataFrame, on: str = "index_key
     Of the rest, the same label comes first, then the same authors, accepted ones
     and the least id. EXACT: same label; VARIANT: same authors; CANONICAL: one
     side lacks authors; AMBIGUOUS: the order had to fall back on the id; NONE.
+
+    Neither side's copies meet: candidates are first put together by what a query
+    can ask for (a label, authors, or whether there are any), rank and status, and
+    a query looks under each of these once.
     """
-    q = queries.select("query_id", on, *(F.col(c).alias(f"q_{c}") for c in ("name", "authorship", "rank")))
-    c = candidates.select(on, "id", "name", "authorship", "rank", "status_ord")
-    pairs = q.join(c, on)
+    lower = F.lower(F.coalesce("authorship", F.lit("")))
+    nothing = F.lit(None).cast("string")
+
+    def asked(kind: int, authors: Column, name: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), authors.alias("authors"), name.alias("name"))
+
+    bare = F.when(lower == "", "without").otherwise("with")
+    other = F.when(lower == "", "with").otherwise("without")
+    kinds = lambda side: F.explode(F.array(asked(0, lower, F.col("name")), asked(1, lower, nothing), asked(2, side, nothing))).alias("ask")
+    c = candidates.select(F.col(on).alias("key"), "rank", "status_ord", "id", kinds(bare))
+    c = c.groupBy("key", "ask", "rank", "status_ord").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    form = F.struct(F.col(on).alias("key"), lower.alias("authors"), "name", "rank")
+    forms = queries.select(form.alias("form")).distinct().select("form", "form.key", "form.name", F.col("form.rank").alias("q_rank"), F.col("form.authors").alias("authorship"))
+    q = forms.select("form", "key", "q_rank", kinds(other)).filter("ask.kind > 0 or ask.name is not null")
     ranks = F.col("q_rank").isNull() | F.col("rank").isNull() | (F.col("q_rank") == F.col("rank"))
-    lower = lambda x: F.lower(F.coalesce(F.col(x), F.lit("")))
-    same_authors = lower("q_authorship") == lower("authorship")
-    no_authors = (lower("q_authorship") == "") | (lower("authorship") == "")
-    label = same_authors & (F.col("q_name") == F.col("name"))
-    kind = F.when(label, 0).when(same_authors, 1).otherwise(2)
-    kept = pairs.filter(ranks & (same_authors | no_authors)).withColumn("kind", kind)
-    best = kept.groupBy("query_id").agg(
-        F.min(F.struct("kind", "status_ord", "id")).alias("best"),
-        F.sort_array(F.collect_list(F.struct("kind", "status_ord"))).alias("all"),
-    )
-    tie = (F.size("all") > 1) & (F.get("all", F.lit(0)) == F.get("all", F.lit(1)))
-    named = F.when(tie, "AMBIGUOUS").otherwise(
+    kept = q.join(c, ["key", "ask"]).filter(ranks).groupBy("form", F.col("ask.kind").alias("kind"), "status_ord")
+    best = kept.agg(F.min("id").alias("id"), F.sum("n").alias("n")).groupBy("form").agg(F.min(F.struct("kind", "status_ord", "id", "n")).alias("best"))
+    named = F.when(F.col("best.n") > 1, "AMBIGUOUS").otherwise(
         F.element_at(F.array(F.lit("EXACT"), F.lit("VARIANT"), F.lit("CANONICAL")), F.col("best.kind") + 1)
     )
-    found = best.select("query_id", F.col("best.id").alias("match_id"), named.alias("match_type"))
-    return queries.select("query_id").join(found, "query_id", "left").withColumn("match_type", F.coalesce("match_type", F.lit("NONE")))
+    found = best.select("form", F.col("best.id").alias("match_id"), named.alias("match_type"))
+    told = queries.select("query_id", form.alias("form")).join(found, "form", "left")
+    return told.select("query_id", "match_id", F.coalesce("match_type", F.lit("NONE")).alias("match_type"))
 
 
 def unique_rematch(subjects: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
