@@ -2,7 +2,8 @@
 
 A query may have any number of candidates. All rules are answered by least and
 greatest values, so one aggregation with partial results before its shuffle
-decides every query; no task gathers a query's candidates.
+decides every query; no task gathers a query's candidates. Where queries and
+candidates share attributes, tally() needs no pairs of them.
 """
 
 from __future__ import annotations
@@ -73,30 +74,53 @@ def choose(pairs: DataFrame) -> DataFrame:
     classification; the only accepted one; the one classified lowest; the first
     by id.
     """
+    return decide(tally(pairs, ["query"], F.bool_or("qualified").alias("qualified")))
+
+
+#: Parts of a tally: what holds of candidates whatever the query is, and what depends on the query.
+OWN, ALIKE, LABEL, NEAR = PARTS = ("own", "alike", "label", "near")
+
+
+def tally(pairs: DataFrame, keys: list[str], *more: Column, parts: tuple = PARTS) -> DataFrame:
+    """What decide() needs of the candidates of each key; `more` aggregates stand beside it.
+
+    A row may stand for several candidates that only their ids tell apart: columns
+    `last`, the greatest of them, besides `candidate`, the least, and `times`. So
+    the parts can be told by groups of candidates, each by the keys it depends on:
+    OWN by none of the query's columns, ALIKE by `equal` and `authored`, LABEL by
+    these and `label`, NEAR by `common`.
+    """
     c, synonym = F.col("candidate"), is_synonym(F.col("status"))
+    last = F.col("last") if "last" in pairs.columns else c
+    times = F.col("times") if "times" in pairs.columns else F.lit(1)
     alike = F.coalesce(F.col("equal") != "DIFFERENT", F.lit(True)) | ~F.col("authored")
     firm = F.upper("status") != "PROVISIONALLY_ACCEPTED"
+    taxon = firm & ~synonym
     first = lambda cond: F.min(F.when(cond, c))
+    count = lambda cond: F.sum(F.when(cond, times).otherwise(0))
 
-    def only_lowest(value: Column, cond: Column):
+    def only_lowest(value: Column, cond: Column, name: str):
         """Least and greatest candidate among those of the greatest value."""
         given = cond & value.isNotNull()
-        return F.min(F.when(given, F.struct((-value).alias("v"), c.alias("c"))))["c"], F.max(F.when(given, F.struct(value.alias("v"), c.alias("c"))))["c"]
-
-    common, low = F.col("common"), F.col("lowest")
-    taxon = firm & ~synonym
-    near_min, near_max = only_lowest(common, firm)
-    tax_min, tax_max = only_lowest(low, taxon)
-    any_min, any_max = only_lowest(low, firm)
-    told = pairs.groupBy("query").agg(
-        F.bool_or("qualified").alias("qualified"), F.count("*").alias("n"), F.min(c).alias("least"),
-        F.count_if(F.col("label") & alike).alias("n_label"), first(F.col("label") & alike).alias("by_label"),
-        F.count_if(alike).alias("n_alike"), first(alike).alias("by_authors"),
-        F.count_if("authored").alias("n_authored"), first(F.col("authored")).alias("by_having"),
-        F.count_if(~synonym).alias("n_taxa"), F.min("accepted").alias("to_min"), F.max("accepted").alias("to_max"), F.count_if(F.col("accepted").isNull()).alias("to_none"),
-        F.count_if(firm).alias("n_firm"), first(firm).alias("by_firm"), F.count_if(taxon).alias("n_taxon"), first(taxon).alias("by_taxon"),
-        *(x.alias(n) for n, x in zip(("near_min", "near_max", "tax_min", "tax_max", "any_min", "any_max"), (near_min, near_max, tax_min, tax_max, any_min, any_max))),
-    )
+        least = F.min(F.when(given, F.struct((-value).alias("v"), c.alias("c"))))["c"]
+        return least.alias(f"{name}_min"), F.max(F.when(given, F.struct(value.alias("v"), last.alias("c"))))["c"].alias(f"{name}_max")
+
+    told = {
+        OWN: lambda: [
+            F.sum(times).alias("n"), F.min(c).alias("least"), count(F.col("authored")).alias("n_authored"), first(F.col("authored")).alias("by_having"),
+            count(~synonym).alias("n_taxa"), F.min("accepted").alias("to_min"), F.max("accepted").alias("to_max"), count(F.col("accepted").isNull()).alias("to_none"),
+            count(firm).alias("n_firm"), first(firm).alias("by_firm"), count(taxon).alias("n_taxon"), first(taxon).alias("by_taxon"),
+            *only_lowest(F.col("lowest"), taxon, "tax"), *only_lowest(F.col("lowest"), firm, "any"),
+        ],
+        ALIKE: lambda: [count(alike).alias("n_alike"), first(alike).alias("by_authors")],
+        LABEL: lambda: [count(F.col("label") & alike).alias("n_label"), first(F.col("label") & alike).alias("by_label")],
+        NEAR: lambda: only_lowest(F.col("common"), firm, "near"),
+    }
+    return pairs.groupBy(*keys).agg(*more, *(x for part in parts for x in told[part]()))
+
+
+def decide(told: DataFrame) -> DataFrame:
+    """query, match, match_type and n by the cascade of choose(), from all parts of a tally; columns query, qualified."""
     as_one = lambda m, kind: F.struct(m.alias("match"), F.lit(kind).alias("match_type"))
     col = F.col
     found = (
@@ -106,7 +130,7 @@ def choose(pairs: DataFrame) -> DataFrame:
         .when(col("qualified") & (col("n_authored") == 1), as_one(col("by_having"), MATCH))
         .when((col("n_taxa") == 0) & (col("to_none") == 0) & (col("to_min") == col("to_max")), as_one(col("least"), SNAP))
         .when(col("n_firm") == 1, as_one(col("by_firm"), SNAP))
-        .when(col("n_firm") == 0, as_one(F.lit(None).cast(pairs.schema["candidate"].dataType), NONE))
+        .when(col("n_firm") == 0, as_one(F.lit(None).cast(told.schema["least"].dataType), NONE))
         .when(col("near_min") == col("near_max"), as_one(col("near_min"), AMBIGUOUS))
         .when(col("n_taxon") == 1, as_one(col("by_taxon"), SNAP))
         .when((col("n_taxon") > 0) & (col("tax_min") == col("tax_max")), as_one(col("tax_min"), AMBIGUOUS))

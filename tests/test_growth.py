@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import duckdb
 from pyspark.sql import functions as F
 
+from cladeflow import queries as lists
 from cladeflow.operators import matching
 
 
@@ -53,3 +55,16 @@ def test_match_usages_of_many_copies(spark):
     many = matching.match_usages(copies(q, "query_id"), copies(c, "id"))
     assert len(many.collect()) == 40 * len(rows)
     assert most_rows(many) <= 3 * 40 * len(rows)
+
+
+def test_chosen_candidates_form_no_pairs(spark, tmp_path):
+    rows = [(i, "ab"[i % 2000 // 1000], "B", "UVW"[i // 2 % 7 % 3], i // 3 % 50) for i in range(4000)]
+    schema = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/part.parquet")
+    made = lists.queries()["chosen_candidates"](spark, str(tmp_path))
+    got = {tuple(r) for r in made.select("query", "match", "match_type", "n").collect()}
+    found = duckdb.connect()
+    found.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = set(found.execute(f"SELECT query, match, match_type, n FROM ({lists.oracle_sql()['chosen_candidates']})").fetchall())
+    assert got == want and len(got) == 2000
+    assert most_rows(made) <= 20000
