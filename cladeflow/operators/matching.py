@@ -126,18 +126,31 @@ def id_report(before: DataFrame, after: DataFrame, archive: DataFrame) -> DataFr
     return both.select("id", outcome.alias("outcome"))
 
 
-def misspellings(names: DataFrame, block: list[str], distance: int = 1) -> DataFrame:
-    """a and b: pairs of ids within a block whose names differ by at most `distance` edits, swaps included.
+def misspellings(names: DataFrame, block: list[str], distance: int = 1, swaps: bool = True) -> DataFrame:
+    """a and b: pairs of ids within a block whose names differ by at most `distance` edits, swaps included or not.
 
-    names: id, name and the block's columns. The block must be fine enough that
-    its pairs can be formed; the built-in edit distance drops most of them first.
+    names: id, name and the block's columns. Names that so few edits part share a
+    form that each becomes by leaving out at most as many letters; so only names
+    with such a form meet, once however many ids have them, and are then compared.
     """
-    left = names.select("id", "name", *block, F.length("name").alias("n"))
-    right = left.select(*(F.col(c).alias(f"{c}_o") for c in left.columns))
-    on = [F.col(c).eqNullSafe(F.col(f"{c}_o")) for c in block]
-    pairs = left.join(right, on).filter((F.col("id") < F.col("id_o")) & (F.abs(F.col("n") - F.col("n_o")) <= distance))
-    close = F.levenshtein("name", "name_o", 2 * distance) >= 0
-    return pairs.filter(close).filter(damerau_distance("name", "name_o") <= distance).select(F.col("id").alias("a"), F.col("id_o").alias("b"))
+    on = [F.col(c).alias(f"b{i}") for i, c in enumerate(block)]
+    blocks = [f"b{i}" for i in range(len(block))]
+    rows = settle(names.filter("name is not null").select("id", "name", *on))
+    forms = F.array("name")
+    for _ in range(distance):
+        shorter = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+        forms = F.array_distinct(F.concat(forms, F.flatten(F.transform(forms, shorter))))
+    formed = rows.select(*blocks, "name").distinct().select(F.struct(*blocks).alias("block"), "name", F.explode(forms).alias("form"))
+    other = formed.withColumnRenamed("name", "other")
+    near = formed.join(other, ["block", "form"]).filter("name <= other").select("block", "name", "other").distinct()
+    close = near.filter(F.levenshtein("name", "other", 2 * distance if swaps else distance) >= 0)
+    found = close.filter(damerau_distance("name", "other") <= distance) if swaps else close
+    found = settle(found)
+    sided = lambda key, out: rows.select(F.struct(*blocks).alias("block"), F.col("name").alias(key), F.col("id").alias(out))
+    one, two = sided("name", "x"), sided("other", "y")
+    pairs = found.join(one, ["block", "name"]).join(two, ["block", "other"])
+    told = pairs.filter((F.col("x") != F.col("y")) & ((F.col("name") != F.col("other")) | (F.col("x") < F.col("y"))))
+    return told.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:

@@ -68,3 +68,32 @@ def test_chosen_candidates_form_no_pairs(spark, tmp_path):
     want = set(found.execute(f"SELECT query, match, match_type, n FROM ({lists.oracle_sql()['chosen_candidates']})").fetchall())
     assert got == want and len(got) == 2000
     assert most_rows(made) <= 20000
+
+
+def edits(a: str, b: str) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 2 : i] == b[j - 2 : j][::-1] and a[i - 1] != b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_misspellings_by_shared_forms(spark):
+    names = ["", "a", "ab", "ba", "abc", "acb", "abcd", "abd", "xbcd", "ab", "badc", None, "abcd"]
+    rows = [(i, n, k) for k, base in ((1, 0), (2, 50), (None, 100)) for i, n in enumerate(names, base)]
+    df = spark.createDataFrame(rows, "id long, name string, block int")
+    for distance in (1, 2):
+        want = {(i, j) for i, a, k in rows for j, b, m in rows if i < j and k == m and None not in (a, b) and edits(a, b) <= distance}
+        got = [tuple(r) for r in matching.misspellings(df, ["block"], distance).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_misspelled_pairs_of_one_block(spark):
+    """Names far apart must not meet, though all stand in one block."""
+    rows = spark.range(3000).select("id", F.md5(F.col("id").cast("string")).alias("name"), F.lit(1).alias("block"))
+    made = matching.misspellings(rows, ["block"], swaps=False)
+    assert made.collect() == []
+    assert most_rows(made) < 200000
