@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import settle
+
+#: Rows of a block that meet the block in one go, and pairs that a task forms.
+TILE, PAIRS_A_TASK = 512, 4_000_000
+
 
 def orphans(rows: DataFrame, key: str, targets: DataFrame, target_key: str) -> DataFrame:
     """Rows whose key is filled and found nowhere among the targets."""
@@ -103,3 +108,21 @@ def by_id_or_name(rows: DataFrame, targets: DataFrame, id_column: str, name_colu
     )
     found = rows.join(ids, F.col(id_column) == F.col("_by_id"), "left").join(names, F.col(name_column) == F.col("_name"), "left")
     return found.withColumn(out, F.coalesce("_by_id", "_by_name")).drop("_by_id", "_by_name", "_name")
+
+
+def pairs_within(rows: DataFrame, key: str, block: list[str]) -> DataFrame:
+    """a and b, a before b: all pairs of keys within a block, which has no null.
+
+    The result is quadratic in a block's size. Blocks are cut into tiles of some
+    hundred rows that each meet the block, and tiles lie in as many partitions as
+    the pairs need; so a task's work is bounded, however large a block is.
+    """
+    sizes = settle(rows.groupBy(*block).agg(F.count("*").alias("_n")).filter("_n > 1"))
+    total = sizes.agg(F.sum(F.col("_n").cast("double") * (F.col("_n") - 1) / 2)).first()[0] or 0
+    parts = 1 + int(total // PAIRS_A_TASK)
+    tiles = F.ceil(F.col("_n") / TILE)
+    sized = rows.select(*block, key).join(sizes, block)
+    left = sized.select(*block, F.col(key).alias("a"), F.pmod(F.xxhash64(key), tiles).alias("_tile"))
+    right = sized.select(*block, F.col(key).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("_tile"))
+    spread = lambda side: side.repartition(parts, *block, "_tile")
+    return spread(left).join(spread(right), [*block, "_tile"]).filter("a < b").select("a", "b")

@@ -132,6 +132,4 @@ def key_by_id_or_name(spark, folder):
 def blocked_pairs(spark, folder):
     """Pairs within a block, each once."""
     (part,) = tables(spark, folder, "part")
-    other = part.select(*(F.col(c).alias(f"{c}_o") for c in part.columns))
-    on = [F.col(c) == F.col(f"{c}_o") for c in ("p_brand", "p_type", "p_size")]
-    return part.join(other, [*on, F.col("p_partkey") < F.col("p_partkey_o")]).select(F.col("p_partkey").alias("a"), F.col("p_partkey_o").alias("b"))
+    return joins.pairs_within(part, "p_partkey", ["p_brand", "p_type", "p_size"])
