@@ -127,10 +127,15 @@ _fill()
   patterns AS (SELECT DISTINCT lower(substr(p_name, 3, 6)) AS p FROM part UNION SELECT DISTINCT lower(right(p_name, 3) || ' of ' || left(p_type, 4)) FROM part)
   SELECT p AS pattern, count(*) AS n, min(p_partkey) AS first, max(p_partkey) AS last FROM patterns JOIN texts ON contains(t, p) GROUP BY p""")
 def substring_search(spark, folder):
-    """Texts that hold a pattern, by its rarest trigram; patterns are pieces of the names themselves."""
+    """Texts that hold a pattern, by its rarest trigram; patterns are pieces of the names themselves.
+
+    Rows of one text are found as one, and then counted.
+    """
     (part,) = tables(spark, folder, "part")
-    texts = part.select(F.col("p_partkey").alias("key"), F.concat_ws(" of ", "p_name", "p_type").alias("text"))
+    own = part.select("p_partkey", F.concat_ws(" of ", "p_name", "p_type").alias("key"), "p_name", "p_type")
+    texts = settle(own.groupBy("key", "p_name", "p_type").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"), F.max("p_partkey").alias("last")))
     piece = F.concat(F.substring("p_name", -3, 3), F.lit(" of "), F.substring("p_type", 1, 4))
-    patterns = part.select(F.lower(F.substring("p_name", 3, 6)).alias("pattern")).union(part.select(F.lower(piece))).distinct()
-    found = trigrams.search(settle(trigrams.index_of(texts, "key", "text")), patterns)
-    return found.groupBy("pattern").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.max("key").alias("last"))
+    patterns = texts.select(F.lower(F.substring("p_name", 3, 6)).alias("pattern")).union(texts.select(F.lower(piece))).distinct()
+    whole = texts.groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    found = trigrams.search(settle(trigrams.index_of(whole, "key", "key")), patterns)
+    return found.join(whole, "key").groupBy("pattern").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
