@@ -212,25 +212,29 @@ def closure(edges: DataFrame) -> DataFrame:
     """
     ends = edges.filter("a is not null and b is not null")
     least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    nodes = settle(ends.select(least, most).distinct())
-    left, rounds = nodes.filter("a != b"), []
+    pairs = settle(ends.select(least, most))  # most of these are distinct, and repeats do no harm
+    left, rounds, nodes = pairs.filter("a != b"), [], pairs.filter("a = b").select(F.col("a").alias("node"))
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
-        onward = near.select(F.col("a").alias("to"), F.col("to").alias("then"))
-        rounds.append(settle(near.join(onward, "to").select(F.col("a").alias("node"), F.col("then").alias("to"))))
+        if not rounds:
+            nodes = nodes.unionByName(near.select(F.col("a").alias("node")))
+        movers = near.filter("a != to")  # the least of their neighbourhood stay, and need no row
+        onward = movers.select(F.col("a").alias("to"), F.col("to").alias("then"))
+        rounds.append(settle(movers.join(onward, "to", "left").select(F.col("a").alias("node"), F.coalesce("then", "to").alias("to"))))
         to = lambda end: rounds[-1].select(F.col("node").alias(end), F.col("to").alias(f"_{end}"))
-        moved = left.join(to("a"), "a").join(to("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-        left = settle(moved.filter("a != b").distinct())
-    alone = nodes.filter("a = b").select(F.col("a").alias("node"))
+        moved = left.join(to("a"), "a", "left").join(to("b"), "b", "left")
+        a, b = F.coalesce("_a", "a"), F.coalesce("_b", "b")
+        left = settle(moved.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a != b").distinct())
     if not rounds:
-        return alone.select("node", F.col("node").alias("group"))
+        return nodes.distinct().select("node", F.col("node").alias("group"))
     groups = rounds[-1]
     for earlier in reversed(rounds[:-1]):
         later = groups.select(F.col("node").alias("to"), F.col("to").alias("_end"))
-        groups = settle(earlier.join(later, "to", "left").select("node", F.coalesce("_end", "to").alias("to")))
-    out = groups.select("node", F.col("to").alias("group"))
-    return out.unionByName(alone.join(out.select("node"), "node", "left_anti").select("node", F.col("node").alias("group")))
+        # a node that others point to may move in several rounds, always to the same end
+        groups = settle(earlier.join(later, "to", "left").select("node", F.coalesce("_end", "to").alias("to")).unionByName(groups).distinct())
+    ends = nodes.select("node", F.col("node").alias("to")).unionByName(groups)
+    return ends.groupBy("node").agg(F.min("to").alias("group"))  # an end is the least of its group
 
 
 def last_known(paths: DataFrame, known: DataFrame) -> DataFrame:

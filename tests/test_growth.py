@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from cladeflow import queries as lists
-from cladeflow.operators import joins, matching
+from cladeflow.operators import joins, matching, tree
 
 
 def most_rows(df) -> int:
@@ -141,3 +141,26 @@ def test_blocked_pairs_spread_a_large_block(spark, tmp_path, monkeypatch):
 
 def test_no_pairs(spark):
     assert joins.pairs_within(spark.range(5), "id", ["id"]).collect() == []
+
+
+def test_closure_rounds_hold_moved_nodes_alone(spark, monkeypatch):
+    """Nodes that stay what they are need no row in a round; results as by union-find."""
+    held, plain = [], tree.settle
+    monkeypatch.setattr(tree, "settle", lambda df, *a: held.append(plain(df, *a)) or held[-1])
+    edges = [(f"O{i}", f"P{i * j % 97}") for i in range(600) for j in (1, 5)] + [("x", "x"), ("x", "x"), ("y", "x"), (None, "z")]
+    edges += [(f"c{i}", f"c{i + 1}") for i in range(30)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            low, high = sorted((root(a), root(b)))
+            up[high] = low
+    got = [tuple(r) for r in tree.closure(spark.createDataFrame(edges, "a string, b string")).collect()]
+    assert sorted(got) == sorted((x, root(x)) for x in list(up))
+    pointers = [df for df in held if df.columns == ["node", "to"]]
+    assert pointers and all(df.filter("node = to").isEmpty() for df in pointers)
