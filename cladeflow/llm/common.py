@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 BATCH_BYTES = 32 << 20
 
+#: Whether Spark deletes shuffle files as soon as the query that wrote them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _shipped: set[str] = set()
 #: Paths that stage() wrote and nothing has deleted yet.
 _staged: list[str] = []
@@ -64,11 +67,18 @@ def stage(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes `df` to the shared folder as Parquet and reads it back.
 
     This cuts the lineage: a lost executor costs the tasks it ran and not the
-    steps before, and no step runs twice when its result is used twice.
+    steps before, and no step runs twice when its result is used twice. Spark
+    deletes the step's shuffle files at its end, and not when the driver happens
+    to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     _staged.append(path)

@@ -23,11 +23,13 @@ could be linked is decided exactly, by its rows or by their differences.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import batch, heavy_keys, join_spread, prepare, stage, unstage, without
 from .components import components
@@ -39,6 +41,10 @@ HOT_COLUMNS = 1 << 16
 HOT_IN_TASK = 4
 #: Cells of the filter that tells which columns more than one row may have (8 MB of bits).
 FILTER_BITS = 26
+#: Bits of a column's hash that tell columns apart where rows are told to meet; pairs are decided by all 64.
+COLUMN_BITS = 40
+#: Blocks of columns that are counted and laid out one after the other, so that their shuffles aren't on disk at once.
+ROUNDS = 4
 #: Up to so many ids are sent to all workers (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Values of rows that are laid side by side at once.
@@ -157,9 +163,13 @@ def _first_parts(n: int, percent: int, hot):
                 first = size - least + _spare(size, percent)
                 needed = first - _spare(least, percent) + 1
                 used = np.arange(len(who)) - begin[who] < first[who]
-                at = who[used]
+                at, column = who[used], what[used] >> np.uint64(64 - COLUMN_BITS)
+                # columns of a row that fall together count once; so it needs one more for each
+                cell = np.sort(column | at.astype(np.uint64) << np.uint64(COLUMN_BITS))
+                again = (cell[1:][cell[1:] == cell[:-1]] >> np.uint64(COLUMN_BITS)).astype(np.int64)
+                needed = needed + np.bincount(again, minlength=len(part))
                 yield batch(
-                    gram=(what[used].view(np.int64), pa.int64()),
+                    gram=(column.view(np.int64), pa.int64()),
                     node=(node[at], pa.int64()),
                     size=(size[at], pa.int32()),
                     first=(first[at], pa.int32()),
@@ -169,11 +179,52 @@ def _first_parts(n: int, percent: int, hot):
     return run
 
 
+def _sketches(who: np.ndarray, what: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The size of each row, in 8 bytes, and a bit for each cell that some column of it falls into.
+
+    A row has as many cells as the next power of two, so a longer sketch is
+    folded to a shorter one by halves.
+    """
+    cells = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(cells // 64 + 1)])
+    bits = np.zeros(64 * begin[-1], bool)
+    bits[64 * (begin[who] + 1) + (what & (cells[who] - 1).astype(np.uint64)).astype(np.int64)] = True
+    words = np.packbits(bits, bitorder="little").view(np.uint64)
+    words[begin[:-1]] = size
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((8 * begin).astype(np.int32)), pa.py_buffer(words)])
+
+
+def most_shared(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """Sizes of two sketched rows, and a bound on how many columns they share."""
+    (m, p, u), (n, q, v) = ((int.from_bytes(s[:8], "little"), 8 * len(s) - 64, int.from_bytes(s[8:], "little")) for s in (x, y))
+    while p > q:
+        p //= 2
+        u = u >> p | u & ((1 << p) - 1)
+    while q > p:
+        q //= 2
+        v = v >> q | v & ((1 << q) - 1)
+    both = u & v  # a cell of one row alone has a column of that row alone
+    return m, n, min(m - (u ^ both).bit_count(), n - (v ^ both).bit_count())
+
+
+def _likely(percent: int):
+    """Pairs, and whether their sketches x and y leave it open that they are linked."""
+
+    def run(batches):
+        for b in batches:
+            shared = [most_shared(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+            likely = [100 * o >= percent * (m + n - o) for m, n, o in shared]
+            out = b.drop_columns(["x", "y"])
+            yield out.append_column("likely", pa.array(likely, pa.bool_()))
+
+    return run
+
+
 def _rows(n: int):
     def run(batches):
         for b in batches:
             for _, part in slices(b.column(0)):
-                who, what, _, node = _sets(part, n)
+                who, what, size, node = _sets(part, n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(node, pa.int64()),
@@ -181,8 +232,9 @@ def _rows(n: int):
                             pa.array(np.searchsorted(who, np.arange(len(part) + 1)), pa.int32()),
                             pa.array(what.view(np.int64), pa.int64()),
                         ),
+                        _sketches(who, what, size),
                     ],
-                    names=["node", "grams"],
+                    names=["node", "grams", "sketch"],
                 )
 
     return run
@@ -314,7 +366,7 @@ class _Join:
         made = stage(
             self.keyed.join(few, "row_key", "left_semi")
             .select("text")
-            .mapInArrow(_rows(self.n), "node long, grams array<long>")
+            .mapInArrow(_rows(self.n), "node long, grams array<long>, sketch binary")
             .join(wanted, "node", "left_semi")
         )
         once = made.agg(F.count("*") == F.count_distinct("node")).first()[0]
@@ -325,6 +377,13 @@ class _Join:
         """The whole rows of nodes, for a column `end` that names them."""
         return self.grams.select(F.col("node").alias(end), F.col("grams").alias(name))
 
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs, `a` and `b`, of a staged table, which is unstaged then, and whether they may be linked by their sketches, `likely`."""
+        sketches = [self.grams.select(F.col("node").alias(end), F.col("sketch").alias(name)) for end, name in (("a", "x"), ("b", "y"))]
+        out = stage(self.beside(pairs, *sketches).mapInArrow(_likely(self.percent), StructType([*pairs.schema.fields, StructField("likely", BooleanType())])))
+        unstage(pairs)
+        return out
+
     def beside(self, pairs: DataFrame, *rows: DataFrame) -> DataFrame:
         """`pairs`, staged, joined with each of `rows` on its first column, which tells its rows apart."""
         out = pairs
@@ -344,8 +403,11 @@ class _Join:
 
     def decide(self, pairs: DataFrame) -> DataFrame:
         """`a`, `b` and `linked` of the pairs of a staged table, which is unstaged then."""
-        out = stage(self.beside(pairs, self.row("a", "x"), self.row("b", "y")).mapInArrow(_product(self.percent), "a long, b long, linked boolean"))
-        unstage(pairs)
+        told = self.likely(pairs)
+        open_ = stage(told.filter("likely").select("a", "b"))
+        decided = self.beside(open_, self.row("a", "x"), self.row("b", "y")).mapInArrow(_product(self.percent), "a long, b long, linked boolean")
+        out = stage(decided.unionByName(told.filter("not likely").select("a", "b", F.lit(False).alias("linked"))))
+        unstage(told, open_)
         return out
 
     def stars(self, rows: DataFrame) -> DataFrame:
@@ -418,7 +480,7 @@ class _Join:
         return out
 
     def left(self, met: DataFrame, middles: DataFrame, states: DataFrame, parts: DataFrame) -> DataFrame:
-        """Pairs of nodes of one cluster and different components that share a difference, with `linked`.
+        """Pairs of nodes of one cluster and different components that share a difference, with `linked`, but those that sketches rule out.
 
         Of two nodes of a cluster, both linked with its center, nothing is left to
         do. Let u not be linked with it. Where u isn't linked with the middle
@@ -469,8 +531,9 @@ class _Join:
         first = F.col("member") < F.col("member_o")
         one = lambda c: [F.when(first, F.col(c)).otherwise(F.col(f"{c}_o")), F.when(first, F.col(f"{c}_o")).otherwise(F.col(c))]
         ends = [x.alias(n) for c, names in (("member", ("m", "m_o")), ("node", ("a", "b")), ("size", ("size", "size_o"))) for x, n in zip(one(c), names)]
-        found = stage(small.unionByName(large).select(*ends).distinct())
-        unstage(met_cells)
+        told = self.likely(stage(small.unionByName(large).select(*ends).distinct()))
+        found = stage(told.filter("likely").drop("likely"))
+        unstage(met_cells, told)
         row = lambda end, name: differences.select(F.col("member").alias(end), F.col("columns").alias(name))
         rows = self.beside(found, row("m", "x"), row("m_o", "y"))
         out = stage(rows.mapInArrow(_compared_differences(self.percent), "a long, b long, linked boolean"))
@@ -503,6 +566,27 @@ def _perhaps(bits):
     return run
 
 
+def _once(keyed: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`keyed` without further texts of nodes, up to BROADCAST_IDS of them.
+
+    Any that stay lead to the same columns of the same node, which count once.
+    """
+    several = nodes.filter("n > 1").select("node", F.col("row_key").alias("kept"))
+    others = sets.join(several, "node").filter("row_key != kept").select("row_key").distinct().limit(BROADCAST_IDS)
+    return keyed.join(F.broadcast(others), "row_key", "left_anti")
+
+
+def _several(parts: DataFrame) -> DataFrame:
+    """The rows of a staged block of columns whose column has more than one, with the number of rows of it, `n`."""
+    repeated = stage(parts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"))
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = parts.sparkSession.sparkContext.broadcast(_known_bits(repeated))
+    out = stage(join_spread(parts.mapInArrow(_perhaps(bits), parts.schema), repeated, "gram", "n", total))
+    bits.destroy()
+    unstage(repeated)
+    return out
+
+
 def _joined(parts: DataFrame, states: DataFrame) -> DataFrame:
     """Components, of which the old ones are unstaged, with the links of `states` added."""
     more = states.filter("linked").select("a", "b")
@@ -542,16 +626,18 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     keys = top.column("node").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     hot = spark.sparkContext.broadcast((keys[order], top.column("n").to_numpy()[order]))
+    first_row = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    nodes = stage(
+        sets.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min(first_row).alias("head"), F.count("*").alias("n"))
+    )
     parts_ = stage(
-        keyed.select("text").mapInArrow(
+        _once(keyed, sets, nodes).select("text").mapInArrow(
             _first_parts(n, percent, hot), "gram long, node long, size int, first int, needed int"
         )
     )
-    repeated = stage(parts_.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"))
-    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = spark.sparkContext.broadcast(_known_bits(repeated))
-    perhaps = parts_.mapInArrow(_perhaps(bits), parts_.schema)
-    several = join_spread(perhaps, repeated, "gram", "n", total)
+    blocks = [_several(parts_.filter(F.pmod(F.shiftright("gram", FILTER_BITS), F.lit(ROUNDS)) == r)) for r in range(ROUNDS)]
+    unstage(parts_)
+    several = reduce(DataFrame.unionByName, blocks)
     # the others of a node's first part have one row, and are the rarest
     placed = several.groupBy("node").agg(
         F.first("size").alias("size"), F.first("first").alias("first"), F.first("needed").alias("needed"),
@@ -563,11 +649,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         .select("node", "size", alone.alias("alone"), F.posexplode(F.slice("grams", F.lit(1), F.col("needed") - alone)))
         .select(F.col("col.gram").alias("gram"), "node", "size", (F.col("alone") + F.col("pos")).alias("place"))
     )
-    unstage(parts_, repeated)
-    first_row = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    nodes = stage(
-        sets.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min(first_row).alias("head"), F.count("*").alias("n"))
-    )
+    unstage(*blocks)
     join = _Join(keyed, nodes, n, percent)
     starred = met = join.stars(rows)
     unstage(rows)

@@ -2,12 +2,15 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from fixtures import edited, empty, frame, sentence, texts
 
 from cladeflow.llm.components import components
-from cladeflow.llm.ngram_join import drop_near_copies, ngram_join
+from cladeflow.llm import ngram_join as module
+from cladeflow.llm.ngram_join import drop_near_copies, most_shared, ngram_join
 
 
 def shingles(text, n=5) -> frozenset:
@@ -87,3 +90,60 @@ def test_components_of_a_star_and_a_path(spark):
     edges = [(i, 0) for i in range(1, 50)] + [(100 + i, 101 + i) for i in range(40)] + [(7, 7), (None, 3), (1, 0)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(50)} | {100 + i: 100 for i in range(41)}
+
+
+def test_copies_are_laid_out_once_and_shuffles_deleted(spark, monkeypatch):
+    """Exact copies in many tasks give the columns of one; what a step shuffled is gone when it ends."""
+    r = random.Random(5)
+    own = [sentence(r, 60) for _ in range(12)]
+    rows = [(i, own[i % 12]) for i in range(96)]
+    seen, real = [], module.stage
+
+    def recording(df, *more):
+        out = real(df, *more)
+        if out.columns == ["gram", "node", "size", "first", "needed"]:
+            seen.append(out.select("gram", "node").collect())
+        return out
+
+    monkeypatch.setattr(module, "stage", recording)
+    assert found(ngram_join(frame(spark, rows).repartition(8))) == brute(rows)
+    assert len(seen) == 1 and set(Counter(map(tuple, seen[0])).values()) == {1}
+
+
+def test_sketches_never_rule_out_a_shared_column():
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 2**64, 4000, np.uint64)
+    sets = [np.unique(r.choice(pool[: 50 + 300 * (i % 9)], r.integers(1, 700))) for i in range(60)]
+    sets += [np.append(s[: len(s) - len(s) // 15], r.integers(0, 2**64, 3, np.uint64)) for s in sets]
+    who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    size = np.array([len(s) for s in sets])
+    sketches = module._sketches(who, np.concatenate(sets), size).to_pylist()
+    apart = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            m, n, most = most_shared(sketches[i], sketches[j])
+            shared = len(np.intersect1d(x, y))
+            assert (m, n) == (len(x), len(y)) and shared <= most
+            apart += 100 * most < 80 * (m + n - most)
+    assert apart > len(sets) ** 2 // 2
+
+
+def test_columns_of_a_row_that_fall_together(monkeypatch):
+    """With few bits, a row needs one more column for each that it lacks."""
+    import pyarrow as pa
+
+    class Sent:
+        value = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    r = random.Random(7)
+    texts_ = pa.RecordBatch.from_arrays([pa.array([sentence(r, 120) for _ in range(20)])], names=["text"])
+    whole = [b.to_pydict() for b in module._first_parts(5, 80, Sent)([texts_])][0]
+    monkeypatch.setattr(module, "COLUMN_BITS", 6)
+    short = [b.to_pydict() for b in module._first_parts(5, 80, Sent)([texts_])][0]
+    lost = 0
+    for node in set(whole["node"]):
+        at = [i for i, x in enumerate(whole["node"]) if x == node]
+        twice = len(at) - len({short["gram"][i] for i in at})
+        lost += twice
+        assert {short["needed"][i] - whole["needed"][i] for i in at} == {twice}
+    assert lost
