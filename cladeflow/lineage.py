@@ -33,6 +33,11 @@ def settle(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """`df` settled with its rows dealt out by `by`, so that later tasks don't stay as few as the files that its sources have."""
+    return settle(df.repartition(by))
+
+
 def number(rows: DataFrame, key: str, start: int, out: str) -> DataFrame:
     """`rows` with consecutive numbers in the order of `key`, in column `out`.
 

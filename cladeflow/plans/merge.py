@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import index_key, parse_authorship
-from ..lineage import number, settle
+from ..lineage import number, settle, spread
 from ..operators import authorship, candidates
 from ..operators.normalize import drop_orphan_synonyms, issues, lift_accepted, resolve_chains
 from ..operators.tree import cut_cycles, with_paths
@@ -125,7 +125,8 @@ def merge_sector(
     the tree, and isn't the usage itself or below it. Of several rows that match
     one usage, the least id gives what it lacks.
     """
-    src = _keyed(source.withColumn("sector", F.lit(sector))).withColumn("doubtful", doubtful(F.col("path")))
+    project = spread(project.select(*USAGE), "id")
+    src = _keyed(spread(source.withColumn("sector", F.lit(sector)), "id")).withColumn("doubtful", doubtful(F.col("path")))
     src = src.withColumn("blocked", F.lit(False)) if blocked is None else src.join(
         blocked.select("id").distinct().withColumn("blocked", F.lit(True)), "id", "left"
     ).withColumn("blocked", F.coalesce("blocked", F.lit(False)))
@@ -302,10 +303,10 @@ def place_strays(usages: DataFrame, incertae: str | None) -> DataFrame:
 def provisional_homonyms(usages: DataFrame, priorities: DataFrame) -> DataFrame:
     """Usages where accepted names of one key and rank, but for those of the best priority, become provisional.
 
-    priorities: sector, priority; sectors without one, such as the base, come first.
+    priorities: sector, priority, a row a sector; sectors without one, such as the base, come first.
     """
-    known = usages.withColumn("_key", index_key(F.col("name"))).join(priorities.select("sector", "priority"), "sector", "left")
-    known = known.withColumn("_priority", F.coalesce("priority", F.lit(-1))).drop("priority")
+    known = usages.withColumn("_key", index_key(F.col("name"))).join(F.broadcast(priorities.select("sector", "priority")), "sector", "left")
+    known = settle(known.withColumn("_priority", F.coalesce("priority", F.lit(-1))).drop("priority"))  # keys are dear, and used twice
     accepted = F.col("status") == "ACCEPTED"
     best = known.filter(accepted).groupBy("_key", "rank").agg(F.min("_priority").alias("_best"))
     joined = known.join(best.withColumnRenamed("rank", "_rank"), (known["_key"] == best["_key"]) & F.col("rank").eqNullSafe(F.col("_rank")), "left")

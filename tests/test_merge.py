@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_authorship import loop
 from test_candidates import in_turn
 
-from cladeflow.plans.merge import USAGE, merge_sector, merge_sectors
+from cladeflow.plans.merge import USAGE, merge_sector, merge_sectors, provisional_homonyms
 from cladeflow.vocab import RANKS, VAGUE_RANKS
 
 SCHEMA = "id string, parent_id string, name string, authorship string, rank string, status string, sector int"
@@ -199,3 +200,24 @@ def test_empty_sides(spark):
     empty, one = spark.createDataFrame([], SCHEMA), spark.createDataFrame([("1", None, "Orda", "Li, 1900", "order", "ACCEPTED", 0)], SCHEMA)
     assert merge_sector(one, empty, 1).usages.count() == 1
     assert [x["id"] for x in merge_sector(empty, one, 1).usages.collect()] == ["1:1"]
+
+
+def test_rows_of_one_file_are_dealt_out(spark):
+    """Neither the project nor the release stays in as few tasks as its source's files, or its sectors."""
+    size = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    id_ = F.col("id").cast("string")
+    rows = spark.range(20000).coalesce(1).select(
+        id_.alias("id"), F.lit(None).cast("string").alias("parent_id"), F.concat(F.lit("Abax a"), F.translate(id_, "0123456789", "abcdefghij")).alias("name"),
+        F.lit(None).cast("string").alias("authorship"), F.lit("species").alias("rank"), F.lit("ACCEPTED").alias("status"), F.lit(0).alias("sector"),
+    )
+    source = spark.createDataFrame([("s", None, "Brut", "Li, 1900", "order", "ACCEPTED", 0)], SCHEMA)
+    before = spark.conf.get(size)
+    spark.conf.set(size, "16k")
+    try:
+        usages = merge_sector(rows, source, 9).usages
+        told = provisional_homonyms(usages, spark.createDataFrame([(9, 1)], "sector int, priority int"))
+        for df in (usages, told):
+            parts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(parts) == 20001 and max(parts) < 10000
+    finally:
+        spark.conf.set(size, before)
