@@ -172,6 +172,8 @@ HEAVY = 256
 def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
     """`key` and `_parts`, over how many tasks to deal it, of keys with 1 / HEAVY of the staged `rows`; None without any."""
     total = rows.count()
+    if total < HEAVY:
+        return None
     n = F.col("count")
     found = rows.groupBy(key).count().filter((n * HEAVY >= total) & (n >= HEAVY)).collect()
     if not found:
@@ -182,12 +184,15 @@ def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
 def join_spread(rows: DataFrame, table: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
     """`rows` joined with a staged table that has one row a key and, in column `n`, how many of `total` rows have it.
 
-    Keys with 1 / HEAVY of the rows or more, HEAVY at most, are broadcast, so that
-    none of them makes one large task; the others meet the rows in a shuffle.
-    Rows with a null key are left out, as in any join.
+    Keys with 1 / HEAVY of the rows or more, and HEAVY rows at least, are broadcast,
+    so that none of them makes one large task; the others meet the rows in a
+    shuffle. Without such keys it is one join, as each broadcast takes megabytes of
+    the driver. Rows with a null key are left out, as in any join.
     """
     keys = [key] if isinstance(key, str) else key
-    hot = F.col(n) * HEAVY >= max(total, 1)
+    hot = (F.col(n) * HEAVY >= total) & (F.col(n) >= HEAVY)
     few = table.filter(hot)
+    if total < HEAVY or few.isEmpty():
+        return rows.join(table, keys)
     rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(table.filter(~hot), keys)
     return rows.join(F.broadcast(few), keys).unionByName(rest)

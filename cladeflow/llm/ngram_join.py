@@ -43,8 +43,10 @@ HOT_IN_TASK = 4
 FILTER_BITS = 26
 #: Bits of a column's hash that tell columns apart where rows are told to meet; pairs are decided by all 64.
 COLUMN_BITS = 40
-#: Blocks of columns that are counted and laid out one after the other, so that their shuffles aren't on disk at once.
+#: Blocks of columns that are counted and laid out one after the other, so that their shuffles aren't on disk at once; a
+#: block of fewer than BLOCK_ROWS rows only costs the driver.
 ROUNDS = 4
+BLOCK_ROWS = 1 << 22
 #: Up to so many ids are sent to all workers (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Values of rows that are laid side by side at once.
@@ -635,7 +637,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             _first_parts(n, percent, hot), "gram long, node long, size int, first int, needed int"
         )
     )
-    blocks = [_several(parts_.filter(F.pmod(F.shiftright("gram", FILTER_BITS), F.lit(ROUNDS)) == r)) for r in range(ROUNDS)]
+    rounds = max(1, min(ROUNDS, parts_.count() // BLOCK_ROWS))
+    blocks = [_several(parts_.filter(F.pmod(F.shiftright("gram", FILTER_BITS), F.lit(rounds)) == r)) for r in range(rounds)]
     unstage(parts_)
     several = reduce(DataFrame.unionByName, blocks)
     # the others of a node's first part have one row, and are the rarest

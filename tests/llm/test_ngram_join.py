@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from fixtures import edited, empty, frame, sentence, texts
 
+from cladeflow.llm.common import join_spread, stage
 from cladeflow.llm.components import components
 from cladeflow.llm import ngram_join as module
 from cladeflow.llm.ngram_join import drop_near_copies, most_shared, ngram_join
@@ -147,3 +148,17 @@ def test_columns_of_a_row_that_fall_together(monkeypatch):
         lost += twice
         assert {short["needed"][i] - whole["needed"][i] for i in at} == {twice}
     assert lost
+
+
+def test_join_without_heavy_keys_is_one_join(spark):
+    """Few rows of a key need no broadcast of their own, however large their share; a key with many gets one."""
+    rows = stage(spark.range(200).selectExpr("if(id < 150, 0, id) as k", "id"))
+    table = stage(rows.groupBy("k").count().withColumnRenamed("count", "n"))
+    joined = join_spread(rows, table, "k", "n", 200)
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert sorted(tuple(r) for r in joined.collect()) == sorted((0, i, 150) if i < 150 else (i, i, 1) for i in range(200))
+    many = stage(spark.range(2000).selectExpr("if(id < 1500, 0, id) as k", "id"))
+    table = stage(many.groupBy("k").count().withColumnRenamed("count", "n"))
+    spread = join_spread(many, table, "k", "n", 2000)
+    assert spread._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3
+    assert spread.count() == 2000 and spread.filter("n = 1500").count() == 1500
