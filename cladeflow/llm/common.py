@@ -178,7 +178,9 @@ def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
     found = rows.groupBy(key).count().filter((n * HEAVY >= total) & (n >= HEAVY)).collect()
     if not found:
         return None
-    return rows.sparkSession.createDataFrame([(r[0], -(-HEAVY * r[1] // total)) for r in found], f"{key} long, _parts long")
+    # as an Arrow table: from Python rows Spark starts further Python workers, which stay for a minute
+    parts = pa.table({key: pa.array([r[0] for r in found], pa.int64()), "_parts": pa.array([-(-HEAVY * r[1] // total) for r in found], pa.int64())})
+    return rows.sparkSession.createDataFrame(parts)
 
 
 def join_spread(rows: DataFrame, table: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:

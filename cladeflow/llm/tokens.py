@@ -3,8 +3,9 @@
 A pretoken of this vocabulary never runs from a non-space character over a
 following space, so a text can be cut before each single space and at each
 single line feed, and the ids of the pieces joined. The pieces repeat, so each
-worker keeps the ids of pieces it has met; the library's model encodes only new
-ones. Texts with two white-space characters in a row are cut more carefully.
+worker keeps the ids of pieces it has met of late, in bounded memory; the
+library's model encodes the others. Texts with two white-space characters in a
+row are cut more carefully.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from array import array
 
 import regex
 
-#: Pieces that a worker remembers before it starts anew (some 200 MB).
-CACHE_PIECES = 1_000_000
+#: Pieces of a generation; a worker remembers two of each kind (some 25 MB each, were they full).
+CACHE_PIECES = 1 << 17
+#: Longer pieces, in characters, are rare and are not remembered.
+CACHED_LENGTH = 64
 
 _CUT = re.compile(r"(?<=\S)(?=[ ]\S)")
 #: The pretoken pattern of the vocabulary: a fixed value of the file format.
@@ -39,7 +42,30 @@ class Spaced(Exception):
     """A piece is empty or has white space at an end, so the cut was not valid."""
 
 
-class Pretokens(dict):
+class Recent(dict):
+    """Ids of pieces by encode(), with those of the last CACHE_PIECES to 2 * CACHE_PIECES different short pieces kept."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+
+    def encode(self, piece: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.before.get(piece)
+        if out is None:
+            out = self.encode(piece)
+            if len(piece) > CACHED_LENGTH:
+                return out
+        if len(self) >= CACHE_PIECES:
+            self.before = dict(self)
+            self.clear()
+        self[piece] = out
+        return out
+
+
+class Pretokens(Recent):
     """Ids of pretokens, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, model):
@@ -47,34 +73,27 @@ class Pretokens(dict):
         self.model = model
         self.table = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
 
-    def __missing__(self, pretoken: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
+    def encode(self, pretoken: str) -> bytes:
         raw = pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1")
-        ids = [t.id for t in self.model.tokenize(raw.translate(self.table))]
-        self[pretoken] = out = array("I", ids).tobytes()
-        return out
+        return array("I", [t.id for t in self.model.tokenize(raw.translate(self.table))]).tobytes()
 
 
-class Pieces(dict):
+class Pieces(Recent):
     """Ids of pieces that stand after `lead`."""
 
     def __init__(self, pretokens: Pretokens, lead: str):
         super().__init__()
         self.pretokens, self.lead = pretokens, lead
 
-    def __missing__(self, piece: str) -> bytes:
+    def encode(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise Spaced
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        whole = self.lead + piece
+        whole, n = self.lead + piece, len(self.lead)
         if piece.isalpha():
-            out = self.pretokens[whole]
-        else:
-            out = b"".join([self.pretokens[p] for p in _PRETOKEN.findall(whole)])
-        self[piece] = out
-        return out
+            return self.pretokens.encode(whole)  # one pretoken, kept as a piece alone
+        first, *others = _PRETOKEN.findall(whole)
+        head = self[first[n:]] if first[n:].isalpha() else self.pretokens[first]
+        return head + b"".join([self.pretokens[p] for p in others])
 
 
 class Encoder:

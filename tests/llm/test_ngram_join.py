@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from fixtures import edited, empty, frame, sentence, texts
 
-from cladeflow.llm.common import join_spread, stage
+from cladeflow.llm.common import heavy_keys, join_spread, stage
 from cladeflow.llm.components import components
 from cladeflow.llm import ngram_join as module
 from cladeflow.llm.ngram_join import drop_near_copies, most_shared, ngram_join
@@ -162,3 +162,10 @@ def test_join_without_heavy_keys_is_one_join(spark):
     spread = join_spread(many, table, "k", "n", 2000)
     assert spread._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3
     assert spread.count() == 2000 and spread.filter("n = 1500").count() == 1500
+
+
+def test_heavy_keys_need_no_python_worker(spark):
+    rows = stage(spark.range(1000).selectExpr("if(id < 600, 7, id) as a", "id as b"))
+    found = heavy_keys(rows, "a")
+    assert [tuple(r) for r in found.collect()] == [(7, -(-256 * 600 // 1000))]
+    assert "Python" not in found._jdf.queryExecution().toRdd().toDebugString()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from cladeflow.llm.eliasfano import EliasFano, encode
 from cladeflow.llm.packing import CapacityTree, first_fit_decreasing, pack_documents
 from cladeflow.llm.token_output import read_token_files, token_output, write_token_files
-from cladeflow.llm.tokens import encoder, vocabulary
+from cladeflow.llm.tokens import Encoder, encoder, vocabulary
 
 ODD = [
     "", " ", "  ", "\n", "a  b", " a", "a ", "don't we'll I'm", "a\n\n b", "x\t y", "1 23 456", "naïve 😀😀 東京",
@@ -48,6 +49,17 @@ def test_encoder_on_odd_texts(text):
     assert np.frombuffer(encoder(vocabulary())(text), "<u4").tolist() == library_ids(text)
 
 
+def test_encoder_keeps_few_bytes():
+    draw, encode = random.Random(3), Encoder(vocabulary())
+    words = ["".join(draw.choices("abcdefghij", k=9)) for _ in range(600_000)] + [f"{i}" * 500 for i in range(10_000, 20_000)]
+    for at in range(0, len(words), 5000):
+        encode(" ".join(words[at : at + 5000]))
+    caches = [c for cache in (encode.pretokens, encode.first, encode.later) for c in (cache, getattr(cache, "before", {}))]
+    assert sum(sys.getsizeof(c) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in c.items()) for c in caches) < 64 << 20
+    for text in (" ".join(words[:50]), words[-1], " ".join(words[599_990:600_001]) + ", 12."):
+        assert np.frombuffer(encode(text), "<u4").tolist() == library_ids(text)
+
+
 @given(st.lists(st.integers(0, 10_000), max_size=300))
 def test_elias_fano_round_trip(values):
     values = sorted(values)
