@@ -15,8 +15,8 @@ from array import array
 
 import regex
 
-#: Pieces of a generation; a worker remembers two of each kind (some 25 MB each, were they full).
-CACHE_PIECES = 1 << 17
+#: Pieces of a generation; a worker remembers two of each kind (some 100 MB each, were they full).
+CACHE_PIECES = 1 << 19
 #: Longer pieces, in characters, are rare and are not remembered.
 CACHED_LENGTH = 64
 
